@@ -56,3 +56,19 @@ def safe_pct_change(value, prev) -> Column:
     """``(value / prev - 1) * 100``; NULL when prev is NULL or 0."""
     v, p = _c(value), _c(prev)
     return F.when(p != 0, (v / p - F.lit(1.0)) * F.lit(100.0))
+
+
+def mean(col, scale: int | None = None) -> Column:
+    """Arithmetic mean.  With ``scale`` the sum is exact (DECIMAL(38, scale))
+    and a single IEEE division follows, so the result does not depend on
+    summation order across partitions; use it when inputs carry at most
+    ``scale`` decimals (prices, quantities)."""
+    c = _c(col)
+    if scale is None:
+        return F.avg(c)
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double") / F.count(c).cast("double")
+
+
+def exact_sum(col, scale: int) -> Column:
+    """Order-independent sum for inputs with at most ``scale`` decimals."""
+    return F.sum(_c(col).cast(f"decimal(38,{scale})")).cast("double")

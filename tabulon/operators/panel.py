@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import safe_pct_change, safe_pearson
+from tabulon.functions.numeric import mean, safe_pct_change, safe_pearson
 
 PANEL_COLUMNS = ("country_code", "country_name", "year", "indicator_id", "value", "source")
 PANEL_SCHEMA = ("country_code string, country_name string, year int, indicator_id string, "
@@ -134,10 +134,10 @@ def year_over_year(panel: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- aggregates
 
-def country_means(panel: DataFrame) -> DataFrame:
+def country_means(panel: DataFrame, mean_scale: int | None = None) -> DataFrame:
     """A1: mean per (indicator, country) over the country's own years."""
     return (panel.groupBy("indicator_id", "country_code", "country_name")
-                 .agg(F.avg("value").alias("value")))
+                 .agg(mean("value", mean_scale).alias("value")))
 
 
 def pair_join(a: DataFrame, b: DataFrame) -> DataFrame:

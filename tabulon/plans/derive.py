@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions.numeric import mean
 from tabulon.sources.testdata import table
 
 # Indicators of the order panel: id, label, category, unit, source,
@@ -28,7 +29,7 @@ def _long(agg: DataFrame, code, name, source: str) -> DataFrame:
         F.explode(F.array(
             F.struct(F.lit("revenue").alias("indicator_id"), F.round("revenue", 2).alias("value")),
             F.struct(F.lit("n_orders").alias("indicator_id"), F.col("n_orders").cast("double").alias("value")),
-            F.struct(F.lit("avg_price").alias("indicator_id"), F.round("avg_price", 4).alias("value")),
+            F.struct(F.lit("avg_price").alias("indicator_id"), F.col("avg_price").alias("value")),
         )).alias("m"),
     ).select("country_code", "country_name", "year", "m.indicator_id", "m.value",
              F.lit(source).alias("source"))
@@ -38,7 +39,7 @@ def _measures(df: DataFrame, *keys) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.sum("o_totalprice").alias("revenue"),
         F.count(F.lit(1)).alias("n_orders"),
-        F.avg("o_totalprice").alias("avg_price"),
+        mean("o_totalprice", 2).alias("avg_price"),
     )
 
 
@@ -98,7 +99,7 @@ def _panel_sql(keys_select: str, group_keys: str, code: str, name: str, extra_jo
     FROM (
       SELECT {keys_select}, CAST(year(o_orderdate) AS INTEGER) AS year,
              round(sum(o_totalprice), 2) AS revenue, CAST(count(*) AS DOUBLE) AS n_orders,
-             round(avg(o_totalprice), 4) AS avg_price
+             CAST(sum(CAST(o_totalprice AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(o_totalprice) AS DOUBLE) AS avg_price
       FROM orders {extra_join}
       GROUP BY {group_keys}, year(o_orderdate)
     ) a {'JOIN nation n ON a.nk = n.n_nationkey' if 'nk' in keys_select else ''}

@@ -10,6 +10,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 _MODULES = (
     "tabulon.plans.panel_queries",
+    "tabulon.plans.ingest_queries",
 )
 
 
