@@ -11,6 +11,7 @@ ORACLE_SQL: dict[str, str] = {}
 _MODULES = (
     "tabulon.plans.panel_queries",
     "tabulon.plans.ingest_queries",
+    "tabulon.plans.library_queries",
 )
 
 
