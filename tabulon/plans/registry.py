@@ -12,6 +12,7 @@ _MODULES = (
     "tabulon.plans.panel_queries",
     "tabulon.plans.ingest_queries",
     "tabulon.plans.library_queries",
+    "tabulon.plans.search_queries",
 )
 
 

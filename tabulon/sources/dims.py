@@ -80,3 +80,56 @@ def filter_levels_df(spark: SparkSession) -> DataFrame:
     rows = [(feat, level, float(lo), float(hi))
             for feat, levels in FILTER_LEVELS.items() for level, (lo, hi) in levels.items()]
     return spark.createDataFrame(rows, "feature string, level string, lo double, hi double")
+
+
+# ---------------------------------------------------------------------------
+# Drink catalog (category, name, profile, best_for) and toppings.
+DRINK_MENU = [
+    ("All Day Tea", "Black Tea with Milk Foam", "bold, smooth, creamy, and tea-forward", "a rich tea base with a creamy finish"),
+    ("All Day Tea", "Black Tea (Ceylon)", "classic, robust, and refreshing", "a straightforward black tea flavor"),
+    ("All Day Tea", "Green Tea (Jasmine)", "light, floral, fresh, and refreshing", "an aromatic tea without heavy milkiness"),
+    ("All Day Tea", "Green Tea with Milk Foam", "fresh jasmine tea with a creamy finish", "floral tea with a little indulgence"),
+    ("All Day Tea", "Oolong Tea", "smooth, earthy, gently roasted, and balanced", "a mellow tea with depth"),
+    ("All Day Tea", "Oolong Tea with Milk Foam", "earthy, rounded, and creamy", "a roasted tea with a soft creamy finish"),
+    ("Milk Tea", "Brown Sugar Black Milk Tea with Pearl", "rich, sweet, creamy, and chewy", "brown sugar flavor and a classic milk tea base"),
+    ("Milk Tea", "Caramel Black Milk Tea with Pearl", "smooth, creamy, caramel-like, and sweet", "a dessert-like black milk tea"),
+    ("Milk Tea", "Matcha Milk Tea with Pearls", "creamy, earthy, lightly sweet, and chewy", "a matcha fan who enjoys milk tea"),
+    ("Milk Tea", "Earl Grey Milk Tea", "creamy, fragrant, and citrusy", "a milk tea with bergamot character"),
+    ("Milk Tea", "Black Milk Tea", "smooth, comforting, and classic", "a traditional milk tea experience"),
+    ("Milk Tea", "Green Milk Tea", "light, floral, creamy, and refreshing", "a gentler milk tea with floral notes"),
+    ("Milk Tea", "Oolong Milk Tea", "smooth, mellow, roasted, and creamy", "a balanced milk tea with tea depth"),
+    ("Milk Tea", "Brown Sugar Oolong Milk Tea with Pearl", "roasted, creamy, sweet, and chewy", "brown sugar with a deeper oolong base"),
+    ("Milk Tea", "Oolong Milk Tea with Pearl", "earthy, creamy, and chewy", "an oolong milk tea with added texture"),
+    ("Fruit Tea", "QQ Passionfruit Green Tea", "bright, tangy, refreshing, and textured", "passionfruit flavor with chewy toppings"),
+    ("Fruit Tea", "Mango Green Tea", "juicy, tropical, sweet, and refreshing", "a sunny mango tea"),
+    ("Fruit Tea", "Peach Green Tea", "fragrant, fruity, light, and refreshing", "a delicate peach tea"),
+    ("Fruit Tea", "Strawberry Green Tea", "sweet, fruity, bright, and refreshing", "a berry-forward tea"),
+    ("Fruit Tea", "Passionfruit Green Tea", "tangy, aromatic, and refreshing", "a sharper tropical fruit tea"),
+    ("Fruit Tea", "Strawberry Limonada", "sweet, citrusy, fruity, and refreshing", "a strawberry lemonade-style drink"),
+    ("Fruit Tea", "Mango Limonada", "tropical, citrusy, sweet, and refreshing", "a mango lemonade-style drink"),
+    ("Fruit Tea", "Matcha Strawberry Milk Tea", "creamy, earthy, sweet, and fruity", "matcha with a strawberry twist"),
+    ("Smoothies", "Taro Smoothie", "rich, nutty, creamy, and smooth", "a dessert-like taro treat"),
+    ("Smoothies", "Mango Smoothie", "thick, tropical, sweet, and fruity", "a creamy mango escape"),
+    ("Smoothies", "Strawberry Smoothie", "creamy, sweet, fruity, and familiar", "a classic strawberry smoothie"),
+    ("Smoothies", "Matcha Smoothie", "creamy, earthy, and gently sweet", "a blended matcha drink"),
+    ("Smoothies", "Mango Limonada Smoothie", "tropical, creamy, and citrusy", "mango with a bright lemonade lift"),
+    ("Smoothies", "Strawberry Limonada Smoothie", "fruity, creamy, and citrusy", "strawberry with a refreshing citrus lift"),
+    ("Smoothies", "Milk Foam Peach Slush with Star Jelly", "peachy, icy, creamy, and playful", "a refreshing slush with a creamy topping"),
+    ("Creations", "Taro Milk Tea with Pearls", "creamy, smooth, nutty, and chewy", "a classic taro milk drink with pearls"),
+    ("Creations", "Crème Brulee Strawberry Latte", "sweet, creamy, strawberry-forward, and indulgent", "a dessert-inspired strawberry latte"),
+    ("Creations", "Brown Sugar Milk with Pearls", "sweet, milky, rich, and chewy", "a caffeine-free brown sugar option"),
+    ("Creations", "Taro Milk", "smooth, creamy, and nutty", "a simple taro milk drink"),
+    ("Creations", "Strawberry Milk", "creamy, sweet, and fruity", "a non-tea strawberry drink"),
+    ("Creations", "Chocolate Milk", "rich, creamy, and chocolatey", "a familiar chocolate treat"),
+    ("Creations", "Caramel Milk", "smooth, creamy, and caramel-like", "a sweet, non-tea caramel drink"),
+]
+TOPPINGS = [
+    "Milk Foam", "Pearls", "Coconut Jelly", "Cookie Crumbs", "Aloe",
+    "Peach Flavour Star Shape Coconut Jelly", "Crème Brulee Milk Foam",
+]
+# ---------------------------------------------------------------------------
+
+
+def catalog_df(spark: SparkSession) -> DataFrame:
+    rows = [(i, c, n, p, b) for i, (c, n, p, b) in enumerate(DRINK_MENU)]
+    return spark.createDataFrame(rows, "item_pos long, category string, name string, profile string, best_for string")
