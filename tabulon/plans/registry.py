@@ -13,6 +13,7 @@ _MODULES = (
     "tabulon.plans.ingest_queries",
     "tabulon.plans.library_queries",
     "tabulon.plans.search_queries",
+    "tabulon.plans.scoring_queries",
 )
 
 
