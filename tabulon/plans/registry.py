@@ -14,6 +14,7 @@ _MODULES = (
     "tabulon.plans.library_queries",
     "tabulon.plans.search_queries",
     "tabulon.plans.scoring_queries",
+    "tabulon.plans.dialog_queries",
 )
 
 
