@@ -245,3 +245,34 @@ def search_catalog_match(spark, sf):
     name, profile and best-for text."""
     msgs = table(spark, sf, "conversations").where(F.col("role") == "user")
     return S.catalog_match(msgs, [(n, p, b) for _, n, p, b in DRINK_MENU], 3, id_cols=("conv_id", "turn"))
+
+
+COST_CMP_SQL = "WITH " + COST_SQL + """,
+c AS (SELECT *, CAST(Tot_Dschrgs AS BIGINT) AS d,
+             CAST(round(CAST(Avg_Submtd_Cvrd_Chrg AS DECIMAL(18,2)) * 100) AS BIGINT) AS b_c,
+             CAST(round(CAST(Avg_Tot_Pymt_Amt AS DECIMAL(18,2)) * 100) AS BIGINT) AS t_c,
+             CAST(round(CAST(Avg_Mdcr_Pymt_Amt AS DECIMAL(18,2)) * 100) AS BIGINT) AS m_c FROM cost),
+g AS (SELECT {keys}, sum(d) AS discharges, count(*) AS providers,
+             sum(b_c * d) AS wb, sum(t_c * d) AS wt, sum(m_c * d) AS wm,
+             min({{'p': t_c, 'n': Rndrng_Prvdr_Org_Name}}) AS lo, max({{'p': t_c, 'n': Rndrng_Prvdr_Org_Name}}) AS hi
+      FROM c WHERE d > 0 GROUP BY {keys})
+SELECT {keys}, discharges, providers,
+       floor((2 * wb + discharges) / (2 * discharges)) / 100.0 AS w_Avg_Submtd_Cvrd_Chrg,
+       floor((2 * wt + discharges) / (2 * discharges)) / 100.0 AS w_Avg_Tot_Pymt_Amt,
+       floor((2 * wm + discharges) / (2 * discharges)) / 100.0 AS w_Avg_Mdcr_Pymt_Amt,
+       lo.n AS cheapest, lo.p / 100.0 AS cheapest_payment, hi.n AS dearest, hi.p / 100.0 AS dearest_payment
+FROM g"""
+
+
+@register("search_cost_comparison", COST_CMP_SQL.format(keys="DRG_Cd, DRG_Desc"))
+def search_cost_comparison(spark, sf):
+    """Per DRG, discharge-weighted averages and the cheapest / dearest
+    provider (the comparison the reference asks a model to make)."""
+    return S.cost_comparison(cost_table(spark, sf))
+
+
+@register("search_cost_comparison_state",
+          COST_CMP_SQL.format(keys="DRG_Cd, DRG_Desc, Rndrng_Prvdr_State_Abrvtn"))
+def search_cost_comparison_state(spark, sf):
+    """A9 per DRG x state."""
+    return S.cost_comparison(cost_table(spark, sf), by=("DRG_Cd", "DRG_Desc", "Rndrng_Prvdr_State_Abrvtn"))
