@@ -60,7 +60,8 @@ def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "
     """N1-N8 for a dimensioned feed holding any number of indicators.
 
     ``names`` is a (Code, Title) dimension; codes without a title keep the
-    code as their name (N4).  Dim1 is collapsed first, then Dim3 on what
+    code as their name (N4, J3: a broadcast-sized left join).  Rows missing a
+    year, value or code are dropped and the year truncated to int (N6).  Dim1 is collapsed first, then Dim3 on what
     remains (sequential, as the flags depend on the earlier filter).
     ``mean_scale`` selects the exact-decimal mean (see ``functions.mean``)."""
     rows = keep_country_rows(feed)
@@ -105,9 +106,11 @@ def normalise_entity_feed(feed: DataFrame, indicator_id: str | None = None,
                           source: str = "OWID", seq_col: str = "_seq") -> DataFrame:
     """N1, N5-N7, N9, N10 for an entity feed.
 
-    ``indicator_id`` may be a constant or already a column of ``feed``.  Daily
+    ``indicator_id`` may be a constant or already a column of ``feed``.  Rows
+    missing a year or value are dropped, the year truncated (N6).  Daily
     feeds keep, per (country, year), the value of the latest day, ties going
-    to the later input row (``seq_col``); yearly duplicates are kept."""
+    to the later input row (``seq_col``; W9 latest row per key as one
+    ``max_by`` aggregate); yearly duplicates are kept."""
     time_col, value_col = probe_entity_columns(feed.columns)
     code = F.col("Code").cast("string")
     rows = feed.where(code.isNotNull() & (F.char_length(code) == 3))

@@ -30,7 +30,9 @@ COUNTRY_CODE_RE = re.compile(r"^[A-Z0-9_-]{1,12}$")
 
 
 def clean_codes(codes) -> list[str]:
-    """Upper-cased, trimmed, ordered-distinct country codes."""
+    """U2 on a parameter list: upper-cased, trimmed, ordered-distinct country
+    codes (driver side; the column form is ``array_distinct`` in
+    ``dialog.action_check``)."""
     out: list[str] = []
     for c in codes or []:
         c = str(c).strip().upper()
