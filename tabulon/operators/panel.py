@@ -179,22 +179,43 @@ def correlate(panel: DataFrame, id_a: str, id_b: str, year: int | None = None):
     return summary, points
 
 
-def correlate_all_pairs(panel: DataFrame, year: int | None = None) -> DataFrame:
+MAX_PAIR_INDICATORS = 200
+
+
+def correlate_all_pairs(panel: DataFrame, year: int | None = None,
+                        indicator_ids: list[str] | None = None) -> DataFrame:
     """A2 re-aimed: Pearson r for every unordered indicator pair at once.
 
-    Work is quadratic in the number of *indicators* per country, not in rows:
-    the panel is first reduced to one value per (indicator, country)."""
+    No pair rows are formed: the panel is reduced to one value per
+    (country, indicator), pivoted to one column per indicator (ids from the
+    registry, or the distinct ids present, size-checked), and a single
+    aggregate evaluates one masked Pearson expression per pair, so each
+    country row is read once and the pairs exist only as expressions."""
     base = year_slice(panel, year) if year is not None else panel
-    means = (base.groupBy("indicator_id", "country_code")
-                 .agg(F.avg("value").alias("value")))
-    a = means.select(F.col("indicator_id").alias("indicator_a"), "country_code",
-                     F.col("value").alias("x"))
-    b = means.select(F.col("indicator_id").alias("indicator_b"), "country_code",
-                     F.col("value").alias("y"))
-    pairs = a.join(b, "country_code").where(F.col("indicator_a") < F.col("indicator_b"))
-    return (pairs.groupBy("indicator_a", "indicator_b")
-                 .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                      F.round(safe_pearson("x", "y"), 4).alias("correlation")))
+    if indicator_ids is None:
+        found = base.select("indicator_id").distinct().limit(MAX_PAIR_INDICATORS + 1).collect()
+        indicator_ids = sorted(r[0] for r in found if r[0] is not None)
+    ids = sorted(set(indicator_ids))
+    if len(ids) > MAX_PAIR_INDICATORS:
+        raise ValueError(f"more than {MAX_PAIR_INDICATORS} indicators for the all-pairs correlation")
+    wide = (base.where(F.col("indicator_id").isin(*ids))
+                .groupBy("country_code").pivot("indicator_id", ids).agg(F.avg("value")))
+    aggs, pairs = [], []
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
+            x, y = F.when(both, F.col(f"`{a}`")), F.when(both, F.col(f"`{b}`"))
+            k = len(pairs)
+            aggs += [F.count(x).cast("bigint").alias(f"_n{k}"), F.round(safe_pearson(x, y), 4).alias(f"_r{k}")]
+            pairs.append((a, b))
+    if not pairs:
+        return panel.sparkSession.createDataFrame(
+            [], "indicator_a string, indicator_b string, n bigint, correlation double")
+    one = wide.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(a).alias("indicator_a"), F.lit(b).alias("indicator_b"),
+                              F.col(f"_n{k}").alias("n"), F.col(f"_r{k}").alias("correlation"))
+                     for k, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(rows).alias("p")).select("p.*")
 
 
 def indicator_summary(panel: DataFrame) -> DataFrame:

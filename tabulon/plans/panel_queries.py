@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import panel as P
 from tabulon.plans.derive import (
+    ORDER_INDICATORS,
     BRIDGE_SQL, CUSTOMER_PANEL_SQL, NATION_PANEL_SQL, ORDER_REGISTRY_SQL,
     customer_year_panel, nation_region_bridge, nation_year_panel, order_registry,
 )
@@ -139,7 +140,8 @@ FROM means a JOIN means b ON a.country_code = b.country_code AND a.indicator_id
 GROUP BY a.indicator_id, b.indicator_id""")
 def panel_correlation_pairs(spark, sf):
     """A2 re-aimed to every indicator pair at once."""
-    return P.correlate_all_pairs(nation_year_panel(spark, sf))
+    ids = [r[0] for r in ORDER_INDICATORS]
+    return P.correlate_all_pairs(nation_year_panel(spark, sf), indicator_ids=ids)
 
 
 @register("panel_summary", CP + """
