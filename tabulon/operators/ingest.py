@@ -35,24 +35,69 @@ def keep_country_rows(feed: DataFrame) -> DataFrame:
     return feed.where(F.col("SpatialDimType") == "COUNTRY")
 
 
+MAX_FLAG_KEYS = 10_000
+
+
 def collapse_total(feed: DataFrame, dim: str, total: str, key: str = "indicator_id") -> DataFrame:
     """N3 for one breakdown column, per ``key``: when the column has any
     non-null value and some row is the total (or null), keep only null-or-total
-    rows; when no total exists keep every row (they are averaged later).
-
-    The two flags are one small aggregate per key joined back; AQE sees its
-    real size at runtime and broadcasts it (no window over a hot key)."""
-    if dim not in feed.columns:
+    rows; when no total exists keep every row (they are averaged later)."""
+    return collapse_totals(feed, [(dim, total)], key)
+
+
+def collapse_totals(feed: DataFrame, dims: list[tuple[str, str]], key: str = "indicator_id") -> DataFrame:
+    """N3 applied to several breakdown columns in sequence (Dim1, then Dim3
+    on what Dim1 left), in ONE aggregate over the feed.
+
+    Column j's flags depend on which rows survived columns 1..j-1, which in
+    turn depends on those columns' collapse decisions.  The aggregate
+    therefore computes column j's flags under every combination of earlier
+    decisions (2^(j-1) masked max() pairs, 3 for the usual two columns), and
+    the decisions are resolved per key on the small flag table, so the feed
+    is read twice in total (flags, then the filter), never once per column,
+    and no window over a hot key is needed."""
+    dims = [(d, t) for d, t in dims if d in feed.columns]
+    if not dims:
         return feed
-    d = F.col(dim)
-    flags = feed.groupBy(key).agg(
-        F.max(d.isNotNull().cast("int")).alias("_any_value"),
-        F.max((d.isNull() | (d == total)).cast("int")).alias("_has_total"),
-    )
-    collapse = (F.col("_any_value") == 1) & (F.col("_has_total") == 1)
-    return (feed.join(flags, key, "left")
-                .where(~collapse | d.isNull() | (d == total))
-                .drop("_any_value", "_has_total"))
+
+    def row_ok(d, t):
+        return F.col(d).isNull() | (F.col(d) == t)
+
+    aggs = []
+    for j, (d, t) in enumerate(dims):
+        for combo in range(1 << j):
+            surv = F.lit(True)
+            for i in range(j):
+                if combo >> i & 1:      # earlier column i collapsed: only its ok rows survive
+                    surv = surv & row_ok(*dims[i])
+            aggs.append(F.max(F.when(surv, F.col(d).isNotNull().cast("int")).otherwise(0)).alias(f"_a{j}_{combo}"))
+            aggs.append(F.max(F.when(surv, row_ok(d, t).cast("int")).otherwise(0)).alias(f"_t{j}_{combo}"))
+    flags = feed.groupBy(key).agg(*aggs)
+    for j in range(len(dims)):
+        # combo index from the earlier decisions, as an expression
+        idx = F.lit(0)
+        for i in range(j):
+            idx = idx + F.when(F.col(f"_c{i}"), F.lit(1 << i)).otherwise(F.lit(0))
+        any_v = F.element_at(F.array(*[F.col(f"_a{j}_{c}") for c in range(1 << j)]), idx + 1)
+        has_t = F.element_at(F.array(*[F.col(f"_t{j}_{c}") for c in range(1 << j)]), idx + 1)
+        flags = flags.withColumn(f"_c{j}", (any_v == 1) & (has_t == 1))
+    flags = flags.select(key, *[f"_c{j}" for j in range(len(dims))])
+    # One row per key: with at most MAX_FLAG_KEYS keys the decisions become a
+    # literal map (no join, no shuffle of the feed on a handful of keys);
+    # above the bound a regular join, where many keys spread the shuffle.
+    small = flags.limit(MAX_FLAG_KEYS + 1).collect()
+    if len(small) <= MAX_FLAG_KEYS:
+        keep = F.lit(True)
+        for j, (d, t) in enumerate(dims):
+            collapsed = [r[key] for r in small if r[f"_c{j}"] and r[key] is not None]
+            if collapsed:
+                keep = keep & (~F.col(key).isin(*collapsed) | row_ok(d, t))
+        return feed.where(keep)
+    keep = F.lit(True)
+    for j, (d, t) in enumerate(dims):
+        keep = keep & (~F.coalesce(F.col(f"_c{j}"), F.lit(False)) | row_ok(d, t))
+    return (feed.join(flags, key, "left").where(keep)
+                .drop(*[f"_c{j}" for j in range(len(dims))]))
 
 
 def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "WHO",
@@ -65,8 +110,7 @@ def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "
     remains (sequential, as the flags depend on the earlier filter).
     ``mean_scale`` selects the exact-decimal mean (see ``functions.mean``)."""
     rows = keep_country_rows(feed)
-    rows = collapse_total(rows, "Dim1", TOTAL_DIM1)
-    rows = collapse_total(rows, "Dim3", TOTAL_DIM3)
+    rows = collapse_totals(rows, [("Dim1", TOTAL_DIM1), ("Dim3", TOTAL_DIM3)])
     if names is not None:
         rows = rows.join(names.select(F.col("Code").alias("SpatialDim"), F.col("Title")),
                          "SpatialDim", "left")
