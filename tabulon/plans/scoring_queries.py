@@ -114,12 +114,11 @@ SELECT scenario_id, case_id, factor_no, factor, rating, weight, rating * 20 AS w
   UNION ALL SELECT scenario_id, case_id, 2, 'Existing toolkit fit', r1, w1 FROM scored
   UNION ALL SELECT scenario_id, case_id, 3, 'Delivery capacity', r2, w2 FROM scored
   UNION ALL SELECT scenario_id, case_id, 4, 'Expansion feasibility', r3, w3 FROM scored
-  UNION ALL SELECT scenario_id, case_id, 5, 'Evidence strength', r4, w4 FROM scored)
-WHERE scenario_id < 81""")
+  UNION ALL SELECT scenario_id, case_id, 5, 'Evidence strength', r4, w4 FROM scored)""")
 def scoring_factor_breakdown(spark, sf):
-    """K5: factor rows for the equal-weight scenarios."""
-    s = _sweep(spark, sf).where(F.col("scenario_id") < 81)
-    return K.factor_breakdown(s).select("scenario_id", "case_id", "factor_no", "factor", "rating",
+    """K5: factor rows (rating, weight, bar width) of every case under every
+    scenario."""
+    return K.factor_breakdown(_sweep(spark, sf)).select("scenario_id", "case_id", "factor_no", "factor", "rating",
                                         "weight", "width")
 
 
