@@ -17,6 +17,7 @@ _MODULES = (
     "tabulon.plans.dialog_queries",
     "tabulon.plans.admission_queries",
     "tabulon.plans.activity_queries",
+    "tabulon.plans.housing_queries",
 )
 
 

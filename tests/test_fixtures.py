@@ -341,3 +341,28 @@ def test_scan_pushes_filters_and_prunes_columns(spark):
     plan = _plan(df)
     assert "PushedFilters" in plan
     assert "o_orderpriority" not in plan  # unused columns pruned from the scan
+
+
+# ----------------------------------------------------------------- housing
+
+def test_nested_case_scan_measures_and_gaps(spark, tmp_dir):
+    from tabulon.operators import scoring as K
+    path = os.path.join(tmp_dir, "cases.json")
+    peers = [
+        {"name": "A", "population": "698k ($107,799)", "affordability": 40.0, "access": 75.8,
+         "value": "$298,000 (2.76x)"},
+        {"name": "B", "population": "12k ($9,000)", "affordability": 30.0, "access": 38.7, "value": "Not supplied"},
+    ]
+    with open(path, "w") as f:
+        json.dump([{"label": "X affordability", "target": "A", "reference": "B", "peers": peers}], f)
+    rows = files.nested_cases(spark, path)
+    rows = rows.withColumn("affordability", F.col("affordability").cast("double")) \
+               .withColumn("access", F.col("access").cast("double")).withColumn("units", F.lit(1.0))
+    parsed = rows.select("peer_pos", K.parse_measure(F.col("population")).alias("p"),
+                         K.parenthetical_measure(F.col("population")).alias("q"),
+                         K.parse_measure(F.col("value")).alias("v")).orderBy("peer_pos").collect()
+    assert [(r["p"], r["q"], r["v"]) for r in parsed] == [(698000.0, 107799.0, 298000.0), (12000.0, 9000.0, None)]
+    gap = K.target_reference_gaps(rows).collect()[0]
+    assert (gap["other_axis"], gap["other_axis_gap"]) == ("access", 37.1)
+    flags = K.peer_table(rows).orderBy("peer_pos").collect()
+    assert [(r["is_focal"], r["is_reference"]) for r in flags] == [(True, False), (False, True)]
