@@ -187,13 +187,11 @@ def fresh_snapshots(log: DataFrame, as_of, key: str = "key", ts: str = "fetched_
     (``as_of - fetched_at < ttl``, strict); stale keys are the reload list.
 
     ``as_of`` is a literal timestamp or a one-row DataFrame with an ``as_of``
-    column (attached after the per-key aggregate by a broadcast join on a
-    constant key)."""
+    column (evaluated once as a scalar subquery, no join)."""
     latest = log.groupBy(key).agg(F.max(ts).alias("latest_fetched_at"),
                                   F.count(F.lit(1)).cast("bigint").alias("n_snapshots"))
     if isinstance(as_of, DataFrame):
-        latest = (latest.withColumn("_k", F.lit(1))
-                  .join(F.broadcast(as_of.select("as_of").withColumn("_k", F.lit(1))), "_k").drop("_k"))
+        latest = latest.withColumn("as_of", as_of.select("as_of").scalar())
     else:
         latest = latest.withColumn("as_of", F.lit(as_of).cast("timestamp"))
     age = (F.unix_micros(F.col("as_of").cast("timestamp")) -

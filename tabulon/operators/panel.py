@@ -150,14 +150,6 @@ def pair_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "country_code", "inner")
 
 
-def _attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row through a broadcast equi-join
-    on a constant key (a one-row side is bounded by construction)."""
-    return (df.withColumn("_k", F.lit(1))
-              .join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k")
-              .drop("_k"))
-
-
 def correlate(panel: DataFrame, id_a: str, id_b: str, year: int | None = None):
     """A2/A3 for one pair.  Returns ``(summary, points)``: summary has one row
     (n, correlation rounded to 4); points is empty when n < 2."""
@@ -172,8 +164,7 @@ def correlate(panel: DataFrame, id_a: str, id_b: str, year: int | None = None):
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.round(safe_pearson("value_a", "value_b"), 4).alias("correlation"),
     )
-    points = (_attach_scalar(merged, summary.select("n"))
-              .where(F.col("n") >= 2)
+    points = (merged.where(summary.select("n").scalar() >= 2)
               .select("country_code", "country_name",
                       F.col("value_a").alias("x"), F.col("value_b").alias("y")))
     return summary, points
