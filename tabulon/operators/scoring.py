@@ -71,10 +71,16 @@ def scenario_grid(weight_sets: list[list[float]], tiers=(1, 2, 3), priorities=PR
 
 def sweep(cases: DataFrame, grid: list[tuple]) -> DataFrame:
     """K4: every case under every scenario, with ratings and score."""
-    scen = F.array(*[F.struct(F.lit(sid).cast("bigint").alias("scenario_id"), F.lit(b).alias("budget"),
-                              F.lit(s).alias("staff"), F.lit(h).alias("horizon"), F.lit(p).alias("priority"),
-                              F.array(*[F.lit(x) for x in w]).alias("weights"))
-                     for sid, b, s, h, p, w in grid])
+    # The grid is a driver-side list of bounded size; it is written as ONE
+    # SQL literal (a single parse in the JVM instead of thousands of column
+    # objects) and exploded per case.
+    def q(v):
+        return "'" + str(v).replace("'", "''") + "'"
+    scen = F.expr("array(" + ", ".join(
+        f"named_struct('scenario_id', CAST({sid} AS BIGINT), 'budget', {int(b)}, 'staff', {int(s)}, "
+        f"'horizon', {int(h)}, 'priority', {q(p)}, 'weights', array("
+        + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in w) + "))"
+        for sid, b, s, h, p, w in grid) + ")")
     x = cases.withColumn("sc", F.explode(scen)).select("*", "sc.*").drop("sc")
     tiers = F.array(F.col("budget"), F.col("staff"), F.col("horizon"))
     x = x.withColumn("ratings_now", scenario_ratings(F.col("ratings"), F.col("requirements"), tiers,
