@@ -41,3 +41,10 @@ def test_entry_runs(spark):
     df = entry(spark)
     assert df.columns
     assert df.count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "admission_stream"))
+def test_plan_has_no_pair_joins(spark, name):
+    """No registered query plans a Cartesian product or a nested-loop join."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
