@@ -276,3 +276,54 @@ def search_cost_comparison(spark, sf):
 def search_cost_comparison_state(spark, sf):
     """A9 per DRG x state."""
     return S.cost_comparison(cost_table(spark, sf), by=("DRG_Cd", "DRG_Desc", "Rndrng_Prvdr_State_Abrvtn"))
+
+
+# ------------------------------------------------- S9 playlist save / load
+
+SAVED_AT = "2024-01-01T00:00:00"
+NOW = "2024-02-01T00:00:00"
+
+
+def _playlists_page(spark, sf, ranked, lo, hi, name_prefix, with_id):
+    page = ranked.where(F.col("rank").between(lo, hi))
+    tracks = page.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]).alias("tracks"))
+    return tracks.select(
+        (F.col("query_id") if with_id else F.lit(None).cast("string")).alias("id"),
+        F.concat(F.lit(name_prefix), F.col("query_id")).alias("name"),
+        F.col("query_id").alias("query"), "tracks",
+        F.lit(SAVED_AT if with_id else None).cast("string").alias("created_at"),
+        F.lit(SAVED_AT if with_id else None).cast("string").alias("updated_at"))
+
+
+@register("library_save_playlists", VEC_SQL.format(where="") + f""",
+pages AS (
+  SELECT query_id AS id, query_id AS name, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS track_ids,
+         '{SAVED_AT}' AS created_at, '{SAVED_AT}' AS updated_at, 0 AS src
+  FROM r WHERE rank <= 10 GROUP BY query_id
+  UNION ALL
+  SELECT query_id, 'page 2 of ' || query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank),
+         '{SAVED_AT}', '{NOW}', 1
+  FROM r WHERE rank BETWEEN 11 AND 20 GROUP BY query_id
+  UNION ALL
+  SELECT substring(sha256('more ' || query_id || '|' || query_id || '|{NOW}'), 1, 8), 'more ' || query_id,
+         string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank), '{NOW}', '{NOW}', 2
+  FROM r WHERE rank BETWEEN 21 AND 30 GROUP BY query_id),
+latest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src DESC) AS rn FROM pages)
+SELECT id, name, created_at, updated_at, track_ids FROM latest WHERE rn = 1""")
+def library_save_playlists(spark, sf):
+    """Saved playlists (first page of every label) updated with the
+    second page under the same ids, plus new unsaved playlists (third page)
+    that get a derived id and created_at; listed newest first (T3).  Empty
+    track lists are rejected by the operator (covered by the fixtures)."""
+    from tabulon.operators import library as L
+    q = label_queries(spark, sf)
+    ranked = S.vector_topk(table(spark, sf, "embeddings"), q, 30)
+    existing = _playlists_page(spark, sf, ranked, 1, 10, "", True)
+    existing = existing.withColumn("name", F.col("query"))
+    updates = _playlists_page(spark, sf, ranked, 11, 20, "page 2 of ", True)
+    fresh = _playlists_page(spark, sf, ranked, 21, 30, "more ", False)
+    saved = L.save_playlists(existing, updates.unionByName(fresh), NOW)
+    return L.newest_first(saved).select(
+        "id", "name", "created_at", "updated_at",
+        F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("track_ids"))

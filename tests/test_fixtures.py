@@ -366,3 +366,17 @@ def test_nested_case_scan_measures_and_gaps(spark, tmp_dir):
     assert (gap["other_axis"], gap["other_axis_gap"]) == ("access", 37.1)
     flags = K.peer_table(rows).orderBy("peer_pos").collect()
     assert [(r["is_focal"], r["is_reference"]) for r in flags] == [(True, False), (False, True)]
+
+
+def test_save_playlists_assigns_ids_and_rejects_empty(spark):
+    schema = "id string, name string, query string, tracks array<long>, created_at string, updated_at string"
+    existing = spark.createDataFrame([("p1", "old", "q", [1, 2], "2024-01-01", "2024-01-01")], schema)
+    batch = spark.createDataFrame([("p1", "renamed", "q", [3], "2024-01-01", None),
+                                   (None, "new", "q2", [4, 5], None, None),
+                                   (None, "empty", "q3", [], None, None)], schema)
+    saved = {r["name"]: r for r in L.save_playlists(existing, batch, "2024-02-01").collect()}
+    assert set(saved) == {"renamed", "new"}
+    assert saved["renamed"]["created_at"] == "2024-01-01" and saved["renamed"]["updated_at"] == "2024-02-01"
+    assert len(saved["new"]["id"]) == 8 and saved["new"]["created_at"] == "2024-02-01"
+    rejected = L.rejected_playlists(batch).collect()
+    assert [r["name"] for r in rejected] == ["empty"]
