@@ -327,3 +327,21 @@ def library_save_playlists(spark, sf):
     return L.newest_first(saved).select(
         "id", "name", "created_at", "updated_at",
         F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("track_ids"))
+
+
+@register("search_regenerate_twice", VEC_SQL.format(where="") + """
+SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank - 20 AS BIGINT) AS rank
+FROM r WHERE rank BETWEEN 21 AND 30""")
+def search_regenerate_twice(spark, sf):
+    """U3 + T7: two regenerations; the seen set is the union of both shown
+    pages (per session = query), and the third list excludes all of it."""
+    from tabulon.operators import library as L
+    e = table(spark, sf, "embeddings")
+    q = label_queries(spark, sf)
+    first = S.vector_topk(e, q, K).select(F.col("query_id").alias("session"), F.col("vec_id").alias("id"))
+    second = S.vector_topk(e, q, K, exclude=first.select(F.col("session").alias("query_id"),
+                                                            F.col("id").alias("vec_id")))
+    seen = L.seen_union(first, second.select(F.col("query_id").alias("session"), F.col("vec_id").alias("id")))
+    third = S.vector_topk(e, q, K, exclude=seen.select(F.col("session").alias("query_id"),
+                                                        F.col("id").alias("vec_id")))
+    return _vec_out(third)

@@ -380,3 +380,19 @@ def test_save_playlists_assigns_ids_and_rejects_empty(spark):
     assert len(saved["new"]["id"]) == 8 and saved["new"]["created_at"] == "2024-02-01"
     rejected = L.rejected_playlists(batch).collect()
     assert [r["name"] for r in rejected] == ["empty"]
+
+
+def test_string_csv_keeps_text_and_json_sink_bounds_files(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "costs.csv")
+    with open(src, "w", encoding="utf-8") as f:
+        f.write('DRG_Cd,DRG_Desc,Tot_Dschrgs\n"001","HEART, FAILURE",0012\n"002","Multi\nline",7\n')
+    df = files.string_csv(spark, src, ["DRG_Cd", "DRG_Desc", "Tot_Dschrgs"])
+    rows = sorted(tuple(r) for r in df.collect())
+    assert rows == [("001", "HEART, FAILURE", "0012"), ("002", "Multi\nline", "7")]
+    out = os.path.join(tmp_dir, "json_out")
+    big = spark.range(25).withColumn("x", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("id") * 1.5))
+    files.write_json_records(big.coalesce(1), out, max_records_per_file=10)
+    parts = [p for p in os.listdir(out) if p.startswith("part-")]
+    assert len(parts) == 3
+    recs = [json.loads(line) for p in parts for line in open(os.path.join(out, p))]
+    assert len(recs) == 25 and {r["id"]: r["x"] for r in recs}[3] is None
