@@ -26,12 +26,22 @@ def finite_or_null(col) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
 
 
+PLAIN_NUMBER_CHARS = "0123456789.eE+- "
+
+
 def lenient_double(col) -> Column:
     """Parse text the way Python ``float()`` would, NULL when it would raise.
-    Non-finite results are NULL as well."""
+    Non-finite results are NULL as well.
+
+    Text made only of digits, '.', 'e', signs and spaces parses identically
+    in Spark's cast and in Python, so it takes the cheap path (a character
+    translate, no regex); anything else (suffixes like '1d', underscores,
+    hex floats, words, tabs) goes through the full pattern gate."""
     c = _c(col)
+    plain = F.translate(c, PLAIN_NUMBER_CHARS, "") == F.lit("")
     text = F.regexp_replace(F.trim(c), "_", "")
-    value = F.when(c.rlike(PY_FLOAT_PATTERN), text.try_cast("double"))
+    value = (F.when(plain, F.trim(c).try_cast("double"))
+              .when(c.rlike(PY_FLOAT_PATTERN), text.try_cast("double")))
     return finite_or_null(value)
 
 

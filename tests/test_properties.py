@@ -97,3 +97,27 @@ def test_late_events_in_a_stream_are_flagged_not_dropped(spark, tmp_path):
                        max_files_per_trigger=1, out_root=os.path.join(str(tmp_path), "out"))
     status = {r["event_id"]: r["status"] for r in out.collect()}
     assert status == {0: "admitted", 1: "admitted", 2: "late", 3: "admitted"}
+
+
+def py_float_or_none(text):
+    try:
+        v = float(text)
+    except (TypeError, ValueError):
+        return None
+    return None if math.isnan(v) or math.isinf(v) else v
+
+
+number_texts = st.one_of(
+    st.text(alphabet="0123456789.eE+-_ dfx\tn", max_size=8),
+    st.floats(allow_nan=False, allow_infinity=False).map(repr),
+    st.sampled_from(["1d", "1_000", "0x1p3", "nan", "Infinity", " 7 ", "\t3\n", "1.e5", "12 34", ""]))
+
+
+@SETTINGS
+@given(st.lists(number_texts, min_size=1, max_size=60))
+def test_lenient_double_matches_python_float(spark, texts):
+    from tabulon.functions.numeric import lenient_double
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", lenient_double(F.col("t")).alias("v")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == py_float_or_none(t), t
