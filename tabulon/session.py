@@ -51,14 +51,17 @@ def apply_sql_defaults(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.  Uses the cluster's ``spark.checkpoint.dir``
-    (or one already set on the context); only when neither exists, as in local
-    tests, a scratch folder is created and registered."""
+    (or one already set on the context).  Only a local-mode session (tests)
+    without the setting gets a scratch folder; on a cluster a machine-local
+    folder would not survive executor loss, so the setting is required."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
         configured = tempfile.mkdtemp(prefix="tabulon-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
