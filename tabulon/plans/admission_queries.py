@@ -48,8 +48,8 @@ def admission_batch(spark, sf):
 
 
 @register("admission_summary", ADMISSION_SQL + """
-SELECT k AS key, count(*) AS arrivals, sum(CAST(admitted AS BIGINT)) AS admitted,
-       sum(CAST(NOT admitted AS BIGINT)) AS rejected FROM r GROUP BY k""")
+SELECT k AS key, count(*) AS arrivals, CAST(sum(CAST(admitted AS BIGINT)) AS BIGINT) AS admitted,
+       CAST(sum(CAST(NOT admitted AS BIGINT)) AS BIGINT) AS rejected FROM r GROUP BY k""")
 def admission_summary(spark, sf):
     """Z1 per key: arrivals, admitted, rejected."""
     return Z.admission_summary(Z.admission(_events(spark, sf), limit=LIMIT, window_seconds=WINDOW_S))

@@ -42,7 +42,8 @@ def supplier_cases(spark, sf):
 def _grid_sql():
     rows = ", ".join(f"({sid}, {b}, {s}, {h}, '{p}', {w[0]}, {w[1]}, {w[2]}, {w[3]}, {w[4]})"
                      for sid, b, s, h, p, w in GRID)
-    return f"SELECT * FROM (VALUES {rows}) AS g(scenario_id, budget, staff, horizon, priority, w0, w1, w2, w3, w4)"
+    return ("SELECT CAST(scenario_id AS BIGINT) AS scenario_id, budget, staff, horizon, priority, w0, w1, w2, w3, w4 "
+            f"FROM (VALUES {rows}) AS g(scenario_id, budget, staff, horizon, priority, w0, w1, w2, w3, w4)")
 
 
 SWEEP_SQL = f"""
@@ -110,7 +111,7 @@ def scoring_ranked_cards(spark, sf):
 
 @register("scoring_factor_breakdown", SWEEP_SQL + """
 SELECT scenario_id, case_id, factor_no, factor, rating, weight, rating * 20 AS width FROM (
-  SELECT scenario_id, case_id, 1 AS factor_no, 'Intervention potential' AS factor, r0 AS rating, CAST(w0 AS DOUBLE) AS weight FROM scored
+  SELECT scenario_id, case_id, CAST(1 AS BIGINT) AS factor_no, 'Intervention potential' AS factor, r0 AS rating, CAST(w0 AS DOUBLE) AS weight FROM scored
   UNION ALL SELECT scenario_id, case_id, 2, 'Existing toolkit fit', r1, w1 FROM scored
   UNION ALL SELECT scenario_id, case_id, 3, 'Delivery capacity', r2, w2 FROM scored
   UNION ALL SELECT scenario_id, case_id, 4, 'Expansion feasibility', r3, w3 FROM scored

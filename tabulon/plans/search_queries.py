@@ -252,7 +252,7 @@ c AS (SELECT *, CAST(Tot_Dschrgs AS BIGINT) AS d,
              CAST(round(CAST(Avg_Submtd_Cvrd_Chrg AS DECIMAL(18,2)) * 100) AS BIGINT) AS b_c,
              CAST(round(CAST(Avg_Tot_Pymt_Amt AS DECIMAL(18,2)) * 100) AS BIGINT) AS t_c,
              CAST(round(CAST(Avg_Mdcr_Pymt_Amt AS DECIMAL(18,2)) * 100) AS BIGINT) AS m_c FROM cost),
-g AS (SELECT {keys}, sum(d) AS discharges, count(*) AS providers,
+g AS (SELECT {keys}, CAST(sum(d) AS BIGINT) AS discharges, count(*) AS providers,
              sum(b_c * d) AS wb, sum(t_c * d) AS wt, sum(m_c * d) AS wm,
              min({{'p': t_c, 'n': Rndrng_Prvdr_Org_Name}}) AS lo, max({{'p': t_c, 'n': Rndrng_Prvdr_Org_Name}}) AS hi
       FROM c WHERE d > 0 GROUP BY {keys})
