@@ -48,3 +48,18 @@ def test_plan_has_no_pair_joins(spark, name):
     """No registered query plans a Cartesian product or a nested-loop join."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "DateType": "DATE", "TimestampType": "TIMESTAMP",
+                 "TimestampNTZType": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in SQL if n != "admission_stream"))
+def test_column_types_match_oracle(spark, con, name):
+    schema = QUERIES[name](spark, SF).schema
+    duck_types = {d[0]: str(d[1]) for d in con.execute(f"SELECT * FROM ({SQL[name]}) LIMIT 0").description}
+    for f in schema.fields:
+        t = type(f.dataType).__name__
+        assert duck_types[f.name] == SPARK_TO_DUCK.get(t, t) or (
+            t == "DecimalType" and duck_types[f.name].startswith("DECIMAL")), (name, f.name, t, duck_types[f.name])
