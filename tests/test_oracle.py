@@ -63,3 +63,31 @@ def test_column_types_match_oracle(spark, con, name):
         t = type(f.dataType).__name__
         assert duck_types[f.name] == SPARK_TO_DUCK.get(t, t) or (
             t == "DecimalType" and duck_types[f.name].startswith("DECIMAL")), (name, f.name, t, duck_types[f.name])
+
+
+def _single_partition_parents(plan: str):
+    """Parent node of every single-partition exchange in a plan string."""
+    import re
+    lines = plan.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        col = re.search(r"[A-Za-z]", line).start()
+        parent = ""
+        for j in range(i - 1, -1, -1):
+            m = re.search(r"[A-Za-z]", lines[j])
+            if m and m.start() < col:
+                parent = lines[j]
+                break
+        out.append(parent)
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "admission_stream"))
+def test_no_single_partition_window_or_sort(spark, name):
+    """Single-partition exchanges only feed final global aggregates or limits
+    (tiny partial results), never a window or a sort over whole data."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for parent in _single_partition_parents(plan):
+        assert any(x in parent for x in ("Aggregate", "Limit", "TakeOrdered")), (name, parent.strip())
