@@ -170,43 +170,63 @@ def correlate(panel: DataFrame, id_a: str, id_b: str, year: int | None = None):
     return summary, points
 
 
-MAX_PAIR_INDICATORS = 200
+PAIR_BLOCK = 100
+
+
+def _pair_stats(means: DataFrame, ids_a: list[str], ids_b: list[str] | None) -> DataFrame | None:
+    """Pearson for the pairs (a < b within one block when ``ids_b`` is None,
+    else every a x b across two blocks): pivot the block's indicators to
+    columns per country, then one masked aggregate expression per pair."""
+    cols = sorted(set(ids_a) | set(ids_b or []))
+    pairs = ([(a, b) for i, a in enumerate(ids_a) for b in ids_a[i + 1:]] if ids_b is None
+             else [(min(a, b), max(a, b)) for a in ids_a for b in ids_b])
+    if not pairs:
+        return None
+    wide = (means.where(F.col("indicator_id").isin(*cols))
+                 .groupBy("country_code").pivot("indicator_id", cols).agg(F.first("value")))
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
+        x, y = F.when(both, F.col(f"`{a}`")), F.when(both, F.col(f"`{b}`"))
+        aggs += [F.count(x).cast("bigint").alias(f"_n{k}"), F.round(safe_pearson(x, y), 4).alias(f"_r{k}")]
+    rows = F.array(*[F.struct(F.lit(a).alias("indicator_a"), F.lit(b).alias("indicator_b"),
+                              F.col(f"_n{k}").alias("n"), F.col(f"_r{k}").alias("correlation"))
+                     for k, (a, b) in enumerate(pairs)])
+    return wide.agg(*aggs).select(F.explode(rows).alias("p")).select("p.*")
 
 
 def correlate_all_pairs(panel: DataFrame, year: int | None = None,
                         indicator_ids: list[str] | None = None) -> DataFrame:
     """A2 re-aimed: Pearson r for every unordered indicator pair at once.
 
-    No pair rows are formed: the panel is reduced to one value per
-    (country, indicator), pivoted to one column per indicator (ids from the
-    registry, or the distinct ids present, size-checked), and a single
-    aggregate evaluates one masked Pearson expression per pair, so each
-    country row is read once and the pairs exist only as expressions."""
+    No pair rows are formed: the panel is reduced to one mean per (country,
+    indicator), pivoted to one column per indicator, and a single aggregate
+    evaluates one masked Pearson expression per pair, so each country row is
+    read once per pass and pairs exist only as expressions.  Up to
+    ``PAIR_BLOCK`` indicators take one pass; beyond that the indicators are
+    split into blocks and every pair of blocks takes one pass (exact, no
+    cap).  Indicator ids come from the registry, or from the distinct ids
+    present (a dimension, collected)."""
     base = year_slice(panel, year) if year is not None else panel
     if indicator_ids is None:
-        found = base.select("indicator_id").distinct().limit(MAX_PAIR_INDICATORS + 1).collect()
-        indicator_ids = sorted(r[0] for r in found if r[0] is not None)
+        indicator_ids = [r[0] for r in base.select("indicator_id").distinct().collect() if r[0] is not None]
     ids = sorted(set(indicator_ids))
-    if len(ids) > MAX_PAIR_INDICATORS:
-        raise ValueError(f"more than {MAX_PAIR_INDICATORS} indicators for the all-pairs correlation")
-    wide = (base.where(F.col("indicator_id").isin(*ids))
-                .groupBy("country_code").pivot("indicator_id", ids).agg(F.avg("value")))
-    aggs, pairs = [], []
-    for i, a in enumerate(ids):
-        for b in ids[i + 1:]:
-            both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-            x, y = F.when(both, F.col(f"`{a}`")), F.when(both, F.col(f"`{b}`"))
-            k = len(pairs)
-            aggs += [F.count(x).cast("bigint").alias(f"_n{k}"), F.round(safe_pearson(x, y), 4).alias(f"_r{k}")]
-            pairs.append((a, b))
-    if not pairs:
+    means = (base.where(F.col("indicator_id").isin(*ids))
+                 .groupBy("country_code", "indicator_id").agg(F.avg("value").alias("value")))
+    blocks = [ids[i:i + PAIR_BLOCK] for i in range(0, len(ids), PAIR_BLOCK)]
+    parts = []
+    for i, a in enumerate(blocks):
+        parts.append(_pair_stats(means, a, None))
+        for b in blocks[i + 1:]:
+            parts.append(_pair_stats(means, a, b))
+    parts = [p for p in parts if p is not None]
+    if not parts:
         return panel.sparkSession.createDataFrame(
             [], "indicator_a string, indicator_b string, n bigint, correlation double")
-    one = wide.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("indicator_a"), F.lit(b).alias("indicator_b"),
-                              F.col(f"_n{k}").alias("n"), F.col(f"_r{k}").alias("correlation"))
-                     for k, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(rows).alias("p")).select("p.*")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def indicator_summary(panel: DataFrame) -> DataFrame:

@@ -396,3 +396,15 @@ def test_string_csv_keeps_text_and_json_sink_bounds_files(spark, tmp_dir):
     assert len(parts) == 3
     recs = [json.loads(line) for p in parts for line in open(os.path.join(out, p))]
     assert len(recs) == 25 and {r["id"]: r["x"] for r in recs}[3] is None
+
+
+def test_all_pairs_blocked_equals_single_pass(spark, monkeypatch):
+    import random
+    rnd = random.Random(7)
+    rows = [(f"C{c}", f"C{c}", 2000, f"i{i}", float(rnd.randint(0, 9)), "S")
+            for c in range(6) for i in range(8) if rnd.random() < 0.9]
+    df = spark.createDataFrame(rows, P.PANEL_SCHEMA)
+    single = sorted(tuple(r) for r in P.correlate_all_pairs(df).collect())
+    monkeypatch.setattr(P, "PAIR_BLOCK", 3)
+    blocked = sorted(tuple(r) for r in P.correlate_all_pairs(df).collect())
+    assert len(single) == 28 and single == blocked
