@@ -408,3 +408,15 @@ def test_all_pairs_blocked_equals_single_pass(spark, monkeypatch):
     monkeypatch.setattr(P, "PAIR_BLOCK", 3)
     blocked = sorted(tuple(r) for r in P.correlate_all_pairs(df).collect())
     assert len(single) == 28 and single == blocked
+
+
+def test_panel_table_partitioned_by_indicator_prunes(spark, tmp_dir):
+    from tests.conftest import SF_SMALL
+    from tabulon.plans.derive import nation_year_panel
+    path = os.path.join(tmp_dir, "panel")
+    files.write_table(nation_year_panel(spark, SF_SMALL), path, partition_by=["indicator_id"])
+    stored = spark.read.parquet(path)
+    ranked = P.rankings(stored.where(F.col("indicator_id") == "revenue"), year=1996, top_n=3)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(indicator_id" in plan and "revenue" in plan
+    assert ranked.count() == 3
