@@ -89,9 +89,13 @@ def admission_stream(stream: DataFrame, key: str = "key", ts: str = "ts", tie: s
                                         GroupStateTimeout.EventTimeTimeout))
 
 
+DEFAULT_BYTES_PER_TRIGGER = "512m"
+
+
 def run_to_table(spark: SparkSession, source_dir: str, schema: T.StructType, transform,
                  max_files_per_trigger: int | None = None, out_root: str | None = None,
-                 glob: str | None = None) -> DataFrame:
+                 glob: str | None = None,
+                 max_bytes_per_trigger: str | None = DEFAULT_BYTES_PER_TRIGGER) -> DataFrame:
     """Run a parquet file stream (files of ``source_dir``, optionally only
     those matching ``glob``) to completion (``availableNow``) through
     ``transform`` into a parquet table under the shared checkpoint folder and
@@ -104,6 +108,10 @@ def run_to_table(spark: SparkSession, source_dir: str, schema: T.StructType, tra
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    elif max_bytes_per_trigger:
+        # micro-batches of bounded input size: a key's rows inside one batch
+        # (sorted in memory by the state function) stay bounded as well
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     query = (transform(reader.parquet(source_dir)).writeStream
              .format("parquet").outputMode("append")
              .option("checkpointLocation", root + "/_checkpoint")

@@ -121,3 +121,19 @@ def test_lenient_double_matches_python_float(spark, texts):
     got = {r["i"]: r["v"] for r in df.select("i", lenient_double(F.col("t")).alias("v")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == py_float_or_none(t), t
+
+
+def test_stream_byte_budget_splits_batches_and_equals_batch(spark, tmp_path):
+    from tabulon.operators import admission as Z
+    from tabulon.streaming.admission_stream import admission_stream, run_to_table
+    src = str(tmp_path / "events")
+    rows = [(i, f"k{i % 3}", 1_700_000_000 + i * 11) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, key string, t long") \
+              .withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    for j in range(3):
+        df.where((F.col("event_id") >= j * 100) & (F.col("event_id") < (j + 1) * 100)).coalesce(1) \
+          .write.mode("append").parquet(src)
+    batch = {r["event_id"]: r["admitted"] for r in Z.admission(df, limit=2, window_seconds=60).collect()}
+    out = run_to_table(spark, src, df.schema, lambda s: admission_stream(s, limit=2, window_seconds=60),
+                       out_root=str(tmp_path / "out"), max_bytes_per_trigger="1")
+    assert {r["event_id"]: r["admitted"] for r in out.collect()} == batch
