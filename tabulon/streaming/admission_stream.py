@@ -89,13 +89,13 @@ def admission_stream(stream: DataFrame, key: str = "key", ts: str = "ts", tie: s
                                         GroupStateTimeout.EventTimeTimeout))
 
 
-DEFAULT_BYTES_PER_TRIGGER = "512m"
+DEFAULT_BYTES_PER_TRIGGER = 512 * 1024 * 1024
 
 
 def run_to_table(spark: SparkSession, source_dir: str, schema: T.StructType, transform,
                  max_files_per_trigger: int | None = None, out_root: str | None = None,
                  glob: str | None = None,
-                 max_bytes_per_trigger: str | None = DEFAULT_BYTES_PER_TRIGGER) -> DataFrame:
+                 max_bytes_per_trigger: int | None = DEFAULT_BYTES_PER_TRIGGER) -> DataFrame:
     """Run a parquet file stream (files of ``source_dir``, optionally only
     those matching ``glob``) to completion (``availableNow``) through
     ``transform`` into a parquet table under the shared checkpoint folder and

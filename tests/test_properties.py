@@ -135,5 +135,5 @@ def test_stream_byte_budget_splits_batches_and_equals_batch(spark, tmp_path):
           .write.mode("append").parquet(src)
     batch = {r["event_id"]: r["admitted"] for r in Z.admission(df, limit=2, window_seconds=60).collect()}
     out = run_to_table(spark, src, df.schema, lambda s: admission_stream(s, limit=2, window_seconds=60),
-                       out_root=str(tmp_path / "out"), max_bytes_per_trigger="1")
+                       out_root=str(tmp_path / "out"), max_bytes_per_trigger=1)
     assert {r["event_id"]: r["admitted"] for r in out.collect()} == batch
