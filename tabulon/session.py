@@ -47,6 +47,22 @@ def apply_sql_defaults(spark: SparkSession) -> None:
     """Runtime SQL settings; safe to call on a session someone else built."""
     for k, v in SQL_DEFAULTS.items():
         spark.conf.set(k, v)
+    make_package_importable(spark)
+
+
+def make_package_importable(spark: SparkSession) -> None:
+    """Python workers unpickle the Arrow-batch functions by module reference,
+    so they must import this package.  In local mode the package root is
+    added to the workers' PYTHONPATH (the context environment travels with
+    every Python function created afterwards).  On a cluster the package is
+    shipped the usual way (``--py-files`` or an installed wheel)."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root] + paths)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
