@@ -220,7 +220,11 @@ def choose_source(registry: DataFrame, load_status: DataFrame) -> DataFrame:
 
 
 def apply_source_choice(raw_panel: DataFrame, choice: DataFrame) -> DataFrame:
-    """Keep, per indicator, only the rows of the chosen source."""
+    """Keep, per indicator, only the rows of the chosen source.  ``choice``
+    has one row per registry entry (built from the registry by left joins
+    against distinct load statuses), so its size is bounded by the registry
+    and it is broadcast: the panel is never shuffled on its few indicator
+    keys."""
     c = choice.where(F.col("source_used").isNotNull()).select(
         "indicator_id", F.col("source_used").alias("source"))
-    return raw_panel.join(c, ["indicator_id", "source"], "left_semi")
+    return raw_panel.join(F.broadcast(c), ["indicator_id", "source"], "left_semi")

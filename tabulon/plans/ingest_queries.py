@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabulon.operators import ingest as I
 from tabulon.plans.derive import NATION_PANEL_SQL, nation_code, nation_year_panel
 from tabulon.plans.registry import register
+from tabulon.session import cut_lineage
 from tabulon.sources.dims import registry_df
 from tabulon.sources.files import json_records
 from tabulon.sources.testdata import table
@@ -176,7 +177,10 @@ def ingest_source_fallback(spark, sf):
     series is used, while the others keep their primary."""
     who = who_like_panel(spark, sf)
     owid = nation_year_panel(spark, sf).withColumn("source", F.lit("OWID"))
-    raw = who.unionByName(owid)
+    # the raw panel (aggregated, small next to its inputs) feeds both the
+    # load statuses and the final filter: written once to the shared
+    # checkpoint folder instead of recomputing lineitem twice
+    raw = cut_lineage(who.unionByName(owid))
     status = raw.select("indicator_id", "source").distinct().withColumn("ok", F.lit(True))
     choice = I.choose_source(registry_df(spark, FALLBACK_REGISTRY), status)
     return I.apply_source_choice(raw, choice)
