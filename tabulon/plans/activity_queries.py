@@ -49,18 +49,30 @@ def activity_longest_streak(spark, sf):
     return A.longest_streak(_events(spark, sf))
 
 
-@register("catalog_lines", """
+def _part_items(spark, sf):
+    return table(spark, sf, "part").select(
+        F.col("p_brand").alias("category"), F.col("p_partkey").alias("item_pos"), F.col("p_name").alias("name"),
+        F.lower("p_type").alias("profile"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("best_for"))
+
+
+ITEMS_SQL = """
 WITH items AS (SELECT p_brand AS category, p_partkey AS item_pos, p_name AS name, lower(p_type) AS profile,
-                      'size ' || CAST(p_size AS VARCHAR) AS best_for FROM part)
+                      'size ' || CAST(p_size AS VARCHAR) AS best_for FROM part)"""
+
+
+@register("catalog_lines", ITEMS_SQL + """
 SELECT category, item_pos,
-       '- [' || category || '] ' || name || ': ' || profile || '. Best for: ' || best_for || '.' AS line,
-       CAST(row_number() OVER (PARTITION BY category ORDER BY item_pos) AS BIGINT) AS pos,
-       count(*) OVER (PARTITION BY category) AS n_items
+       '- [' || category || '] ' || name || ': ' || profile || '. Best for: ' || best_for || '.' AS line
 FROM items""")
 def catalog_lines(spark, sf):
-    """A10: catalog lines per category in catalog order (parts as items,
+    """A10: catalog lines keyed by (category, position) (parts as items,
     brand as category)."""
-    p = table(spark, sf, "part").select(
-        F.col("p_brand").alias("category"), F.col("p_partkey").alias("item_pos"), F.col("p_name").alias("name"),
-        F.lower("p_type").alias("profile"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("best_for"))
-    return S.catalog_lines(p)
+    return S.catalog_lines(_part_items(spark, sf))
+
+
+@register("catalog_rollup", ITEMS_SQL + """
+SELECT category, count(*) AS n_items, arg_min(name, item_pos) AS first_item, min(item_pos) AS first_pos
+FROM items GROUP BY category""")
+def catalog_rollup(spark, sf):
+    """A10 per category: item count and first item in catalog order."""
+    return S.catalog_rollup(_part_items(spark, sf))
