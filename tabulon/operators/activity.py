@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.prefix import running_max as running_max_bucketed
+
 
 def session_best(events: DataFrame, player: str = "user_id", session: str = "day", score: str = "value",
                  ts: str = "ts") -> DataFrame:
@@ -20,11 +22,13 @@ def session_best(events: DataFrame, player: str = "user_id", session: str = "day
 
 
 def running_max(events: DataFrame, player: str = "user_id", score: str = "value",
-                order=("ts", "event_id")) -> DataFrame:
-    """W7 within one session: the score shown after each row is the max so
-    far (streaming running frame, no buffering of the group)."""
-    w = Window.partitionBy(player).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("score_so_far", F.max(score).over(w))
+                ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The score shown after each row is the max so far, ordered by
+    (ts, tie).  A bucketed prefix scan: per-player time buckets scanned in
+    parallel plus a carry from earlier buckets, so a player holding a third
+    of all rows is not one task."""
+    t = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    return running_max_bucketed(t, player, ["_t", tie], "_t", score, "score_so_far").drop("_t")
 
 
 def longest_streak(events: DataFrame, player: str = "user_id", day: str = "day") -> DataFrame:

@@ -10,8 +10,11 @@ Batch plan (no group is ever materialised):
 
 1. ``seg`` splits every key's timeline at idle gaps longer than the window:
    the state is provably empty after such a gap, so segments are independent
-   and a hot key's work spreads over many tasks.  (A hot key without idle gaps
-   is inherently sequential; it is still streamed, never held in memory.)
+   and a hot key's work spreads over many tasks.  The segment numbers come
+   from a bucketed prefix scan (``operators.prefix``), so even this step
+   never runs a key's whole timeline in one task.  (A hot key without idle
+   gaps is inherently sequential; it is still streamed, never held in
+   memory.)
 2. hash-repartition on (key, seg), sort within partitions, then
    ``mapInPandas`` walks the Arrow batches carrying at most ``limit`` stamps
    of state; memory is bounded by the batch size plus the limit.
@@ -29,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.operators.prefix import gap_segments
+
 # Fixed values that must equal the reference's for identical results.
 LIMIT = 20
 WINDOW_SECONDS = 60
@@ -99,12 +104,10 @@ def _partition_fn(limit: int, window_us: int):
 
 def idle_segments(events: DataFrame, key: str, order: list[str], window_us: int) -> DataFrame:
     """Adds ``_seg``: running count of gaps longer than the window in the
-    key's timeline (a cheap JVM window; its sort spills)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    gap = F.col("_us") - F.lag("_us").over(w)
-    started = events.withColumn("_new", F.when(gap > window_us, 1).otherwise(0))
-    return started.withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-                  .drop("_new")
+    key's timeline.  Computed as a bucketed prefix scan (per-key time
+    buckets plus a carry from earlier buckets), so a hot key's timeline is
+    processed by many tasks, not one window partition."""
+    return gap_segments(events, key, order, "_us", window_us, "_seg")
 
 
 def admission(events: DataFrame, key: str = "key", ts: str = "ts", tie: str = "event_id",

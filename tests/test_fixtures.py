@@ -420,3 +420,23 @@ def test_panel_table_partitioned_by_indicator_prunes(spark, tmp_dir):
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(indicator_id" in plan and "revenue" in plan
     assert ranked.count() == 3
+
+
+def test_bucketed_prefix_scans_equal_plain_windows_with_hot_and_null_keys(spark):
+    from pyspark.sql import Window
+    from tabulon.operators import prefix as PF
+    from tests.conftest import SF_SMALL
+    ev = (spark.read.parquet(f"{SF_SMALL}/events.parquet")
+               .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+               .withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0))
+                           .when(F.col("event_id") % 97 == 1, F.lit(None)).otherwise(F.col("user_id"))))
+    w = Window.partitionBy("user_id").orderBy("_us", "event_id")
+    a = PF.running_max(ev, "user_id", ["_us", "event_id"], "_us", "value", "rm", buckets=8).select("event_id", "rm")
+    b = ev.withColumn("rm", F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("event_id", "rm")
+    assert a.count() == ev.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    gap = 6 * 3600 * 1_000_000
+    s1 = PF.gap_segments(ev, "user_id", ["_us", "event_id"], "_us", gap, "seg", buckets=8).select("event_id", "seg")
+    new = F.when(F.col("_us") - F.lag("_us").over(w) > gap, 1).otherwise(0)
+    s2 = (ev.withColumn("_n", new).withColumn("seg", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .select("event_id", "seg"))
+    assert s1.count() == ev.count() and s1.exceptAll(s2).count() == 0
