@@ -20,17 +20,22 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 32
 
 
-def with_buckets(df: DataFrame, key: str, t: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def with_buckets(df: DataFrame, key: str, t: str, buckets: int = DEFAULT_BUCKETS,
+                 keep_cuts: bool = False) -> DataFrame:
     """Adds ``_bucket`` (0..buckets-1) from per-key percentile cuts of the
-    integer time column ``t``.  The cut table has one row per key; joining it
-    is an equi-join on the key (AQE splits a skewed key's partitions)."""
+    integer time column ``t``: bucket = number of cuts <= t, so bucket j
+    (j >= 1) starts at the j-th distinct cut.  The cut table has one row per
+    key; joining it is an equi-join on the key (AQE splits a skewed key's
+    partitions).  ``keep_cuts`` keeps the sorted distinct cuts as ``_cuts``."""
     if buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0))
+        df = df.withColumn("_bucket", F.lit(0))
+        return df.withColumn("_cuts", F.array().cast("array<bigint>")) if keep_cuts else df
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(F.col(key).alias("_ck")).agg(F.percentile_approx(F.col(t), qs, 1000).alias("_cuts"))
+    cuts = df.groupBy(F.col(key).alias("_ck")).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx(F.col(t), qs, 1000))).alias("_cuts"))
     joined = df.join(cuts, F.col(key).eqNullSafe(F.col("_ck"))).drop("_ck")
-    return joined.withColumn("_bucket", F.size(F.filter(F.array_distinct("_cuts"),
-                                                        lambda c: c <= F.col(t)))).drop("_cuts")
+    out = joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(t))))
+    return out if keep_cuts else out.drop("_cuts")
 
 
 def _carry(bucketed: DataFrame, key: str, aggs: list[Column], names: list[str], combine: dict) -> DataFrame:
@@ -75,3 +80,25 @@ def gap_segments(df: DataFrame, key: str, order: list[str], t: str, gap: int, ou
     return (_join_carry(local, starts, key)
                  .withColumn(out, F.col("_local") + F.coalesce(F.col("_carry_n"), F.lit(0)))
                  .drop("_prev", "_new", "_local", "_carry_last", "_carry_n", "_bucket"))
+
+
+def range_count(df: DataFrame, key: str, t: str, width: int, out: str,
+                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``count(*) over (partition by key order by t range between width
+    preceding and current row)`` per (key, bucket) with a halo: every row is
+    also copied (as a non-output row) into each later bucket of its key that
+    starts no later than ``t + width``, which is exactly the set of buckets
+    whose rows can have it inside their window.  The halo of a bucket is the
+    rows within one window before its start, so the work per task stays
+    proportional to the window density, not to the key's size."""
+    b = with_buckets(df, key, t, buckets, keep_cuts=True)
+    far = F.size(F.filter("_cuts", lambda c: c <= F.col(t) + F.lit(width)))
+    halo = F.when(far > F.col("_bucket"), F.sequence(F.col("_bucket") + 1, far)).otherwise(
+        F.array().cast("array<int>"))
+    copies = F.concat(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("real"))),
+                      F.transform(halo, lambda j: F.struct(j.alias("b"), F.lit(False).alias("real"))))
+    rows = b.withColumn("_copy", F.explode(copies)).drop("_cuts")
+    rows = rows.withColumn("_bucket", F.col("_copy.b")).withColumn("_real", F.col("_copy.real")).drop("_copy")
+    w = Window.partitionBy(key, "_bucket").orderBy(F.col(t)).rangeBetween(-width, 0)
+    return (rows.withColumn(out, F.count(F.lit(1)).over(w))
+                .where(F.col("_real")).drop("_real", "_bucket"))

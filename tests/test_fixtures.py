@@ -440,3 +440,8 @@ def test_bucketed_prefix_scans_equal_plain_windows_with_hot_and_null_keys(spark)
     s2 = (ev.withColumn("_n", new).withColumn("seg", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
             .select("event_id", "seg"))
     assert s1.count() == ev.count() and s1.exceptAll(s2).count() == 0
+    for width in (60 * 1_000_000, 5 * 86400 * 1_000_000):
+        r1 = PF.range_count(ev, "user_id", "_us", width, "arr", buckets=8).select("event_id", "arr")
+        wr = Window.partitionBy("user_id").orderBy("_us").rangeBetween(-width, 0)
+        r2 = ev.withColumn("arr", F.count(F.lit(1)).over(wr)).select("event_id", "arr")
+        assert r1.count() == ev.count() and r1.exceptAll(r2).count() == 0
