@@ -398,3 +398,23 @@ def selected_ranking(selection: DataFrame, request_keys=("request_id",), rank_st
     return (selection.withColumn("rank", F.row_number().over(w))
                      .where(F.col("rank").between(rank_start, rank_end))
                      .withColumn("rank", F.col("rank").cast("bigint")))
+
+
+def selected_correlation(selection: DataFrame, id_a: str, id_b: str, request_keys=("request_id",),
+                         year: int | None = None) -> DataFrame:
+    """X4's selected correlation (A2 per request): over each request's
+    selected countries, Pearson r of the two indicators' country means (each
+    on its own years; or one year's values), rounded to 4; ``n`` countries
+    with both; NULL r for n < 2 or zero variance.  Both means come from one
+    conditional aggregate per (request, country): no pair rows."""
+    from tabulon.functions.numeric import safe_pearson
+    keys = list(request_keys)
+    sel = selection if year is None else selection.where(F.col("year") == year)
+    ind = F.col("indicator_id")
+    per_country = sel.groupBy(*keys, "country_code").agg(
+        F.avg(F.when(ind == id_a, F.col("value"))).alias("x"),
+        F.avg(F.when(ind == id_b, F.col("value"))).alias("y"))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    return per_country.groupBy(*keys).agg(F.count(x).cast("bigint").alias("n"),
+                                          F.round(safe_pearson(x, y), 4).alias("correlation"))

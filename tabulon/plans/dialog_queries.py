@@ -460,3 +460,21 @@ def dialog_selected_ranking(spark, sf):
     sel = _selection(spark, sf).where(F.col("indicator_id") == "revenue")
     out = D.selected_ranking(sel, request_keys=("region", "year"), rank_start=3, rank_end=12)
     return out.select("region", "year", "rank", "country_code", "country_name", "value")
+
+
+@register("dialog_selected_correlation", "WITH " + CUSTOMER_NATION_SQL + f", bridge AS ({BRIDGE_SQL})" + """,
+sel AS (SELECT b.region, p.* FROM cpanel p JOIN bridge b ON p.nation = b.country_code),
+pc AS (SELECT region, country_code,
+              avg(CASE WHEN indicator_id = 'revenue' THEN value END) AS x,
+              avg(CASE WHEN indicator_id = 'n_orders' THEN value END) AS y
+       FROM sel GROUP BY region, country_code),
+m AS (SELECT region, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END AS x,
+             CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN y END AS y FROM pc)
+SELECT region, count(x) AS n,
+       round(CASE WHEN stddev_samp(x) * stddev_samp(y) <> 0
+                  THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END, 4) AS correlation
+FROM m GROUP BY region""")
+def dialog_selected_correlation(spark, sf):
+    """X4's selected correlation: per region request, Pearson r of revenue
+    and order count over the customers it selected (country means)."""
+    return D.selected_correlation(_selection(spark, sf), "revenue", "n_orders", request_keys=("region",))
