@@ -32,7 +32,8 @@ def with_buckets(df: DataFrame, key: str, t: str, buckets: int = DEFAULT_BUCKETS
         return df.withColumn("_cuts", F.array().cast("array<bigint>")) if keep_cuts else df
     qs = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(F.col(key).alias("_ck")).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(F.col(t), qs, 1000))).alias("_cuts"))
+        F.coalesce(F.array_sort(F.array_distinct(F.percentile_approx(F.col(t), qs, 1000))),
+                   F.array().cast("array<bigint>")).alias("_cuts"))
     joined = df.join(cuts, F.col(key).eqNullSafe(F.col("_ck"))).drop("_ck")
     out = joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(t))))
     return out if keep_cuts else out.drop("_cuts")
