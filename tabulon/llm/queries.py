@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, quality
+from tabulon.llm import chat, licenses, quality
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,33 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     messages = rows.withColumn("parts", chat.text_part(F.col("text")))
     return chat.chat_digest(chat.format_conversations(messages))
+
+
+def _license_sql() -> str:
+    base = " UNION ALL ".join(
+        f"SELECT rid, i, '{label}' AS label FROM (SELECT rid, ws, unnest(generate_series(1, len(ws))) AS i FROM w) "
+        f"WHERE ws[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in licenses.PHRASES.items())
+    side = ", ".join(f"('{label}', {ts!r}, {licenses.needed(len(ts), licenses.CONTAINMENT)})"
+                     for label, text in licenses.TEMPLATES for ts in [licenses.template_tokens(text)])
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '{word}') AS ws FROM d),
+b AS ({base}),
+bg AS (SELECT rid, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_distinct(list(label)) AS ls FROM b GROUP BY rid),
+ln AS (SELECT rid, list_distinct(regexp_extract_all(line, '{word}')) AS ts FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+t(label, ts, need) AS (VALUES {side}),
+h AS (SELECT ln.rid, t.label, len(list_intersect(ln.ts, t.ts)) / len(t.ts) AS c FROM ln JOIN t ON len(list_intersect(ln.ts, t.ts)) >= t.need),
+hg AS (SELECT rid, list_distinct(list(label)) AS ls, max(c) AS best FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(bg.n, 0) AS BIGINT) AS n_base,
+  CAST(bg.f AS BIGINT) AS first_word, CAST(bg.l AS BIGINT) AS last_word,
+  array_to_string(list_sort(coalesce(bg.ls, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bg.ls, []), coalesce(hg.ls, [])))), ',') AS labels,
+  greatest(coalesce(hg.best, 0.0), CASE WHEN bg.n > 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM d JOIN w USING (rid) LEFT JOIN bg USING (rid) LEFT JOIN hg USING (rid)
+"""
+
+
+@register("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
