@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, licenses, quality
+from tabulon.llm import chat, licenses, quality, toxicity
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ FROM d JOIN w USING (rid) LEFT JOIN bg USING (rid) LEFT JOIN hg USING (rid)
 @register("op3_license_scan", _license_sql())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
