@@ -30,16 +30,20 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.buffers import chunks, mix, text_buffer
 
-BUCKETS = 1 << 18
-GRAMS = (3, 4, 5)
-DIM = 8
+BUCKETS = 1 << 19
+GRAMS = (3, 4, 5, 6)
+DIM = 4
 MAX_ROWS = 1500
-EPOCHS = 40
-RATE = 0.1
+EPOCHS = 60
 SEED = 7
-DECAY = 0.02
+MOMENTUM = 0.9
+# Learning rates of the embeddings, the output rows and the biases; weight decay.
+RATES = (1.0, 0.05, 0.5)
+DECAY = 3e-4
+# The mean of many small vectors is small; a fixed factor keeps gradients in range.
+SCALE = 100.0
+# An n-gram of fewer training texts than this keeps the weight 0.
 MIN_DOCS = 3
-MIN_SHARE = 0.005
 FOLDS = 5
 
 # Bytes that separate words; capitals are folded.
@@ -82,49 +86,54 @@ def gram_buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out_b), np.concatenate(out_d)
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Joint training over (buckets, shares) of each document; one weight per bucket and the bias."""
-    share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    # An n-gram of very few documents says nothing about others: its weight stays 0.
-    known = np.bincount(np.concatenate([b for b, _ in docs]), minlength=BUCKETS) >= max(MIN_DOCS, MIN_SHARE * len(docs))
-    doc = np.repeat(np.arange(len(docs)), [int(known[b].sum()) for b, _ in docs])
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_rows: tuple[int, int] | None = None
+        ) -> tuple[np.ndarray, float]:
+    """Joint training over the (buckets, shares) of each text: one weight per bucket, and the bias.
+
+    ``class_rows``: labelled rows of either kind that the sample stands for.
+    """
+    seen = np.array([(labels == 0).sum(), (labels == 1).sum()], dtype=float)
+    stands = np.array(class_rows if class_rows is not None else seen, dtype=float)
+    share = stands[1] / stands.sum() if stands.sum() else 0.5
+    prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    if not seen.all():
+        return np.zeros(BUCKETS, np.float32), prior
+    known = np.bincount(np.concatenate([b for b, _ in docs]), minlength=BUCKETS) >= MIN_DOCS
+    n = len(docs)
+    doc = np.repeat(np.arange(n), [int(known[b].sum()) for b, _ in docs])
     used, flat = np.unique(np.concatenate([b[known[b]] for b, _ in docs]), return_inverse=True)
     x = np.concatenate([v[known[b]] for b, v in docs]).astype(np.float32)
     rng = np.random.default_rng(SEED)
-    emb = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM)).astype(np.float32)
-    out = rng.uniform(-1, 1, (DIM, 2)).astype(np.float32)
-    bias = np.array([np.log(1 - share), np.log(share)], dtype=np.float32)
-    target = np.stack([1 - labels, labels], axis=1).astype(np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
-    for step in range(1, EPOCHS + 1):
-        mean = np.stack([np.bincount(doc, weights=x * emb[flat, k], minlength=len(docs)) for k in range(DIM)], 1)
-        mean = (mean * SCALE).astype(np.float32)
+    emb = rng.uniform(-0.01, 0.01, (len(used), DIM))
+    out = rng.uniform(-1, 1, (DIM, 2))
+    bias = np.array([0.0, prior])
+    target = np.stack([1 - labels, labels], axis=1)
+    weight = (stands / stands.sum() / seen)[labels.astype(int)]
+    speed = [np.zeros_like(p) for p in (emb, out, bias)]
+    best, pace = np.inf, 1.0
+    for _ in range(EPOCHS):
+        mean = SCALE * np.stack([np.bincount(doc, weights=x * emb[flat, k], minlength=n) for k in range(DIM)], 1)
         z = mean @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - target) / len(docs)
-        back = (g @ out.T).astype(np.float32) * SCALE
-        grads = (np.stack([np.bincount(flat, weights=x * back[doc, k], minlength=len(used)) for k in range(DIM)], 1)
-                 .astype(np.float32), mean.T @ g, g.sum(0))
-        for param, grad, s in zip((emb, out, bias), grads, state, strict=True):
-            s[0] *= 0.9
-            s[0] += 0.1 * grad
-            s[1] *= 0.99
-            s[1] += 0.01 * grad * grad
-            param *= 1 - RATE * DECAY
-            param -= RATE * (s[0] / (1 - 0.9 ** step)) / (np.sqrt(s[1] / (1 - 0.99 ** step)) + 1e-8)
+        loss = float(-(weight * np.log(np.maximum((p * target).sum(1), 1e-12))).sum())
+        if loss > 1.5 * best:  # overshot: go on slower
+            pace /= 2
+            speed = [np.zeros_like(v) for v in speed]
+        best = min(best, loss)
+        g = (p - target) * weight[:, None]
+        back = SCALE * (g @ out.T)
+        grads = (np.stack([np.bincount(flat, weights=x * back[doc, k], minlength=len(used)) for k in range(DIM)], 1),
+                 mean.T @ g, g.sum(0))
+        for param, grad, v, rate in zip((emb, out, bias), grads, speed, RATES, strict=True):
+            v *= MOMENTUM
+            v -= pace * rate * (grad + DECAY * param)
+            param += v
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = SCALE * (emb @ (out[:, 1] - out[:, 0]))
     return weights, float(bias[1] - bias[0])
 
 
-# The means of many small vectors are small; a fixed factor keeps gradients in range.
-SCALE = np.float32(10.0)
-
-
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
@@ -141,13 +150,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["key", "toxic", "ids", "shares"])
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], class_rows: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
         for key, toxic, ids, shares in zip(*(batch.column(c) for c in ("key", "toxic", "ids", "shares")), strict=True):
             rows.append((key.as_py(), toxic.as_py(), ids.values.to_numpy(), shares.values.to_numpy()))
     rows = sorted((r for r in rows if len(r[2])), key=lambda r: (r[0], r[1], len(r[2]), float(r[3].sum()), r[2].tobytes()))
-    weights, bias = fit([(r[2], r[3]) for r in rows], np.array([r[1] for r in rows], dtype=np.float32))
+    weights, bias = fit([(r[2], r[3]) for r in rows], np.array([r[1] for r in rows], dtype=float), class_rows)
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], ["weights", "bias"])
 
 
@@ -157,13 +166,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     known = labels.where((F.col("doc_id").isNotNull()) & F.col("toxic").isNotNull()) \
         .where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0) \
         .groupBy(F.col("doc_id").alias("key")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    class_rows = (counts.get(0, 0), counts.get(1, 0))
     order = F.xxhash64("key")
     parts = [known.where(F.col("toxic") == v).orderBy(order, "key").limit(max_rows) for v in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * max_rows rows of 12 bytes
     rows = docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text")).join(sample, "key")
     bags = rows.select("key", "toxic", "text").mapInArrow(
         _bags, "key long, toxic int, ids array<int>, shares array<float>")
-    model = bags.repartition(1).mapInArrow(_train, "weights binary, bias double").collect()
+    model = bags.repartition(1).mapInArrow(lambda it: _train(it, class_rows), "weights binary, bias double").collect()
     if not model:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model[0]["weights"], dtype=np.float32), float(model[0]["bias"])
