@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, licenses, mixing, packing, pii, quality, toxicity
+from tabulon.llm import chat, licenses, mixing, packing, pii, quality, toxicity, vectors
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+_VECTOR_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id,
+        CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM q JOIN e ON e.vec_id IS DISTINCT FROM q.vec_id AND len(q.v) = len(e.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id ASC NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@register("op7_vector_topk", _VECTOR_SQL)
+def op7_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_topk(vectors.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0, 10)
