@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, licenses, mixing, packing, pii, quality, toxicity, vectors
+from tabulon.llm import chat, licenses, mixing, packing, pii, quality, substrings, toxicity, vectors
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @register("op7_vector_topk", _VECTOR_SQL)
 def op7_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_topk(vectors.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0, 10)
+
+
+@register("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
