@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, licenses, mixing, packing, pii, quality, substrings, toxicity, vectors
+from tabulon.llm import chat, licenses, mixing, neardup, packing, pii, quality, substrings, toxicity, vectors
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def op7_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_substring_dedup")
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@register("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
