@@ -36,6 +36,13 @@ def count_of(text: Column, char_class: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{char_class}]+", "")).cast("long")
 
 
+def clear_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, made longer until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: cuts the lineage and survives
     the loss of executors."""

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import durable, split_words, text_or_empty
+from tabulon.llm.common import clear_prefix, durable, split_words, text_or_empty
 
 CAP = 3
 CYCLE = (1, 2, 3)
@@ -201,10 +201,10 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as many times as it has copies, columns
     as in ``docs``.  Equal rows (id, source, text) each get the rounded mean of their copies."""
-    plan = _copies(durable(_sized(docs))).groupBy("doc_id", "source", "hash").agg(F.round(F.avg("copies")).cast("int").alias("_tm_times")) \
-        .select(F.col("doc_id").alias("_tm_id"), F.col("source").alias("_tm_source"), F.col("hash").alias("_tm_hash"), "_tm_times") \
-        .where(F.col("_tm_times") > 0)
+    p = clear_prefix(docs, "_tm")
+    plan = _copies(durable(_sized(docs))).groupBy("doc_id", "source", "hash").agg(F.round(F.avg("copies")).cast("int").alias("times")) \
+        .where(F.col("times") > 0).select(*[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "source", "hash", "times")])
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_tm_src": F.col("source").cast("string"), "_tm_txt": F.xxhash64(text_or_empty())})
-    return keyed.join(plan, _same(("doc_id", "_tm_id"), ("_tm_src", "_tm_source"), ("_tm_txt", "_tm_hash"))) \
-        .select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("_tm_times"))).alias("_tm_n")).select(*cols)
+    keyed = docs.withColumns({f"{p}_s": F.col("source").cast("string"), f"{p}_h": F.xxhash64(text_or_empty())})
+    taken = keyed.join(plan, _same(("doc_id", f"{p}_doc_id"), (f"{p}_s", f"{p}_source"), (f"{p}_h", f"{p}_hash")))
+    return taken.select(*cols, F.explode(F.array_repeat(F.lit(0), F.col(f"{p}_times"))).alias(f"{p}_n")).select(*cols)

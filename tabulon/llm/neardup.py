@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.buffers import chunks, mix, text_buffer, window_hashes, word_hashes, word_spans
-from tabulon.llm.common import durable, text_or_empty
+from tabulon.llm.common import clear_prefix, durable, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -272,18 +272,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of every class, the one with the smallest id."""
+    p = clear_prefix(docs, "_tn")
     found = durable(near_duplicates(docs, threshold).where(F.col("class_size") > 1))
     # A class keeps one row: the smallest text of its smallest id.
     first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_k"))
     gone = found.join(first.withColumnRenamed("class_id", "_c"), F.col("class_id").eqNullSafe(F.col("_c")), "left") \
         .where(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("node") != F.col("_k")))
-    gone = durable(gone.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tn_node") == F.col("_n"))
-    kept = docs.withColumn("_tn_node", _node()).join(_small(gone), same, "left_anti")
-    twice = durable(found.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-                    .select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")))
+    names = [F.col("doc_id").alias(f"{p}_d"), F.col("node").alias(f"{p}_n")]
+    gone = durable(gone.select(*names).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(f"{p}_d")) & (F.col(f"{p}_node") == F.col(f"{p}_n"))
+    kept = docs.withColumn(f"{p}_node", _node()).join(_small(gone), same, "left_anti")
+    twice = durable(found.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*names))
     if twice.isEmpty():
-        return kept.drop("_tn_node")
+        return kept.drop(f"{p}_node")
     # Rows repeated with their id and text: one of them.
-    once = kept.join(_small(twice), same, "left_semi").dropDuplicates(["doc_id", "_tn_node"])
-    return kept.join(_small(twice), same, "left_anti").unionByName(once).drop("_tn_node")
+    once = kept.join(_small(twice), same, "left_semi").dropDuplicates(["doc_id", f"{p}_node"])
+    return kept.join(_small(twice), same, "left_anti").unionByName(once).drop(f"{p}_node")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import durable, text_or_empty
+from tabulon.llm.common import clear_prefix, durable, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -232,23 +232,23 @@ def mask(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[at:]
 
 
-def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mask_batches(batches: Iterator[pa.RecordBatch], spans: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t if t is None or not s else mask(t, s) for t, s in zip(
-            batch.column("text").to_pylist(), batch.column("_tp_spans").to_pylist(), strict=True)]
-        names = [n for n in batch.schema.names if n != "_tp_spans"]
+            batch.column("text").to_pylist(), batch.column(spans).to_pylist(), strict=True)]
+        names = [n for n in batch.schema.names if n != spans]
         yield pa.RecordBatch.from_arrays(
             [pa.array(texts, batch.schema.field(n).type) if n == "text" else batch.column(n) for n in names], names)
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with every found span replaced by its kind; ``n_chars``, where present, follows."""
-    spans = document_spans(docs, rounds).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_tp_id"), F.col("hash").alias("_tp_hash"), F.col("spans").alias("_tp_spans")) \
-        .dropDuplicates(["_tp_id", "_tp_hash"])
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_tp_id")) & (F.xxhash64(text_or_empty()) == F.col("_tp_hash")),
-                       "left").drop("_tp_id", "_tp_hash")
-    out = joined.mapInArrow(_mask_batches, docs.schema)
+    p = clear_prefix(docs, "_tp")
+    found = document_spans(docs, rounds).where(F.size("spans") > 0).dropDuplicates(["doc_id", "hash"]).select(
+        F.col("doc_id").alias(f"{p}_id"), F.col("hash").alias(f"{p}_hash"), F.col("spans").alias(f"{p}_spans"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{p}_id")) & (F.xxhash64(text_or_empty()) == F.col(f"{p}_hash"))
+    joined = docs.join(found, same, "left").drop(f"{p}_id", f"{p}_hash")
+    out = joined.mapInArrow(lambda it: _mask_batches(it, f"{p}_spans"), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

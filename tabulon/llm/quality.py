@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import SPACE_CLASS, count_of, let, split_words, text_or_empty
+from tabulon.llm.common import SPACE_CLASS, clear_prefix, count_of, let, split_words, text_or_empty
 
 SYMBOLS = r"#*$%&|<>"
 WINDOW = 5
@@ -85,39 +85,30 @@ def line_failure(line: Column) -> Column:
     return let(split_words(line), judge)
 
 
-def quality_columns(text: Column) -> dict[str, Column]:
-    """Stepwise columns: each group only refers to the text and earlier groups."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACE_CLASS}]")))
-    return {"words": split_words(text), "lines": lines}
-
-
-def _judged(docs: DataFrame) -> DataFrame:
-    """``docs`` plus one struct column ``_tq`` holding every measure."""
-    base = docs.withColumn("_tq_text", text_or_empty())
-    for name, col in quality_columns(F.col("_tq_text")).items():
-        base = base.withColumn(f"_tq_{name}", col)
-    words, lines, text = F.col("_tq_words"), F.col("_tq_lines"), F.col("_tq_text")
-    distinct = base.withColumn("_tq_distinct", F.array_distinct(lines)) \
-        .withColumn("_tq_chars", F.length(F.array_join(words, "")).cast("long"))
-    good = distinct.withColumn("_tq_good", F.filter(F.col("_tq_distinct"), lambda x: line_failure(x).isNull())) \
-        .withColumn("_tq_repeat", repeated_window_words(words))
-    n = F.size(words).cast("long")
-    kept_chars = F.length(F.regexp_replace(F.array_join(F.col("_tq_good"), ""), f"[{SPACE_CLASS}]+", "")).cast("long")
-    out = good.withColumn("_tq_n", n).withColumn("_tq_kept_chars", kept_chars)
-    n, kept_chars, chars = F.col("_tq_n"), F.col("_tq_kept_chars"), F.col("_tq_chars")
-    failed = (n < MIN_WORDS) | (F.col("_tq_repeat") * 100 > n * MAX_REPEAT_PERCENT)
-    removed = (F.size(lines) - F.size(F.col("_tq_good"))).cast("long")
-    return out.withColumn("_tq", F.struct(
+def _judged(docs: DataFrame, p: str) -> DataFrame:
+    """``docs`` plus a struct column ``p`` of every measure and ``p_good``, the
+    lines that stay.  Every step refers to the columns of earlier steps, so
+    that each is computed once."""
+    text, words, lines, distinct, good = (F.col(f"{p}_{c}") for c in ("text", "words", "lines", "distinct", "good"))
+    n, chars, repeat, kept_chars = (F.col(f"{p}_{c}") for c in ("n", "chars", "repeat", "kept_chars"))
+    out = docs.withColumn(f"{p}_text", text_or_empty()) \
+        .withColumns({f"{p}_words": split_words(text),
+                      f"{p}_lines": F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACE_CLASS}]")))}) \
+        .withColumns({f"{p}_distinct": F.array_distinct(lines), f"{p}_n": F.size(words).cast("long"),
+                      f"{p}_chars": F.length(F.array_join(words, "")).cast("long"), f"{p}_repeat": repeated_window_words(words)}) \
+        .withColumn(f"{p}_good", F.filter(distinct, lambda x: line_failure(x).isNull())) \
+        .withColumn(f"{p}_kept_chars", F.length(F.regexp_replace(F.array_join(good, ""), f"[{SPACE_CLASS}]+", "")).cast("long"))
+    failed = (n < MIN_WORDS) | (repeat * 100 > n * MAX_REPEAT_PERCENT)
+    return out.withColumn(p, F.struct(
         n.alias("n_words"), chars.alias("word_chars"), count_of(text, SYMBOLS).alias("n_symbols"),
-        (F.size(lines) - F.size(F.col("_tq_distinct"))).cast("long").alias("n_dup_lines"),
-        F.col("_tq_repeat").alias("n_repeat_words"), removed.alias("n_removed_lines"),
-        kept_chars.alias("kept_chars"), failed.alias("base_failed"),
-        (~failed & (kept_chars * 100 >= chars * MIN_KEPT_PERCENT)).alias("kept")))
+        (F.size(lines) - F.size(distinct)).cast("long").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
+        (F.size(lines) - F.size(good)).cast("long").alias("n_removed_lines"), kept_chars.alias("kept_chars"),
+        failed.alias("base_failed"), (~failed & (kept_chars * 100 >= chars * MIN_KEPT_PERCENT)).alias("kept")))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: base measures, what the line rules removed, the verdict."""
-    return _judged(docs.select("doc_id", "text")).select("doc_id", "_tq.*")
+    return _judged(docs.select("doc_id", "text"), "_tq").select("doc_id", "_tq.*")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -127,8 +118,10 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     joined by newlines.  All columns of ``docs`` are kept; ``n_chars``, where
     present, follows the new text.
     """
-    judged = _judged(docs).where(F.col("_tq.kept"))
-    text = F.when(F.col("_tq.n_removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.col("_tq_good"), "\n"))
-    out = judged.withColumn("_tq_new", text)
-    cols = {"text": F.col("_tq_new"), "n_chars": F.length("_tq_new").cast("long")}
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    p = clear_prefix(docs, "_tq")
+    judged = _judged(docs, p).where(F.col(f"{p}.kept"))
+    new = F.col(f"{p}_new")
+    out = judged.withColumn(f"{p}_new", F.when(F.col(f"{p}.n_removed_lines") == 0, F.col("text"))
+                            .otherwise(F.array_join(F.col(f"{p}_good"), "\n")))
+    changed = {"text": new, "n_chars": F.length(new).cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
