@@ -46,7 +46,7 @@ ROUNDS = 3
 # A pattern is trusted with so many distinct known identifiers of one kind, in this share of all it holds.
 MIN_SUPPORT, MIN_PRECISION = 3, 0.8
 # Trusted patterns point at an identifier with this joint confidence.
-MIN_CONFIDENCE = 0.9
+MIN_CONFIDENCE = 0.75
 
 
 def _luhn(digits: str) -> bool:

@@ -34,7 +34,9 @@ BUCKETS = 1 << 19
 GRAMS = (3, 4, 5, 6)
 DIM = 4
 MAX_ROWS = 1500
-EPOCHS = 60
+# Training ends at this loss, or after so many rounds over the sample.
+STOP_LOSS = 0.03
+EPOCHS = 240
 SEED = 7
 MOMENTUM = 0.9
 # Learning rates of the embeddings, the output rows and the biases; weight decay.
@@ -121,6 +123,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_row
             pace /= 2
             speed = [np.zeros_like(v) for v in speed]
         best = min(best, loss)
+        if loss <= STOP_LOSS:
+            break
         g = (p - target) * weight[:, None]
         back = SCALE * (g @ out.T)
         grads = (np.stack([np.bincount(flat, weights=x * back[doc, k], minlength=len(used)) for k in range(DIM)], 1),
