@@ -66,20 +66,19 @@ def _check(limit: int, window_seconds: float) -> tuple[int, int]:
 
 
 def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, stamps: deque | None = None):
-    """The state machine over one key's time-ordered stamps.  Returns the
-    admitted flags and the remaining state (admitted stamps in the window)."""
-    stamps = deque() if stamps is None else stamps
-    out = np.empty(len(ts_us), dtype=bool)
-    for i, t in enumerate(ts_us.tolist()):
-        lo = t - window_us
-        while stamps and stamps[0] < lo:
-            stamps.popleft()
-        if len(stamps) >= limit:
-            out[i] = False
-        else:
-            stamps.append(t)
-            out[i] = True
-    return out, stamps
+    """One key's time-ordered stamps: admitted flags, and the state that goes on.
+
+    The state is a ring of the last ``limit`` admitted stamps.  An event is
+    rejected exactly when the ring is full and its oldest stamp is still
+    inside the window: then ``limit`` admitted events are."""
+    ring: deque = deque(stamps or (), maxlen=limit)
+    times = ts_us.tolist()
+    out = np.zeros(len(times), dtype=bool)
+    for i, t in enumerate(times):
+        out[i] = len(ring) < limit or t - ring[0] > window_us
+        if out[i]:
+            ring.append(t)  # a full ring drops its oldest stamp
+    return out, ring
 
 
 def _partition_fn(limit: int, window_us: int):
