@@ -22,6 +22,10 @@ from tabulon.functions.numeric import lenient_double, mean
 TOTAL_DIM1 = "SEX_BTSX"
 TOTAL_DIM3 = "WEALTHQUINTILE_TOTL"
 
+# Words that a CSV reader of data frames reads as missing.
+NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+            "NULL", "NaN", "None", "n/a", "nan", "null")
+
 PANEL_KEYS = ("country_code", "country_name", "year", "indicator_id", "source")
 
 DIM_FEED_SCHEMA = (
@@ -35,9 +39,6 @@ def keep_country_rows(feed: DataFrame) -> DataFrame:
     return feed.where(F.col("SpatialDimType") == "COUNTRY")
 
 
-MAX_FLAG_KEYS = 10_000
-
-
 def collapse_total(feed: DataFrame, dim: str, total: str, key: str = "indicator_id") -> DataFrame:
     """N3 for one breakdown column, per ``key``: when the column has any
     non-null value and some row is the total (or null), keep only null-or-total
@@ -81,23 +82,14 @@ def collapse_totals(feed: DataFrame, dims: list[tuple[str, str]], key: str = "in
         any_v = F.element_at(F.array(*[F.col(f"_a{j}_{c}") for c in range(1 << j)]), idx + 1)
         has_t = F.element_at(F.array(*[F.col(f"_t{j}_{c}") for c in range(1 << j)]), idx + 1)
         flags = flags.withColumn(f"_c{j}", (any_v == 1) & (has_t == 1))
-    flags = flags.select(key, *[f"_c{j}" for j in range(len(dims))])
-    # One row per key: with at most MAX_FLAG_KEYS keys the decisions become a
-    # literal map (no join, no shuffle of the feed on a handful of keys);
-    # above the bound a regular join, where many keys spread the shuffle.
-    small = flags.limit(MAX_FLAG_KEYS + 1).collect()
-    if len(small) <= MAX_FLAG_KEYS:
-        keep = F.lit(True)
-        for j, (d, t) in enumerate(dims):
-            collapsed = [r[key] for r in small if r[f"_c{j}"] and r[key] is not None]
-            if collapsed:
-                keep = keep & (~F.col(key).isin(*collapsed) | row_ok(d, t))
-        return feed.where(keep)
+    # One row per key, joined back null-safe (rows without a key are a key of
+    # their own); AQE broadcasts the decisions while they are small.
+    flags = flags.select(F.col(key).alias("_flag_key"), *[f"_c{j}" for j in range(len(dims))])
     keep = F.lit(True)
     for j, (d, t) in enumerate(dims):
         keep = keep & (~F.coalesce(F.col(f"_c{j}"), F.lit(False)) | row_ok(d, t))
-    return (feed.join(flags, key, "left").where(keep)
-                .drop(*[f"_c{j}" for j in range(len(dims))]))
+    return (feed.join(flags, F.col(key).eqNullSafe(F.col("_flag_key")), "left").where(keep)
+                .drop("_flag_key", *[f"_c{j}" for j in range(len(dims))]))
 
 
 def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "WHO",
@@ -157,7 +149,7 @@ def normalise_entity_feed(feed: DataFrame, indicator_id: str | None = None,
     ``max_by`` aggregate); yearly duplicates are kept."""
     time_col, value_col = probe_entity_columns(feed.columns)
     code = F.col("Code").cast("string")
-    rows = feed.where(code.isNotNull() & (F.char_length(code) == 3))
+    rows = feed.where(code.isNotNull() & (F.char_length(code) == 3) & ~code.isin(*NA_WORDS))
     ind = F.col("indicator_id") if indicator_id is None else F.lit(indicator_id)
     if time_col == "Year":
         year = lenient_double(F.col("Year").cast("string"))
@@ -174,9 +166,11 @@ def normalise_entity_feed(feed: DataFrame, indicator_id: str | None = None,
     )
     complete = (base.where(F.col("_year").isNotNull() & F.col("value").isNotNull())
                     .withColumn("year", F.col("_year").cast("int")).drop("_year"))
+    # A missing name (or one of the words read as missing) is no group of its own.
+    named = F.col("country_name").isNotNull() & ~F.col("country_name").isin(*NA_WORDS)
     if time_col == "Year":
         return complete.select("country_code", "country_name", "year", "indicator_id", "value", "source")
-    return (complete.groupBy(*PANEL_KEYS)
+    return (complete.where(named).groupBy(*PANEL_KEYS)
                     .agg(F.max_by("value", F.struct("_day", "_seq")).alias("value"))
                     .select("country_code", "country_name", "year", "indicator_id", "value", "source"))
 
@@ -221,10 +215,7 @@ def choose_source(registry: DataFrame, load_status: DataFrame) -> DataFrame:
 
 def apply_source_choice(raw_panel: DataFrame, choice: DataFrame) -> DataFrame:
     """Keep, per indicator, only the rows of the chosen source.  ``choice``
-    has one row per registry entry (built from the registry by left joins
-    against distinct load statuses), so its size is bounded by the registry
-    and it is broadcast: the panel is never shuffled on its few indicator
-    keys."""
+    has one row per registry entry; Spark broadcasts it while it is small."""
     c = choice.where(F.col("source_used").isNotNull()).select(
         "indicator_id", F.col("source_used").alias("source"))
-    return raw_panel.join(F.broadcast(c), ["indicator_id", "source"], "left_semi")
+    return raw_panel.join(c, ["indicator_id", "source"], "left_semi")

@@ -26,7 +26,7 @@ PANEL_SCHEMA = ("country_code string, country_name string, year int, indicator_i
                 "value double, source string")
 
 MAX_RANK = 1000
-COUNTRY_CODE_RE = re.compile(r"^[A-Z0-9_-]{1,12}$")
+COUNTRY_CODE_RE = re.compile(r"[A-Z0-9_-]{1,12}\Z")
 
 
 def clean_codes(codes) -> list[str]:
@@ -64,7 +64,7 @@ def filter_panel(panel: DataFrame, countries=None, year_min: int | None = None,
 def region_filter(panel: DataFrame, bridge: DataFrame, region: str) -> DataFrame:
     """rows of the member countries of one region group."""
     members = bridge.where(F.col("region") == region).select("country_code")
-    return panel.join(F.broadcast(members), "country_code", "left_semi")
+    return panel.join(members, "country_code", "left_semi")
 
 
 def year_slice(panel: DataFrame, year: int) -> DataFrame:
@@ -246,8 +246,7 @@ def provenance(panel: DataFrame, registry: DataFrame) -> DataFrame:
     agg = (panel.groupBy("indicator_id")
                 .agg(F.array_sort(F.collect_set("source")).alias("_sources"),
                      F.max("year").cast("bigint").alias("latest_year")))
-    reg = F.broadcast(registry.select(F.col("id").alias("indicator_id"),
-                                      F.col("source").alias("registry_source")))
+    reg = registry.select(F.col("id").alias("indicator_id"), F.col("source").alias("registry_source"))
     first = F.element_at("_sources", 1)
     return (agg.join(reg, "indicator_id", "left")
                .select("indicator_id",
@@ -270,9 +269,9 @@ def scope_counts(panel: DataFrame, countries=None) -> DataFrame:
 # -------------------------------------------------------------------- lookups
 
 def registry_lookup(requests: DataFrame, registry: DataFrame, id_col: str = "indicator_id") -> DataFrame:
-    """Requested ids joined to the (broadcast) registry; unknown ids carry
+    """Requested ids joined to the registry; unknown ids carry
     an error message instead of a label."""
-    reg = F.broadcast(registry.select(F.col("id").alias(id_col), "label", "unit", "source"))
+    reg = registry.select(F.col("id").alias(id_col), "label", "unit", "source")
     return (requests.join(reg, id_col, "left")
                     .withColumn("error", F.when(F.col("label").isNull(),
                                                 F.format_string("Unknown indicator id '%s'", F.col(id_col)))))
@@ -281,7 +280,7 @@ def registry_lookup(requests: DataFrame, registry: DataFrame, id_col: str = "ind
 def region_rollup(panel: DataFrame, bridge: DataFrame) -> DataFrame:
     """Many-to-many bridge join, aggregated per region; a country in two
     groups counts in both, never summed across groups."""
-    return (panel.join(F.broadcast(bridge), "country_code")
+    return (panel.join(bridge, "country_code")
                  .groupBy("region", "indicator_id", "year")
                  .agg(F.count(F.lit(1)).cast("bigint").alias("n_countries"),
                       F.avg("value").alias("avg_value"),

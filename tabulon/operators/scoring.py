@@ -179,7 +179,7 @@ def plan_sources(plans: DataFrame, sources: DataFrame) -> DataFrame:
     """Each plan's source keys in order, looked up in the source map
     (a small dimension)."""
     keys = plans.select("case_id", F.posexplode("sources").alias("source_pos", "key"))
-    return keys.join(F.broadcast(sources), "key", "left")
+    return keys.join(sources, "key", "left")
 
 
 def report_json(scored: DataFrame) -> DataFrame:
