@@ -33,7 +33,7 @@ RECORD_KEYS = ("country_code", "country_name", "year", "value", "change", "pct_c
 RECORD_NAME_KEYS = ("country_code", "country_name")
 MODES = ("trend", "rankings", "correlation")
 ROLES = ("user", "assistant")
-COUNTRY_CODE_PATTERN = r"^[A-Z0-9_-]{1,12}$"
+COUNTRY_CODE_PATTERN = r"\A[A-Z0-9_-]{1,12}\z"
 MAX_RANK = 1000
 MAX_ROWS_PER_INDICATOR = 12_000
 MAX_CONTEXT_CHARS = 400_000
@@ -42,8 +42,6 @@ YEAR_RANGE_RE = r"(?U)\b(?:between|from)\s+(19\d{2}|20\d{2})\s+(?:and|to)\s+(19\
 YEAR_RE = r"(?U)\bin\s+(19\d{2}|20\d{2})\b"
 # end of fixed values
 
-MAX_DIMENSION_ENTRIES = 10_000   # bound for literal-array dimensions
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -83,11 +81,12 @@ def history_with_current(history: DataFrame, current: DataFrame, keys=("conv_id"
                                       F.count(F.lit(1)).alias("_n"))
     cur = (current.join(last, keys, "left")
                   .where(F.col("_last").isNull() | (F.col("_last") != F.col("message")))
-                  .select(*keys, F.lit(1 << 30).cast("bigint").alias(order), F.lit("user").alias(role),
-                          F.col("message").alias("content")))
-    allm = history.select(*keys, F.col(order).cast("bigint").alias(order), role, "content").unionByName(cur)
-    w = Window.partitionBy(*keys).orderBy(order)
-    return allm.withColumn("position", F.row_number().over(w).cast("bigint")).drop(order)
+                  .select(*keys, F.lit(True).alias("_current"), F.lit(None).cast("bigint").alias(order),
+                          F.lit("user").alias(role), F.col("message").alias("content")))
+    allm = history.select(*keys, F.lit(False).alias("_current"), F.col(order).cast("bigint").alias(order), role,
+                          "content").unionByName(cur)
+    w = Window.partitionBy(*keys).orderBy("_current", order)
+    return allm.withColumn("position", F.row_number().over(w).cast("bigint")).drop(order, "_current")
 
 
 def message_check(messages: DataFrame, text: str = "text", max_chars: int = MESSAGE_CHARS) -> DataFrame:
@@ -165,8 +164,6 @@ def request_check(requests: DataFrame, registry_ids: list[str], keys=("conv_id",
     when valid), ``valid`` and the upper-cased ``countries_clean``.
     Registry membership is a check against a literal array of the registry's
     ids (a fixed dimension, size-checked)."""
-    if len(registry_ids) > MAX_DIMENSION_ENTRIES:
-        raise ValueError("registry too large for a literal membership check")
     keys = list(keys)
     if history_turns is not None:
         h = history_turns.groupBy(*keys).agg(
@@ -213,8 +210,6 @@ def request_check(requests: DataFrame, registry_ids: list[str], keys=("conv_id",
 def _containment_pick(text: Column, entries: list[tuple[str, tuple[str, ...]]]) -> Column:
     """First entry (in the given order) having any alias contained in
     ``text``; entries are (value, aliases).  Bounded literal array."""
-    if len(entries) > MAX_DIMENSION_ENTRIES:
-        raise ValueError("dimension too large for a literal containment match")
     if not entries:
         return F.lit(None).cast("string")
     width = max(len(a) for _, a in entries)
@@ -361,7 +356,8 @@ def budgeted_context(selection: DataFrame, request_keys=("request_id",), indicat
 
     Rows > ``max_rows`` for any indicator -> 'reject'; otherwise the request's
     serialised records (sum of record lengths plus separators) within
-    ``max_chars`` -> 'raw', else 'summary'.  One partial + final aggregate per
+    ``max_chars`` -> 'raw'; else 'summary' while the summaries (one compact
+    JSON object per indicator) fit, else 'reject'.  One partial + final aggregate per
     (request, indicator), then one per request; no record list is built
     here, so a request never becomes one large collected group."""
     keys = list(request_keys)
@@ -372,14 +368,17 @@ def budgeted_context(selection: DataFrame, request_keys=("request_id",), indicat
         F.min("year").alias("year_min"), F.max("year").alias("year_max"),
         F.min("value").alias("value_min"), F.max("value").alias("value_max"))
     # records of one indicator: '[' + records joined by ',' + ']'
-    per_ind = per_ind.withColumn("chars", F.col("rec_chars") + F.col("n_rows") + 1)
+    per_ind = per_ind.withColumn("chars", F.col("rec_chars") + F.col("n_rows") + 1) \
+        .withColumn("sum_chars", F.char_length(F.to_json(F.struct(
+            indicator, "n_rows", "country_count", "year_min", "year_max", "value_min", "value_max"))) + 1)
     per_req = per_ind.groupBy(*keys).agg(
         F.max("n_rows").alias("max_rows"), F.sum("chars").alias("n_chars"),
-        F.sum("n_rows").alias("n_rows"))
+        F.sum("sum_chars").alias("sum_chars"), F.sum("n_rows").alias("n_rows"))
     decision = (F.when(F.col("max_rows") > max_rows, F.lit("reject"))
                  .when(F.col("n_chars") <= max_chars, F.lit("raw"))
-                 .otherwise(F.lit("summary")))
-    return per_ind.drop("chars", "rec_chars").join(
+                 .when(F.col("sum_chars") + 1 <= max_chars, F.lit("summary"))
+                 .otherwise(F.lit("reject")))
+    return per_ind.drop("chars", "rec_chars", "sum_chars").join(
         per_req.select(*keys, decision.alias("decision"), F.col("n_chars").cast("bigint").alias("n_chars")), keys)
 
 

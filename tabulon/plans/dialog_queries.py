@@ -381,9 +381,7 @@ FROM cmd LEFT JOIN regions r ON cmd.region = r.rname""")
 def dialog_action_check(spark, sf):
     """N22 over the extracted actions: a correlation action without x/y ids
     is rejected; a region expands to its codes."""
-    c = D.action_check(_commands(spark, sf).where(F.col("action").isNotNull()), REGISTRY_IDS, REGION_GROUPS)
-    c = _commands(spark, sf).select("conv_id", "turn").join(
-        c.select("conv_id", "turn", "valid_action"), ["conv_id", "turn"], "left")
+    c = D.action_check(_commands(spark, sf), REGISTRY_IDS, REGION_GROUPS)  # a NULL action gives a NULL verdict
     va = F.col("valid_action")
     return c.select("conv_id", "turn", va.isNotNull().alias("valid"), va["mode"].alias("valid_mode"),
                     va["rank_start"].alias("valid_rank_start"),
@@ -423,7 +421,7 @@ def _selection(spark, sf):
     """Rows each region request selects: the panel joined to the bridge on
     the customer's nation (the bridge is bounded by the nation table)."""
     bridge = nation_region_bridge(spark, sf).withColumnRenamed("country_code", "nation")
-    return _customer_nation_panel(spark, sf).join(F.broadcast(bridge), "nation")
+    return _customer_nation_panel(spark, sf).join(bridge, "nation")
 
 
 @register("dialog_budget", "WITH " + CUSTOMER_NATION_SQL + f", bridge AS ({BRIDGE_SQL})" + """,
