@@ -13,7 +13,7 @@ than its distinct genres.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.numeric import lenient_double
@@ -187,18 +187,31 @@ def typed_metadata(raw: DataFrame) -> DataFrame:
         F.trim(_raw(raw, "Popularity")).cast("int").alias("popularity"),
         (F.upper(F.trim(_raw(raw, "Explicit"))) == "TRUE").alias("explicit"),
         F.trim(_raw(raw, "Duration (ms)")).cast("int").alias("duration_ms"),
-        *[F.trim(_raw(raw, c)).cast("double").alias(k) for c, k in FLOAT_FIELDS],
+        *[strict_double(F.trim(_raw(raw, c))).alias(k) for c, k in FLOAT_FIELDS],
     )
     return out
 
 
+def strict_double(text) -> F.Column:
+    """A number as Python reads it; anything else, Java's ``1d`` too, fails the job."""
+    value = lenient_double(text)
+    plain = F.lower(py_strip(text)).isin("nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
+    return F.when(text.isNull() | value.isNotNull() | plain, F.coalesce(value, text.try_cast("double"))).otherwise(
+        F.raise_error(F.concat(F.lit("could not convert string to float: "), text)).cast("double"))
+
+
 # ------------------------------------------------------------ table upkeep
 
-def upsert(table: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
+def upsert(table: DataFrame, batch: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
     """Batch rows replace table rows with the same key (whole-row
-    replace); new keys are appended.  An anti join plus a union: both sides
-    shuffle once on the key, no window, no per-key collection."""
-    return table.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
+    replace); new keys are appended.  A key that the batch repeats keeps its
+    last row by ``seq`` (the batch's order column; without one, the largest
+    row), so a key is never twice in the result.  One aggregate over the
+    batch, an anti join and a union."""
+    row = F.struct(*[F.col(c) for c in table.columns])
+    last = F.max_by(row, F.col(seq)) if seq else F.max(row)
+    once = batch.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
+    return table.join(batch.select(key).distinct(), key, "left_anti").unionByName(once)
 
 
 def delete_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -220,7 +233,11 @@ def save_playlists(existing: DataFrame, batch: DataFrame, now: str) -> DataFrame
     every saved row gets ``updated_at = now``; empty track lists are
     rejected by a filter (reported by :func:`rejected_playlists`)."""
     ok = batch.where(F.size("tracks") > 0)
-    new_id = F.substring(F.sha2(F.concat_ws("|", F.col("name"), F.col("query"), F.lit(now)), 256), 1, 8)
+    # Equal new playlists are told apart by their number among equals.
+    twin = Window.partitionBy("name", "query", F.col("id").isNull()).orderBy(F.to_json(F.struct("tracks")))
+    ok = ok.withColumn("_nth", F.row_number().over(twin))
+    parts = [F.col("name"), F.col("query"), F.lit(now), F.when(F.col("_nth") > 1, F.col("_nth").cast("string"))]
+    new_id = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8)
     saved = (ok.withColumn("created_at", F.when(F.col("id").isNull(), F.lit(now)).otherwise(F.col("created_at")))
                .withColumn("id", F.coalesce(F.col("id"), new_id))
                .withColumn("updated_at", F.lit(now)))

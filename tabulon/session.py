@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 # AQE for runtime coalescing / skew splitting / join re-planning.
 SQL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
