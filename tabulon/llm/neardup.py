@@ -11,11 +11,12 @@ the exact probability Jaccard similarity of their shingles.
 
 No bucket is expanded into pairs.  One minus the similarity is a metric, so
 every round compares the texts of a bucket with a few centers (one in the
-first round, doubling) and settles what the triangle inequality settles: a
+first round, then four times as many) and settles what the triangle inequality settles: a
 text linked to a center has no link to texts far from that center, and keeps
 being compared only while some text is neither linked to the center nor far
-enough away.  No link is lost, and a bucket of copies needs one comparison
-for each text.  Links form classes by alternating star contractions.
+enough away, or are of one class already.  No class is split, and a bucket
+of copies needs one comparison for each text.  Links form classes by
+alternating star contractions, after every round.
 
 Exact copies are one text from the start.  What is joined by shuffle stays
 splittable (joins on keys, sums combined before the shuffle); working tables
@@ -44,7 +45,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
-MAX_CENTERS = 64
 # Keys that may be broadcast to pick the texts that go on (about 50 bytes each).
 BROADCAST_DOCS = 500_000
 
@@ -175,45 +175,42 @@ def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
         .mapInArrow(_compare, "node binary, center binary, sim double")
 
 
-def _links(rows: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """All verified links that the buckets (key, node) hold, up to connection."""
-    spark = rows.sparkSession
-    links, centers_each, turn = None, 1, 0
-    slack = 1.0 - threshold
-    state = rows.withColumn("open", F.lit(True))  # rows that are not open are only compared with centers
+def _classes(rows: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """node, root of all classes that the buckets (key, node) hold."""
+    turn, centers_each, slack = 0, 1, 1.0 - threshold
+    state, roots = rows, None
     while True:
         # The first center is the smallest node, the same one in all buckets of a group of copies.
         rank = F.col("node") if turn == 0 else F.unhex(F.md5(F.concat(F.col("node"), F.lit(f"{turn}").cast("binary"))))
         if centers_each == 1:
-            centers = state.where("open").groupBy("key").agg(F.min_by("node", rank).alias("center"))
+            centers = state.groupBy("key").agg(F.min_by("node", rank).alias("center"))
         else:
             nth = F.row_number().over(Window.partitionBy("key").orderBy(rank))
-            centers = state.where("open").withColumn("nth", nth).where(F.col("nth") <= centers_each) \
+            centers = state.withColumn("nth", nth).where(F.col("nth") <= centers_each) \
                 .select("key", F.col("node").alias("center"))
         met = state.join(centers, "key").where(F.col("node") != F.col("center"))
-        sims = durable(_verified(met.select("node", "center").distinct(), grams))
-        good = sims.where(F.col("sim") >= threshold).select("node", "center")
-        links = good if links is None else links.unionByName(good)
+        sims = _verified(met.select("node", "center").distinct(), grams)
         seen = durable(met.join(sims, ["node", "center"]))
+        links = seen.where(F.col("sim") >= threshold).select("node", "center")
+        roots = components(links if roots is None else links.unionByName(roots.withColumnRenamed("root", "center")))
         # The most similar text that a center neither links nor shuts out.
-        near = seen.where((F.col("sim") < threshold) & (F.col("sim") >= threshold - slack) & F.col("open")) \
+        near = seen.where((F.col("sim") < threshold) & (F.col("sim") >= threshold - slack)) \
             .groupBy("key", "center").agg(F.max("sim").alias("nearest"))
-        marked = seen.join(near, ["key", "center"], "left")
-        settled = marked.where((F.col("sim") >= threshold) & (
-            F.col("nearest").isNull() | (F.col("sim") > F.col("nearest") + slack))).select("key", "node").distinct()
-        linked = seen.where(F.col("sim") >= threshold).select("key", "node").distinct().withColumn("linked", F.lit(True))
-        was = centers.select("key", F.col("center").alias("node"))
-        rest = state.join(settled.unionByName(was).distinct(), ["key", "node"], "left_anti")
-        # A linked text stays for the sake of others only: it need not become a center.
-        rest = rest.join(linked, ["key", "node"], "left").select(
-            "key", "node", (F.col("open") & F.col("linked").isNull()).alias("open"))
-        useful = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open")) \
-            .where((F.col("n") > 1) & (F.col("n_open") > 0)).select("key")
+        by_row = seen.join(near, ["key", "center"], "left").groupBy("key", "node").agg(
+            F.max((F.col("sim") >= threshold) & (F.col("nearest").isNull() | (F.col("sim") > F.col("nearest") + slack))).alias("settled"))
+        was = centers.select("key", F.col("center").alias("node"), F.lit(True).alias("done"))
+        rest = state.join(by_row, ["key", "node"], "left").join(was, ["key", "node"], "left") \
+            .where(F.col("done").isNull() & ~F.coalesce("settled", F.lit(False))) \
+            .select("key", "node")
+        # A bucket whose remaining texts are of one class already can add nothing.
+        rooted = rest.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+        useful = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")) \
+            .where(F.col("a") != F.col("b")).select("key")
         state = durable(rest.join(useful, "key", "left_semi"))
         if state.isEmpty():
-            return links
+            return roots
         turn += 1
-        centers_each = min(MAX_CENTERS, centers_each * 2)
+        centers_each *= 4
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,7 +222,7 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     last = mark(edges)
-    while True:
+    while last[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
@@ -236,8 +233,9 @@ def components(links: DataFrame) -> DataFrame:
                         .unionByName(small_min.select("u", F.col("m").alias("v"))).distinct())
         now = mark(edges)
         if now == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         last = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _node() -> Column:
@@ -260,7 +258,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grams = durable(leads.select("node", "text").mapInArrow(_shingle_rows, "node binary, grams array<long>, counts array<int>")
                     .dropDuplicates(["node"]))
 
-    roots = components(_links(buckets, grams, threshold))
+    roots = _classes(buckets, grams, threshold)
     placed = signed.select("doc_id", "node", "n_words").join(roots, "node", "left").select(
         "doc_id", "node", "n_words", F.coalesce("root", "node").alias("root"))
     word = placed.where(F.col("n_words") > 0)
