@@ -322,7 +322,7 @@ def test_substrings_of_shared_passages_and_runs(spark):
 
 def test_toxicity_learns_and_stands_misspellings(spark):
     rng = random.Random(6)
-    calm = ["river", "garden", "window", "paper", "morning", "simple", "travel", "music", "yellow", "number", "station", "winter"]
+    calm = ["".join(rng.choice(("ba", "ler", "ton", "mi", "sha", "ver", "on", "gal")) for _ in range(3)) for _ in range(400)]
     rude = ["idiotic", "worthless", "disgusting"]
     rows, labels = [], []
     for i in range(600):
