@@ -23,10 +23,14 @@ packed row by row; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -39,8 +43,6 @@ SEQUENCE = 1024
 END_ID = 0
 # Tokens of a window: this many sequences, or one sequence for each source if there are more sources.
 WINDOW_SEQUENCES = 64
-# Words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
 # Rows of (task, source) totals that may be broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -50,25 +52,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# Fixed value: how byte-level tokenizers of this kind split a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters that every Unicode version classes alike.
+_COMMON = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f\u2018-\u201e\u2026\u20ac]")
+
+
+def _byte_of() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary, the other way round."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts as little-endian 16-bit bytes.
 
-    Pre-tokenization never joins characters across a single space between two
-    other characters that are not space, so a text is the concatenation of its
-    " word" pieces, and the ids of a piece are remembered.  A text with any
-    other white space next to a space is encoded as a whole.
+    The ids are those of the given ``tokenizers`` file.  Where the file is a
+    plain byte-level BPE, texts of common characters go through a faster
+    engine that is given the file's own vocabulary; all others, and every
+    text of another kind of file, go through ``tokenizers``.
     """
 
     _loaded: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already has a worker for each core
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.fast = self._engine(json.load(f))
+
+    @staticmethod
+    def _engine(file: dict):
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        plain = (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+        if not plain or file.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        byte, special = _byte_of(), {t["id"] for t in file.get("added_tokens", ())}
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if i not in special}
+        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        if [model["vocab"][m.replace(" ", "")] for m in merged] != list(range(256, 256 + len(merged))):
+            return None  # the engine takes ids for the order of merges
+        import tiktoken
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def load(cls, path: str) -> "Encoder":
@@ -77,25 +107,12 @@ class Encoder:
         return cls._loaded[path]
 
     def whole(self, text: str) -> bytes:
-        ids = self.model.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(2, "little") for i in ids])
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        if len(words) < 2:
-            return self.whole(text)
-        if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
+        if self.fast is None or _COMMON.search(text):
             return self.whole(text)
-        try:
-            return self.whole(words[0]) + b"".join([self.rest[w] for w in words[1:]])
-        except KeyError:
-            new = list({w for w in words[1:] if w not in self.rest})
-            if len(self.rest) + len(new) > CACHE_WORDS:
-                self.rest.clear()
-                new = list(set(words[1:]))
-            for w, e in zip(new, self.model.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
-                self.rest[w] = b"".join([i.to_bytes(2, "little") for i in e.ids])
-            return self.whole(words[0]) + b"".join([self.rest[w] for w in words[1:]])
+        return np.array(self.fast.encode_ordinary(text), dtype="<u2").tobytes()
 
 
 _TOKENS = "doc_id long, source string, task int, at long, n long, ids binary"
@@ -108,13 +125,11 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
     used: dict[str | None, int] = {}
     for batch in batches:
         at, sizes, packed = [], [], []
-        sources = batch.column("source").to_pylist()
-        for text, source in zip(batch.column("text"), sources, strict=True):
+        for text, source in zip(batch.column("text"), batch.column("source").to_pylist(), strict=True):
             ids = encoder.encode(text.as_py()) + end
-            n = len(ids) // 2
             at.append(used.get(source, 0))
-            used[source] = at[-1] + n
-            sizes.append(n)
+            used[source] = at[-1] + len(ids) // 2
+            sizes.append(len(ids) // 2)
             packed.append(press.compress(ids))
         rows = len(at)
         yield pa.RecordBatch.from_arrays(
