@@ -112,17 +112,21 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_row
     target = np.stack([1 - labels, labels], axis=1)
     weight = (stands / stands.sum() / seen)[labels.astype(int)]
     speed = [np.zeros_like(p) for p in (emb, out, bias)]
-    best, pace = np.inf, 1.0
+    best, pace, kept = np.inf, 1.0, [param.copy() for param in (emb, out, bias)]
     for _ in range(EPOCHS):
         mean = SCALE * np.stack([np.bincount(doc, weights=x * emb[flat, k], minlength=n) for k in range(DIM)], 1)
         z = mean @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         loss = float(-(weight * np.log(np.maximum((p * target).sum(1), 1e-12))).sum())
-        if loss > 1.5 * best:  # overshot: go on slower
+        if not loss <= 1.5 * best:  # overshot: back to the best point, go on slower
+            for param, good, v in zip((emb, out, bias), kept, speed, strict=True):
+                param[...] = good
+                v[...] = 0
             pace /= 2
-            speed = [np.zeros_like(v) for v in speed]
-        best = min(best, loss)
+            continue
+        if loss < best:
+            best, kept = loss, [param.copy() for param in (emb, out, bias)]
         if loss <= STOP_LOSS:
             break
         g = (p - target) * weight[:, None]

@@ -333,7 +333,7 @@ def test_toxicity_learns_and_stands_misspellings(spark):
                 w[rng.randrange(30)] = rng.choice(rude)
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
-    spelled = [(1000, " ".join(rng.choice(calm) for _ in range(28)) + " idi0tic wortless"), (1001, " ".join(rng.choice(calm) for _ in range(30)))]
+    spelled = [(1000, " ".join(rng.choice(calm) for _ in range(27)) + " idiottic worthles disgustin"), (1001, " ".join(rng.choice(calm) for _ in range(30)))]
     out = {r.doc_id: r for r in toxicity.toxicity_scores(
         spark.createDataFrame(rows + spelled, "doc_id long, text string"),
         spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
