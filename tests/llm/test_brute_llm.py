@@ -42,6 +42,8 @@ def shingle_counts(text):
 
 def brute_similarity(a, b):
     keys = set(a) | set(b)
+    if all(v == 1 for m in (a, b) for v in m.values()):  # plain Jaccard
+        return len(a.keys() & b.keys()) / max(1, len(keys))
     return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in keys) for i in a if i in b)
 
 
