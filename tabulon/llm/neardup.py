@@ -243,7 +243,8 @@ def _node() -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, class_size (documents), node (text digest): one row for each row of ``docs``."""
+    """doc_id, class_id, class_size (documents), node (text digest), root (of the class): one row for each row
+    of ``docs``.  Classes of the same ``class_id`` (null, or an id with several texts) are told apart by ``root``."""
     rows = docs.select("doc_id", _node().alias("node"), text_or_empty().alias("text"))
     signed = durable(rows.mapInArrow(_sign, _SIGNED))
     texts = signed.where(F.col("n_words") > 0)
@@ -263,9 +264,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "doc_id", "node", "n_words", F.coalesce("root", "node").alias("root"))
     word = placed.where(F.col("n_words") > 0)
     classes = word.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return word.join(classes, "root").select("doc_id", "class_id", "class_size", "node").unionByName(
+    return word.join(classes, "root").select("doc_id", "class_id", "class_size", "node", "root").unionByName(
         placed.where(F.col("n_words") == 0).select("doc_id", F.col("doc_id").alias("class_id"),
-                                                   F.lit(1).cast("long").alias("class_size"), "node"))
+                                                   F.lit(1).cast("long").alias("class_size"), "node", "root"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,9 +274,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     p = clear_prefix(docs, "_tn")
     found = durable(near_duplicates(docs, threshold).where(F.col("class_size") > 1))
     # A class keeps one row: the smallest text of its smallest id.
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_k"))
-    gone = found.join(first.withColumnRenamed("class_id", "_c"), F.col("class_id").eqNullSafe(F.col("_c")), "left") \
-        .where(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("node") != F.col("_k")))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("_k"))
+    gone = found.join(first, "root").where(~F.col("doc_id").eqNullSafe(F.col("_k.doc_id")) | (F.col("node") != F.col("_k.node")))
     names = [F.col("doc_id").alias(f"{p}_d"), F.col("node").alias(f"{p}_n")]
     gone = durable(gone.select(*names).distinct())
     same = F.col("doc_id").eqNullSafe(F.col(f"{p}_d")) & (F.col(f"{p}_node") == F.col(f"{p}_n"))

@@ -104,6 +104,16 @@ def test_neardup_keeps_one_row_of_repeated_rows(plain):
     assert ids.count(5) == 1 and 6 not in ids and {1, 2, 3, 4, 7, 8} <= set(ids)
 
 
+def test_neardup_keeps_one_row_of_every_class(spark):
+    """Classes without ids, and classes that share their smallest id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    kept = lambda rows: sorted((r.doc_id or 0, r.text) for r in neardup.keep_one(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(None, a), (None, a), (None, b), (None, b)]) == [(0, a), (0, b)]
+    assert kept([(5, a), (7, a), (5, b), (8, b)]) == [(5, a), (5, b)]
+    assert kept([(None, a), (3, a), (None, b), (None, b)]) == [(0, b), (3, a)]
+
+
 def test_substrings_of_edges(spark, plain):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = spark.createDataFrame([(1, f"a b {passage} c"), (2, f"x {passage} y z"), (2, f"x {passage} y z"), (None, passage),
