@@ -43,6 +43,8 @@ from tabulon.llm.common import clear_prefix, durable, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
+# Similarities are sums of doubles: texts exactly at the threshold are linked.
+TIE = 1e-9
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 # Keys that may be broadcast to pick the texts that go on (about 50 bytes each).
@@ -191,13 +193,14 @@ def _classes(rows: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
         met = state.join(centers, "key").where(F.col("node") != F.col("center"))
         sims = _verified(met.select("node", "center").distinct(), grams)
         seen = durable(met.join(sims, ["node", "center"]))
-        links = seen.where(F.col("sim") >= threshold).select("node", "center")
+        linked = F.col("sim") >= threshold - TIE
+        links = seen.where(linked).select("node", "center")
         roots = components(links if roots is None else links.unionByName(roots.withColumnRenamed("root", "center")))
         # The most similar text that a center neither links nor shuts out.
-        near = seen.where((F.col("sim") < threshold) & (F.col("sim") >= threshold - slack)) \
+        near = seen.where(~linked & (F.col("sim") >= threshold - slack - 4 * TIE)) \
             .groupBy("key", "center").agg(F.max("sim").alias("nearest"))
         by_row = seen.join(near, ["key", "center"], "left").groupBy("key", "node").agg(
-            F.max((F.col("sim") >= threshold) & (F.col("nearest").isNull() | (F.col("sim") > F.col("nearest") + slack))).alias("settled"))
+            F.max(linked & (F.col("nearest").isNull() | (F.col("sim") - F.col("nearest") > slack + 2 * TIE))).alias("settled"))
         was = centers.select("key", F.col("center").alias("node"), F.lit(True).alias("done"))
         rest = state.join(by_row, ["key", "node"], "left").join(was, ["key", "node"], "left") \
             .where(F.col("done").isNull() & ~F.coalesce("settled", F.lit(False))) \

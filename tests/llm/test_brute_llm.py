@@ -113,6 +113,28 @@ def test_a_large_group_costs_one_comparison_a_text_and_loses_no_chain(spark):
     assert len({got[i] for i in range(120)}) == 1
 
 
+def test_texts_exactly_at_the_threshold_are_linked(spark):
+    """48 of 60 shingles and so on: sums of doubles that come out below 0.8."""
+    tied = []
+    for shared, union in ((48, 60), (80, 100), (160, 200), (264, 330)):
+        each = (shared + union) // 2
+        base = [f"t{union}-{i}" for i in range(each + 4)]
+        tied.append([" ".join(base), " ".join(base[:shared + 4] + [f"u{union}-{i}" for i in range(each - shared)])])
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(t for pair in tied for t in pair)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(frame).collect()}
+    assert got == {i: (i - i % 2, 2) for i in range(2 * len(tied))}
+
+
+def test_a_gap_equal_to_the_slack_settles_nothing(spark, monkeypatch):
+    sims = {("a", "b"): 0.9, ("a", "c"): 0.7, ("b", "c"): 0.8}
+    known = spark.createDataFrame([(x.encode(), y.encode(), s) for (p, q), s in sims.items() for x, y in ((p, q), (q, p))],
+                                  "node binary, center binary, sim double")
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, grams: pairs.join(known, ["node", "center"]))
+    buckets = spark.createDataFrame([(1, x.encode()) for x in "abc"], "key long, node binary")
+    roots = {bytes(r.node): bytes(r.root) for r in neardup._classes(buckets, None, neardup.THRESHOLD).collect()}
+    assert roots == {b"b": b"a", b"c": b"a"}
+
+
 def test_components_of_long_chains(spark):
     name = lambda i: hashlib.md5(str(i).encode()).digest()
     chain = [(name(i), name(i + 1)) for i in range(60)] + [(name(i), name(i + 1)) for i in range(100, 103)]
