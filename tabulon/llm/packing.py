@@ -70,8 +70,9 @@ class Encoder:
 
     The ids are those of the given ``tokenizers`` file.  Where the file is a
     plain byte-level BPE, texts of common characters go through a faster
-    engine that is given the file's own vocabulary; all others, and every
-    text of another kind of file, go through ``tokenizers``.
+    engine that is given the file's own vocabulary; all others, texts that
+    hold one of the file's added tokens, and every text of another kind of
+    file, go through ``tokenizers``.
     """
 
     _loaded: dict[str, "Encoder"] = {}
@@ -80,11 +81,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already has a worker for each core
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         with open(path, encoding="utf-8") as f:
-            self.fast = self._engine(json.load(f))
+            file = json.load(f)
+        self.fast = self._engine(file)
+        self.added = [t["content"] for t in file.get("added_tokens", ())]
 
     @staticmethod
     def _engine(file: dict):
@@ -110,7 +112,7 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or _COMMON.search(text):
+        if self.fast is None or _COMMON.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         return np.array(self.fast.encode_ordinary(text), dtype="<u2").tobytes()
 

@@ -224,6 +224,20 @@ def test_fast_engine_equals_the_tokenizer():
         assert encoder.encode(text) == encoder.whole(text), repr(text)
 
 
+def test_added_tokens_of_the_file_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    text = "a <|endoftext|> b"
+    ids = model.encode(text, add_special_tokens=False).ids
+    assert ids == [64, 220, 50256, 275]
+    row = packing.pack_documents(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()
+    done = sorted((r.start, r.length, r.doc_tokens, r.ids_crc32) for r in row)
+    whole, want = np.array(ids + [0], dtype="<u4"), []
+    for start, length, _, _ in done:
+        want.append((start, length, 5, zlib.crc32(whole[start:start + length].tobytes())))
+    assert done == want and sum(d[1] for d in done) == 5
+
+
 @pytest.mark.parametrize("totals,weights", [([70_000, 900_000, 3, 0, 250_000], None), ([400_000, 400_000, 50_000], [1, 3, 2]), ([5], None)])
 def test_windows_hold_the_target_shares(totals, weights):
     plan = packing.Schedule(totals, weights)
