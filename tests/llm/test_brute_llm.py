@@ -312,6 +312,18 @@ def test_rates_solve_the_dual(spark):
 
 # --- vectors
 
+def test_block_search_is_exact_for_large_numbers():
+    rng = random.Random(8)
+    for bits in (24, 40, 62):
+        cells = [[rng.randint(-2**b, 2**b) for _ in range(6)] for b in rng.choices((10, 24, bits), k=300)]
+        ids = np.arange(300)
+        v = np.array(cells, dtype=np.int64)
+        got = vectors.search_block(ids, np.ones(300, bool), v, ids[:9], v[:9], 10)
+        want = [(q, i, s) for q in range(9) for s, i in sorted(
+            ((sum(x * y for x, y in zip(cells[q], c)), i) for i, c in enumerate(cells) if i != q), key=lambda t: (-t[0], t[1]))[:10]]
+        assert got == want, bits
+
+
 def test_block_search_is_exact():
     rng = np.random.default_rng(3)
     for top in (5, 500, 40_000):

@@ -163,6 +163,25 @@ def test_vectors_of_edges(spark):
     assert vectors.exact_topk(vectors.integer_vectors(frame.limit(0)), F.col("id") % 100 == 0, 10).collect() == []
 
 
+def test_large_vectors_take_part(spark):
+    rows = [(0, [20000.0, 1.0]), (1, [3.0, 2.0]), (2, [1e6, -2.5]), (100, [-16385.0, 7.0]), (3, [1e8, 0.0]), (4, [-1e15, -1e15])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = {i: [int(x * 1024 // 1) for x in v] for i, v in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(cells[a], cells[b]))
+    want = [(q, n + 1, i, dot(q, i)) for q in (0, 100) for n, i in enumerate(
+        sorted((i for i in cells if i != q and dot(q, i) < 2**63), key=lambda i: -dot(q, i))[:3])]
+    beyond = [(q, i) for q in (0, 100) for i in cells if i != q and dot(q, i) >= 2**63]
+    assert beyond == [(100, 4)]
+    only = [r for r in frame.collect() if r.vec_id != 4]
+    fits = spark.createDataFrame(only, frame.schema)
+    assert [tuple(r) for r in vectors.exact_topk(vectors.integer_vectors(fits), F.col("id") % 100 == 0, 3).orderBy("query_id", "rank").collect()] == want
+    # A result beyond a BIGINT is refused, one that is beyond it but not among the best is not needed.
+    with pytest.raises(Exception, match="BIGINT"):
+        vectors.exact_topk(vectors.integer_vectors(frame), F.col("id") % 100 == 0, 3).collect()
+    zero = vectors.exact_topk(vectors.integer_vectors(frame), F.col("id") == 0, 3).orderBy("rank").collect()
+    assert [tuple(r) for r in zero] == want[:3]
+
+
 PART = "array<struct<type:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>>"
 
 
