@@ -18,8 +18,8 @@ size meets in one task.  What is collected or broadcast is a row for each
 source (the multipliers of the dual).
 
 Defined results: a null text has size 0; a null source is a source of its
-own, after the others; repeated rows are documents of their own; a document
-without words is taken once and counts nothing; an empty table gives no
+own, after the others; repeated rows are documents of their own, told apart
+by a running number; a document without words is taken once and counts nothing; an empty table gives no
 rows; extra columns are ignored by :func:`mix` and carried by
 :func:`mixed_documents`.
 """
@@ -42,6 +42,8 @@ UNIT = 1 << 20
 # Rows of one source, size bin and salt are numbered in one task; about so many documents share a salt.
 ROWS_PER_SALT = 50_000
 MIN_SALTS = 16
+# Repeated rows are numbered in chunks, which spread over tasks.
+CHUNK = 4_096
 # Size bins to an octave.
 BINS = 8
 FIXES = 2
@@ -120,12 +122,21 @@ def solve(cells: DataFrame, goal: dict[str | None, float]) -> dict[str | None, f
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of ``docs``."""
-    return _copies(durable(_sized(docs))).drop("hash")
+    return _copies(durable(_sized(docs))).drop("hash", "nr")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text_or_empty()).alias("hash"),
+    """doc_id, source, hash, size, nr: a row for each row of ``docs``; ``nr`` counts rows that repeat id, source and text from 0."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text_or_empty()).alias("hash"),
                        F.size(split_words(text_or_empty())).cast("long").alias("size"))
+    key = ["doc_id", "source", "hash", "size"]
+    n = F.col("n")
+    upto = lambda last: F.sequence(F.lit(0).cast("long"), last)
+    chunks = rows.groupBy(*key).agg(F.count("*").alias("n")) \
+        .select(*key, "n", F.explode(upto(F.floor((n - 1) / CHUNK))).alias("chunk")).repartition("doc_id", "hash", "chunk")
+    last = F.least(F.lit(CHUNK).cast("long"), n - F.col("chunk") * CHUNK) - 1
+    return chunks.select(*key, F.explode(upto(last)).alias("at"), "chunk") \
+        .select(*key, (F.col("chunk") * CHUNK + F.col("at")).alias("nr"))
 
 
 def _same(*pairs: tuple[str, str]):
@@ -136,7 +147,7 @@ def _same(*pairs: tuple[str, str]):
 
 
 def _copies(sized: DataFrame) -> DataFrame:
-    """``sized``: doc_id, source, hash, size."""
+    """``sized``: doc_id, source, hash, size, nr."""
     spark = sized.sparkSession
     cells = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     by_source = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()
@@ -152,7 +163,7 @@ def _copies(sized: DataFrame) -> DataFrame:
     rated = sized.join(plan, _same(("source", "s"))).drop("s") \
         .withColumn("rate", F.round(rate * UNIT).cast("long")) \
         .withColumn("bin", F.floor(F.log2(F.col("size") + 1) * BINS).cast("int")) \
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(salts)).cast("int")).drop("tilt", "mean")
+        .withColumn("salt", F.pmod(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(salts)) + F.col("nr"), F.lit(salts)).cast("int")).drop("tilt", "mean")
 
     def running(key: list[str], order, value: str):
         return F.sum(value).over(Window.partitionBy(*key).orderBy(order)) - F.col(value)
@@ -165,13 +176,13 @@ def _copies(sized: DataFrame) -> DataFrame:
     starts = salted.join(bins, _same(("source", "_s")) & (F.col("bin") == F.col("_b"))).select(
         F.col("source").alias("_s"), F.col("bin").alias("_b"), F.col("salt").alias("_k"),
         (F.col("bin_before") + F.col("salt_before")).alias("before"))
-    inside = Window.partitionBy("source", "bin", "salt").orderBy(F.desc("size"), "doc_id", "hash") \
+    inside = Window.partitionBy("source", "bin", "salt").orderBy(F.desc("size"), "doc_id", "hash", "nr") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = rated.withColumn("upto", F.sum("rate").over(inside))
     joined = numbered.join(starts, _same(("source", "_s")) & (F.col("bin") == F.col("_b")) & (F.col("salt") == F.col("_k")))
     upto = F.col("before") + F.col("upto") + UNIT // 2
     copies = F.floor(upto / UNIT) - F.floor((upto - F.col("rate")) / UNIT)
-    out = joined.select("doc_id", "source", "hash", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = joined.select("doc_id", "source", "hash", "nr", "size", "source_size", "target", copies.cast("long").alias("copies"))
     for _ in range(FIXES):
         out = _close_gap(durable(out))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
@@ -183,15 +194,13 @@ def _close_gap(mixed: DataFrame) -> DataFrame:
     gap = F.broadcast(gaps.select(F.col("source").alias("_s"), "gap"))
     able = F.when(F.col("gap") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0)
     miss = F.abs(F.abs("gap") - F.col("size"))
-    near = mixed.join(gap, _same(("source", "_s"))).where(able & (miss < F.abs("gap")) & F.col("doc_id").isNotNull())
+    near = mixed.join(gap, _same(("source", "_s"))).where(able & (miss < F.abs("gap")))
     pick = near.groupBy("source").agg(F.min_by(
-        F.struct("doc_id", "hash", F.signum("gap").cast("long").alias("move")), F.struct(miss, "doc_id", "hash")).alias("p")) \
-        .select(F.col("source").alias("_s"), F.col("p.doc_id").alias("_d"), F.col("p.hash").alias("_h"), "p.move")
-    moved = mixed.join(F.broadcast(pick), _same(("source", "_s")) & (F.col("doc_id") == F.col("_d")) & (F.col("hash") == F.col("_h")),
-                       "left")
-    # Repeated rows of the picked document move together as far as they can.
-    after = F.least(F.greatest(F.col("copies") + F.coalesce("move", F.lit(0)), F.lit(0)), F.lit(CAP))
-    return moved.withColumn("copies", after.cast("long")).drop("_s", "_d", "_h", "move")
+        F.struct("doc_id", "hash", "nr", F.signum("gap").cast("long").alias("move")),
+        F.struct(miss, F.col("doc_id").isNull(), "doc_id", "hash", "nr")).alias("p")) \
+        .select(F.col("source").alias("_s"), F.col("p.doc_id").alias("_d"), F.col("p.hash").alias("_h"), F.col("p.nr").alias("_n"), "p.move")
+    moved = mixed.join(F.broadcast(pick), _same(("source", "_s"), ("doc_id", "_d"), ("hash", "_h"), ("nr", "_n")), "left")
+    return moved.withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("_s", "_d", "_h", "_n", "move")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -200,11 +209,33 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as many times as it has copies, columns
-    as in ``docs``.  Equal rows (id, source, text) each get the rounded mean of their copies."""
+    as in ``docs``.  Equal rows (id, source, text) that differ in copies are numbered as in the plan."""
     p = clear_prefix(docs, "_tm")
-    plan = _copies(durable(_sized(docs))).groupBy("doc_id", "source", "hash").agg(F.round(F.avg("copies")).cast("int").alias("times")) \
-        .where(F.col("times") > 0).select(*[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "source", "hash", "times")])
+    key = ["doc_id", "source", "hash"]
+    copied = durable(_copies(durable(_sized(docs))))
+    groups = durable(copied.groupBy(*key).agg(F.min("copies").cast("int").alias("times"), F.max("copies").cast("int").alias("most")))
+    named = lambda df, *extra: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*key, *extra)])
+    same = _same(("doc_id", f"{p}_doc_id"), (f"{p}_s", f"{p}_source"), (f"{p}_h", f"{p}_hash"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumns({f"{p}_s": F.col("source").cast("string"), f"{p}_h": F.xxhash64(text_or_empty())})
-    taken = keyed.join(plan, _same(("doc_id", f"{p}_doc_id"), (f"{p}_s", f"{p}_source"), (f"{p}_h", f"{p}_hash")))
-    return taken.select(*cols, F.explode(F.array_repeat(F.lit(0), F.col(f"{p}_times"))).alias(f"{p}_n")).select(*cols)
+
+    def repeated(taken: DataFrame) -> DataFrame:
+        return taken.select(*cols, F.explode(F.array_repeat(F.lit(0), F.col(f"{p}_times"))).alias(f"{p}_n")).select(*cols)
+
+    out = repeated(keyed.join(named(groups.where((F.col("times") == F.col("most")) & (F.col("times") > 0)), "times"), same))
+    mixed = groups.where(F.col("times") < F.col("most")).select(*key)
+    if mixed.isEmpty():
+        return out
+    # A row's number: its place in its partition, after the rows of the partitions before it.
+    part, place = F.col(f"{p}_part"), Window.partitionBy("doc_id", f"{p}_s", f"{p}_h", f"{p}_part").orderBy(f"{p}_part")
+    rows = durable(keyed.join(named(mixed), same, "left_semi").withColumn(f"{p}_part", F.spark_partition_id()))
+    counted = rows.groupBy("doc_id", f"{p}_s", f"{p}_h", f"{p}_part").agg(F.count("*").alias("n"))
+    before = counted.select(F.col("doc_id").alias(f"{p}_doc_id"), F.col(f"{p}_s").alias(f"{p}_source"), F.col(f"{p}_h").alias(f"{p}_hash"),
+                            part.alias(f"{p}_p"), (F.sum("n").over(Window.partitionBy("doc_id", f"{p}_s", f"{p}_h").orderBy(f"{p}_part"))
+                                                   - F.col("n")).alias(f"{p}_before"))
+    numbered = rows.withColumn(f"{p}_at", F.row_number().over(place) - 1) \
+        .join(before, same & (part == F.col(f"{p}_p"))) \
+        .select(*cols, f"{p}_s", f"{p}_h", (F.col(f"{p}_before") + F.col(f"{p}_at")).alias(f"{p}_number"))
+    uneven = named(copied.join(mixed.select(*[F.col(c).alias(f"{p}_{c}") for c in key]), _same(*[(c, f"{p}_{c}") for c in key]), "left_semi")
+                   .where(F.col("copies") > 0).withColumn("times", F.col("copies").cast("int")), "nr", "times")
+    return out.unionByName(repeated(numbered.join(uneven, same & (F.col(f"{p}_number") == F.col(f"{p}_nr")))))

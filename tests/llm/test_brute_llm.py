@@ -295,6 +295,27 @@ def test_mix_meets_targets(spark):
     assert again == {r.doc_id: r.taken for r in out}
 
 
+def test_repeated_rows_move_one_by_one(spark):
+    """One repeated row holds nearly all of a source; it is wanted 0.4 times in one table, 1.5 times in the other."""
+    text = lambda n: " ".join(["w"] * n)
+    for n_a, n_b, null in ((1000, 250, False), (600, 1400, True)):
+        rows = [(None if null else 1, text(50), "a", f"l{i % 3}") for i in range(n_a)] + [(2, text(7), "a", "x")] + \
+            [(10 + i, text(40), "b", "x") for i in range(n_b)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(7)
+        out = mixing.mix(frame).collect()
+        for s in "ab":
+            of = [r for r in out if r.source == s]
+            assert abs(sum(r.taken for r in of) - of[0].target) <= 50, (s, of[0].target)
+        rate = sum(r.copies for r in out if r.size == 50) / n_a
+        assert rate not in (0, 1, 2, 3) and {r.copies for r in out if r.size == 50} == {int(rate), int(rate) + 1}
+        assert len(out) == len(rows) and {r.copies for r in out} <= {0, 1, 2, 3}
+        got = collections.Counter((r.doc_id, r.source) for r in mixing.mixed_documents(frame).collect())
+        want = collections.Counter()
+        for r in out:
+            want[r.doc_id, r.source] += r.copies
+        assert got == +want
+
+
 def test_targets_stop_at_three_times_a_source():
     got = mixing.targets([("a", 1000), ("b", 10), ("c", 100), (None, 0)])
     assert got["b"] == 30 and got["c"] == 300 and got[None] == 0 and math.isclose(sum(got.values()), 1110)
