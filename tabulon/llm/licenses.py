@@ -5,7 +5,11 @@ containment join between text blocks (lines) and license templates: tokens
 are put in one global order, rarest first, by their frequency over the blocks
 of the corpus; a block meets a template only where their prefixes share a
 token and the length and positional filters allow enough common tokens; the
-survivors are verified.  Only built-in column functions run.
+survivors are verified.  A notice may also be wrapped: further blocks hold
+the words on both sides of a line break, one fewer on each side than the
+template has words, so that every stretch of a template's length lies in a
+line or in such a block.  They are built only for the templates of which the
+whole text holds enough tokens.  Only built-in column functions run.
 
 Blocks are first reduced to the tokens that occur in any template: other
 tokens cannot count towards a containment, so the join stays exact.
@@ -24,10 +28,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import text_or_empty
+from tabulon.llm.common import let, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 PHRASES = {
     "gnu general public license": "gpl",
@@ -66,8 +71,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
 def template_tokens(text: str) -> list[str]:
-    return sorted(set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))) - {""})
+    return sorted(set(template_words(text)))
 
 
 def needed(n_tokens: int, containment: float) -> int:
@@ -138,13 +147,44 @@ def notice_hits(texts: DataFrame, templates=TEMPLATES, containment: float = CONT
         .where(F.col("common") >= F.col("alpha")).drop("common", "alpha")
 
 
+def _most_at_a_break(lower: Column, tokens: Column, n_words: Column) -> Column:
+    """The most template tokens among the ``n_words - 1`` words before and after a line break (null without a break)."""
+    marked = F.regexp_replace(F.regexp_replace(lower, SEPARATORS_IN_LINE, " "), " ?\n[ \n]*", " \n ")
+
+    def most(marks: Column, words: Column) -> Column:
+        def common(place: Column, breaks_before: Column) -> Column:
+            before = place - breaks_before
+            start = F.greatest(before - n_words + 1, F.lit(0))
+            return F.size(F.array_intersect(F.slice(words, start + 1, before + n_words - 1 - start), tokens))
+        breaks = F.array_compact(F.transform(marks, lambda x, i: F.when(x == "\n", i)))
+        return F.array_max(F.transform(breaks, common))
+
+    return let(F.split(F.btrim(marked, F.lit(" \n")), " "), lambda m: let(F.filter(m, lambda x: x != "\n"), lambda w: most(m, w)))
+
+
+def wrapped_hits(texts: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """``texts`` as for :func:`notice_hits`.  One row per (document, template) that
+    reaches the threshold around a line break."""
+    split = [(i, label, template_tokens(text), len(template_words(text))) for i, (label, text) in enumerate(templates)]
+    known = F.array(*[F.lit(t) for t in sorted({t for _, _, ts, _ in split for t in ts})])
+    side = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, ts)).alias("t"),
+                              F.lit(needed(len(ts), containment)).alias("alpha"), F.lit(n).alias("n")) for i, label, ts, n in split])
+    held = let(F.array_intersect(known, _tokens_of(F.col("_tl_lower"))),
+               lambda b: F.filter(side, lambda s: F.size(F.array_intersect(b, s["t"])) >= s["alpha"]))
+    met = texts.where(F.contains("_tl_lower", F.lit("\n"))).select("_tl_doc", "_tl_hash", "_tl_lower", F.explode(held).alias("s"))
+    return met.select("_tl_doc", "_tl_hash", "s", _most_at_a_break(F.col("_tl_lower"), F.col("s.t"), F.col("s.n")).alias("common")) \
+        .where(F.col("common") >= F.col("s.alpha")) \
+        .select("_tl_doc", "_tl_hash", "s.template", "s.label", (F.col("common") / F.size("s.t")).alias("containment"))
+
+
 def license_report(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES,
                    containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: phrase places and labels, and the labels with those of the notices."""
     text = text_or_empty()
     keyed = docs.select(F.col("doc_id").alias("_tl_doc"), F.xxhash64(text).alias("_tl_hash"),
                         lower_ascii(text).alias("_tl_lower"))
-    hits = notice_hits(keyed, templates, containment).groupBy("_tl_doc", "_tl_hash").agg(
+    hits = notice_hits(keyed, templates, containment).drop("_tl_block").unionByName(
+        wrapped_hits(keyed, templates, containment)).groupBy("_tl_doc", "_tl_hash").agg(
         F.collect_set("label").alias("_tl_found"), F.max("containment").alias("_tl_best"))
 
     flat = keyed.withColumn("_tl_core", F.btrim(F.regexp_replace("_tl_lower", SEPARATORS, " "))) \

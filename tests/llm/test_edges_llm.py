@@ -230,3 +230,33 @@ def test_license_notices_and_edges(spark):
     assert by[2].labels == ""
     assert (by[3].n_base, by[3].first_word, by[3].last_word, by[3].labels) == (3, 0, 5, "cc-by,mit")
     assert got[4, 0].score == 0.0 and got[4, 2].n_base == 0 and (by[5].n_base, by[5].last_word) == (2, 2)
+
+
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD_HEADER = """ * Redistribution and use in source and binary
+ * forms, with or without modification, are
+ *
+ * permitted provided that the following conditions
+ * are met:
+"""
+
+
+def test_license_notices_over_several_lines(spark):
+    import textwrap
+    filler = "\n".join(f"plain words of line {i} that say nothing" for i in range(200))
+    scattered = "\n".join(w + " " + " ".join(f"x{i}-{k}" for k in range(60)) for i, w in enumerate(licenses.TEMPLATES[2][1].split()))
+    rows = [(1, f"{filler}\n{APACHE_HEADER}{filler}"), (2, f"int x;\n/*\n{BSD_HEADER} */\n{filler}"), (3, scattered),
+            (4, "\n\n \n" + "\n" * 50), (None, BSD_HEADER)]
+    rows += [(10 + i, f"{filler}\nsome words\n" + "\n".join("// " + x for x in textwrap.wrap(text, 40)) + "\nmore words")
+             for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # The long template is held whole; its short form is within it.
+    assert got[1].labels == "apache" and got[1].score == 1.0
+    assert got[2].labels == "bsd" and got[2].base_labels == "" and got[2].score == 1.0 and got[None].labels == "bsd"
+    assert got[3].labels == "" and got[3].score == 0.0 and got[4].labels == ""
+    assert all(label in got[10 + i].labels.split(",") and got[10 + i].score == 1.0 for i, (label, _) in enumerate(licenses.TEMPLATES))
