@@ -5,7 +5,8 @@ the seeds of a pattern-instance graph: an occurrence of an identifier (a
 seed, or any other word with digits) is tied to the lexical patterns it
 stands in (words around it, its shape).  Spark scores the graph in rounds: a
 pattern that mostly holds known identifiers of one kind is trusted, and
-unknown identifiers that trusted patterns point at become known.
+unknown identifiers that trusted patterns point at become known, until a
+round adds none.
 
 The scan is one pass of linear-time matching; only occurrences leave it.  The
 graph is joined and aggregated on pattern and instance, each edge once, and
@@ -19,10 +20,12 @@ and carried by :func:`redact`.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,7 +45,8 @@ _EDGE = "\"'()[]{}<>.,;:!?*#$%&|=`“”«»"
 
 # An unknown identifier: a word with this many characters and digits at least.
 MIN_CHARS, MIN_DIGITS = 5, 3
-ROUNDS = 3
+# Longer words, shapes and identifiers are named by their beginning and a digest of the whole.
+MAX_WORD, MAX_SHAPE, MAX_INSTANCE = 32, 64, 128
 # A pattern is trusted with so many distinct known identifiers of one kind, in this share of all it holds.
 MIN_SUPPORT, MIN_PRECISION = 3, 0.8
 # Trusted patterns point at an identifier with this joint confidence.
@@ -89,21 +93,25 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _named(value: str, chars: int) -> str:
+    return value if len(value) <= chars else f"{value[:chars]}#{hashlib.md5(value.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
 def shape(word: str) -> str:
     """Letters as a, digits as 9, runs kept up to their length class (1, 2-4, 5 and more)."""
     out, last, run = [], "", 0
-    for c in word[:64] + "\0":
+    for c in word + "\0":
         s = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
         if s != last:
             if last:
                 out.append(last if last not in "9a" else last * (1 if run == 1 else 2 if run <= 4 else 3))
             last, run = s, 0
         run += 1
-    return "".join(out)
+    return _named("".join(out), MAX_SHAPE)
 
 
 def _plain(word: str) -> str:
-    return re.sub("[0-9]+", "0", word.strip(_EDGE).lower()[:32]) or "_"
+    return _named(re.sub("[0-9]+", "0", word.strip(_EDGE).lower()), MAX_WORD) or "_"
 
 
 def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
@@ -128,7 +136,7 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
         near = [_plain(text[slice(*words[i])]) if 0 <= i < len(words) else "^" for i in (first - 2, first - 1, last + 1)]
         form = shape(text[a:b])
-        out.append({"start": a, "end": b, "kind": kind, "instance": text[a:b].lower()[:128], "patterns": [
+        out.append({"start": a, "end": b, "kind": kind, "instance": _named(text[a:b].lower(), MAX_INSTANCE), "patterns": [
             f"{near[0]} {near[1]} _ : {form}", f"{near[1]} _ {near[2]} : {form}", f"{near[0]} {near[1]} _ {near[2]}"]})
     return out
 
@@ -160,15 +168,16 @@ def scan(docs: DataFrame) -> DataFrame:
     return durable(rows.mapInArrow(_scan, _SCHEMA))
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores the pattern-instance graph; returns (instances, patterns): what
+def bootstrap(scanned: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scores the pattern-instance graph until a round adds no instance (or for
+    so many ``rounds``); returns (instances, patterns): what
     is known by kind with its confidence, and the trusted patterns."""
     seen = scanned.select(F.explode("seen").alias("s")).select("s.*")
     edges = durable(seen.select("instance", F.explode("patterns").alias("pattern")).distinct())
     known = durable(seen.where(F.col("kind").isNotNull()).groupBy("instance").agg(
         F.min("kind").alias("kind"), F.lit(1.0).alias("confidence")))
     trusted = None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         held = edges.join(known, "instance", "left")
         tally = held.groupBy("pattern").agg(F.count("*").alias("total"), *[
             F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
@@ -179,8 +188,10 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
         votes = held.where(F.col("kind").isNull()).join(trusted, "pattern")
         by_kind = votes.groupBy("instance", F.col("says").alias("kind")).agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("confidence"))
-        fresh = by_kind.where(F.col("confidence") >= MIN_CONFIDENCE).groupBy("instance").agg(
-            F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
+        fresh = durable(by_kind.where(F.col("confidence") >= MIN_CONFIDENCE).groupBy("instance").agg(
+            F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence")))
+        if fresh.isEmpty():
+            break
         known = durable(known.unionByName(fresh))
     return known, trusted
 
@@ -198,7 +209,7 @@ def _listed(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def document_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def document_spans(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, hash, base spans and all spans (base and discovered), a row for each row of ``docs``."""
     scanned = scan(docs)
     known, _ = bootstrap(scanned, rounds)
@@ -213,7 +224,7 @@ def document_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         _ordered(F.concat("s.base", F.coalesce("m.more", none))).alias("spans"))
 
 
-def pii_report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pii_report(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Counts of the base kinds, their digest and the list of all spans."""
     found = document_spans(docs, rounds)
     kinds = F.transform("base", lambda s: s["kind"])
@@ -241,7 +252,7 @@ def _mask_batches(batches: Iterator[pa.RecordBatch], spans: str) -> Iterator[pa.
             [pa.array(texts, batch.schema.field(n).type) if n == "text" else batch.column(n) for n in names], names)
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def redact(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """``docs`` with every found span replaced by its kind; ``n_chars``, where present, follows."""
     p = clear_prefix(docs, "_tp")
     found = document_spans(docs, rounds).where(F.size("spans") > 0).dropDuplicates(["doc_id", "hash"]).select(

@@ -191,6 +191,27 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert masked[90] == "Please call me at [PHONE] after the show." and masked[91] == new[1][1]
 
 
+def test_rounds_go_on_until_nothing_is_added(spark):
+    """Every level of numbers is reachable only through contexts that the level before makes trusted."""
+    levels = [[f"+1 555 123 40{i}{i}" for i in range(6)]] + [[f"{k}5{i}-010-778{i}" for i in range(6)] for k in range(1, 7)]
+    rows = []
+    for k, letter in enumerate("abcdef"):
+        for j, new in enumerate(levels[k + 1]):
+            place = letter + "uvwxyz"[j]
+            rows += [(len(rows) + n, f"one{place} two{place} {x} three{place}") for n, x in enumerate(levels[k] + [new])]
+    out = pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and all(r.spans.startswith("phone:12:") for r in out)
+
+
+def test_long_words_that_differ_late_are_told_apart(spark):
+    seeds = [(i, f"Please call me at +1 (555) 55{i}-12{i}4 after the show.") for i in range(10, 18)]
+    one, other = ("9a" * 70 + end for end in ("111", "222"))
+    frame = spark.createDataFrame(seeds + [(90, f"Please call me at {one} after the show."), (91, f"Number {other} elsewhere.")],
+                                  "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.pii_report(frame).collect()}
+    assert got[90] == f"phone:18:{18 + len(one)}" and got[91] == ""
+
+
 # --- packing
 
 def test_packing_matches_the_tokenizer(spark, rows):
