@@ -137,6 +137,15 @@ def parse_measure(col: Column) -> Column:
     return F.when(m != "", num * mult)
 
 
+def measure_shares(col: Column) -> Column:
+    """N23 all numbers of a slashed measure ('10% / 81% / 8%' -> [10, 81, 8]);
+    other text -> NULL."""
+    part = r"[0-9]+(?:\.[0-9]+)?\s*%"
+    shares = F.regexp_extract_all(col, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*%"), F.lit(1))
+    return F.when(F.rlike(col, F.lit(rf"^\s*{part}(?:\s*/\s*{part})+\s*$")),
+                  F.transform(shares, lambda x: x.try_cast("double")))
+
+
 def parenthetical_measure(col: Column) -> Column:
     """N23 second number: the value inside parentheses ('($107,799)' -> 107799,
     '(2.76x)' -> 2.76, '(15.7%)' -> 15.7)."""

@@ -445,3 +445,10 @@ def test_bucketed_prefix_scans_equal_plain_windows_with_hot_and_null_keys(spark)
         wr = Window.partitionBy("user_id").orderBy("_us").rangeBetween(-width, 0)
         r2 = ev.withColumn("arr", F.count(F.lit(1)).over(wr)).select("event_id", "arr")
         assert r1.count() == ev.count() and r1.exceptAll(r2).count() == 0
+
+
+def test_measure_shares_keeps_every_share(spark):
+    from tabulon.operators import scoring as K
+    rows = [("10% / 81% / 8%",), ("0.5%/99.5%",), ("698k ($107,799)",), ("46%",), ("Not supplied",), (None,)]
+    got = [r.s for r in spark.createDataFrame(rows, "x string").select(K.measure_shares(F.col("x")).alias("s")).collect()]
+    assert got == [[10.0, 81.0, 8.0], [0.5, 99.5], None, None, None, None]
