@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from tabulon.llm import chat, licenses, mixing, neardup, packing, pii, quality, substrings, toxicity, vectors
+from tabulon.llm import chat, licenses, mixing, neardup, packing, pieces, pii, quality, substrings, toxicity, vectors
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_near_duplicates")
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@register("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -19,7 +19,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 NATIVE = ["op2_chat_format", "op3_license_scan", "op10_quality_rules"]
