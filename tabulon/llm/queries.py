@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, licenses, mixing, neardup, packing, pieces, pii, quality, substrings, toxicity, vectors
+from tabulon.llm import chat, licenses, mixing, neardup, packing, pieces, pii, quality, ranked, spelling, substrings, toxicity, vectors
 from tabulon.sources.testdata import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,35 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_sentencepiece")
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_RANKED_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{_TERM}') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{_TERM}') AS ts FROM benchmark),
+q AS (SELECT iid, t, count(*) AS reps FROM (SELECT iid, unnest(ts) AS t FROM i) GROUP BY iid, t),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+c AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT n_docs FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c GROUP BY t),
+p AS (SELECT c.rid, c.t, w.w * ((1000000000 * c.tf) //
+        (1000 * c.tf + 8 * (25 + (75 * len(d.ts) * s.n_docs) // s.n_terms))) AS part
+      FROM c JOIN w USING (t) JOIN d USING (rid) CROSS JOIN s),
+r AS (SELECT iid, rid, CAST(sum(reps * part) AS BIGINT) AS score FROM q JOIN p USING (t) GROUP BY iid, rid HAVING sum(reps * part) > 0),
+k AS (SELECT i.item_id, d.doc_id, r.score,
+        CAST(row_number() OVER (PARTITION BY r.iid ORDER BY r.score DESC, d.doc_id ASC NULLS LAST) AS INTEGER) AS rank
+      FROM r JOIN i USING (iid) JOIN d USING (rid))
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@register("op13_ranked_search", _RANKED_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
