@@ -9,14 +9,15 @@ probability Jaccard similarity of the texts.  Registers are banded into
 bucket keys; texts that share a bucket are candidates and are verified by
 the exact probability Jaccard similarity of their shingles.
 
-No bucket is expanded into pairs.  One minus the similarity is a metric, so
-every round compares the texts of a bucket with a few centers (one in the
-first round, then four times as many) and settles what the triangle inequality settles: a
-text linked to a center has no link to texts far from that center, and keeps
-being compared only while some text is neither linked to the center nor far
-enough away, or are of one class already.  No class is split, and a bucket
-of copies needs one comparison for each text.  Links form classes by
-alternating star contractions, after every round.
+No bucket is expanded into pairs.  Verification takes two waves.  In the first
+every text goes, with its shingles, to the largest of its buckets; in the
+second only the buckets that still hold texts of several classes are looked
+at.  A task gets the texts of one bucket, indexes their shingles, and compares
+a text with all others at once; it hands on the links that join two classes,
+and ends when every class but one has been compared, so a bucket of copies
+costs one comparison.  A large bucket is cut into blocks of bounded size: in
+the first wave its first text goes to all its blocks, in the second all pairs
+of blocks meet.  Links form classes by alternating star contractions.
 
 Exact copies are one text from the start.  What is joined by shuffle stays
 splittable (joins on keys, sums combined before the shuffle); working tables
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.buffers import chunks, mix, text_buffer, window_hashes, word_hashes, word_spans
@@ -45,8 +46,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 # Similarities are sums of doubles: texts exactly at the threshold are linked.
 TIE = 1e-9
-BANDS, ROWS = 16, 4
+# Texts of similarity 0.8 share one of the 20 buckets with probability 0.998, of 0.5 with 0.27.
+BANDS, ROWS = 20, 6
 REGISTERS = BANDS * ROWS
+# Texts, and distinct shingles, of a block of a bucket (on average; one text at least).
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 # Keys that may be broadcast to pick the texts that go on (about 50 bytes each).
 BROADCAST_DOCS = 500_000
 
@@ -133,8 +137,9 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes, counts, first = shingles(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             ends = pa.array(first.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),
-                 pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], ["node", "grams", "counts"])
+                [batch.column("node").slice(a, b - a), pa.array(np.diff(first).astype(np.int32)),
+                 pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),
+                 pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], ["node", "size", "grams", "counts"])
 
 
 def probability_jaccard(ga: np.ndarray, ca: np.ndarray, gb: np.ndarray, cb: np.ndarray) -> float:
@@ -154,66 +159,114 @@ def probability_jaccard(ga: np.ndarray, ca: np.ndarray, gb: np.ndarray, cb: np.n
     return float((1.0 / (from_a / x + from_b / y)).sum())
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def values(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-        return batch.column(name)[i].values.to_numpy()
-
-    for batch in batches:
-        sims = [probability_jaccard(*(values(batch, c, i) for c in ("grams", "counts", "center_grams", "center_counts")))
-                for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("center"), pa.array(sims, pa.float64())],
-                                         ["node", "center", "sim"])
+class _Block:
+    """Texts of one bucket with an index of their shingles."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, first: np.ndarray):
+        self.grams, self.counts, self.first = grams, counts, first
+        self.n = len(first) - 1
+        text = np.repeat(np.arange(self.n), np.diff(first))
+        total = np.zeros(self.n)
+        np.add.at(total, text, counts)
+        self.share = counts / total[text]
+        self.flat = np.ones(self.n, dtype=bool)  # every shingle once
+        self.flat[text[counts > 1]] = False
+        order = np.argsort(grams, kind="stable")
+        self.holders, self.holder_share = text[order], self.share[order]
+        held = grams[order]
+        self.start = np.searchsorted(held, grams, side="left")
+        self.width = np.searchsorted(held, grams, side="right") - self.start
+
+    def linked(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """The texts of ``others`` whose similarity to text ``i`` reaches the threshold."""
+        a, b = self.first[i], self.first[i + 1]
+        width = self.width[a:b]
+        at = np.repeat(self.start[a:b] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        met = self.holders[at]
+        sizes = np.diff(self.first)
+        # Similarity is at most the share of either text's weight that the common shingles have.
+        mine = np.bincount(met, np.repeat(self.share[a:b], width), self.n)
+        theirs = np.bincount(met, self.holder_share[at], self.n)
+        others = others[(mine[others] >= threshold - TIE) & (theirs[others] >= threshold - TIE)]
+        if not len(others):
+            return others
+        common = np.bincount(met, minlength=self.n)[others]
+        sim = common / (sizes[i] + sizes[others] - common)
+        for k in np.flatnonzero(~(self.flat[others] & self.flat[i])):
+            c, d = self.first[others[k]], self.first[others[k] + 1]
+            sim[k] = probability_jaccard(self.grams[a:b], self.counts[a:b], self.grams[c:d], self.counts[c:d])
+        return others[sim >= threshold - TIE]
+
+    def links(self, labels: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Links that join the classes ``labels``: no text of one class at the end is linked to one of another."""
+        label, out, done = labels.copy(), [], np.zeros(self.n, dtype=bool)
+        while True:
+            classes, of = np.unique(label, return_inverse=True)
+            waiting = np.bincount(of[~done], minlength=len(classes))
+            if len(classes) == 1 or (waiting > 0).sum() <= 1:
+                return out
+            # A class that is not the largest of those that wait, the one with the least left to compare.
+            waits = np.flatnonzero(waiting)
+            waits = np.delete(waits, np.argmax(waiting[waits]))
+            pick = waits[np.argmin(waiting[waits])]
+            i = int(np.flatnonzero((of == pick) & ~done)[0])
+            done[i] = True
+            for j in self.linked(i, np.flatnonzero(of != pick), threshold).tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+
+
+def _linker(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        grams, counts = (table.column(c).combine_chunks() for c in ("grams", "counts"))
+        grams, counts = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (grams, counts))
+        first = np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        nodes, labels = (table.column(c).to_pylist() for c in ("node", "root"))
+        number = {r: i for i, r in enumerate(dict.fromkeys(labels))}
+        block = _Block(grams.flatten().to_numpy(), counts.flatten().to_numpy(), first)
+        links = block.links(np.array([number[r] for r in labels]), threshold)
+        return pa.table({"node": pa.array([nodes[i] for i, _ in links], pa.binary()),
+                         "center": pa.array([nodes[j] for _, j in links], pa.binary())})
+    return run
 
 
 def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_DOCS else keys
 
 
-def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """node, center, sim of the distinct pairs."""
-    left = pairs.join(grams, "node")
-    right = grams.select(F.col("node").alias("center"), F.col("grams").alias("center_grams"), F.col("counts").alias("center_counts"))
-    return left.join(right, "center").select("node", "center", "grams", "counts", "center_grams", "center_counts") \
-        .mapInArrow(_compare, "node binary, center binary, sim double")
-
-
-def _classes(rows: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """node, root of all classes that the buckets (key, node) hold."""
-    turn, centers_each, slack = 0, 1, 1.0 - threshold
-    state, roots = rows, None
-    while True:
-        # The first center is the smallest node, the same one in all buckets of a group of copies.
-        rank = F.col("node") if turn == 0 else F.unhex(F.md5(F.concat(F.col("node"), F.lit(f"{turn}").cast("binary"))))
-        if centers_each == 1:
-            centers = state.groupBy("key").agg(F.min_by("node", rank).alias("center"))
-        else:
-            nth = F.row_number().over(Window.partitionBy("key").orderBy(rank))
-            centers = state.withColumn("nth", nth).where(F.col("nth") <= centers_each) \
-                .select("key", F.col("node").alias("center"))
-        met = state.join(centers, "key").where(F.col("node") != F.col("center"))
-        sims = _verified(met.select("node", "center").distinct(), grams)
-        seen = durable(met.join(sims, ["node", "center"]))
-        linked = F.col("sim") >= threshold - TIE
-        links = seen.where(linked).select("node", "center")
-        roots = components(links if roots is None else links.unionByName(roots.withColumnRenamed("root", "center")))
-        # The most similar text that a center neither links nor shuts out.
-        near = seen.where(~linked & (F.col("sim") >= threshold - slack - 4 * TIE)) \
-            .groupBy("key", "center").agg(F.max("sim").alias("nearest"))
-        by_row = seen.join(near, ["key", "center"], "left").groupBy("key", "node").agg(
-            F.max(linked & (F.col("nearest").isNull() | (F.col("sim") - F.col("nearest") > slack + 2 * TIE))).alias("settled"))
-        was = centers.select("key", F.col("center").alias("node"), F.lit(True).alias("done"))
-        rest = state.join(by_row, ["key", "node"], "left").join(was, ["key", "node"], "left") \
-            .where(F.col("done").isNull() & ~F.coalesce("settled", F.lit(False))) \
-            .select("key", "node")
-        # A bucket whose remaining texts are of one class already can add nothing.
-        rooted = rest.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-        useful = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")) \
-            .where(F.col("a") != F.col("b")).select("key")
-        state = durable(rest.join(useful, "key", "left_semi"))
-        if state.isEmpty():
-            return roots
-        turn += 1
-        centers_each *= 4
+def _links(rows: DataFrame, keys: list[str], grams: DataFrame, threshold: float) -> DataFrame:
+    """node, center of links between texts of the same ``keys`` and different ``root``."""
+    full = rows.join(grams.drop("size"), "node").select(*keys, "node", "root", "grams", "counts")
+    return full.groupBy(*keys).applyInArrow(_linker(threshold), "node binary, center binary")
+
+
+def _classes(buckets: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """node, root of all classes that the ``buckets`` (key, node) hold."""
+    sized = buckets.join(grams.select("node", "size"), "node")
+    sizes = sized.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("lead"),
+        F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = buckets.join(sizes, "key")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+
+    # First wave: the largest bucket of every text, and in a bucket of several blocks its first text with each.
+    home = placed.groupBy("node").agg(F.max(F.struct("n", "key", "blocks", "lead")).alias("h")).select("node", "h.key", "h.blocks", "h.lead")
+    at_home = durable(home.withColumn("block", block))
+    leads = at_home.where(F.col("blocks") > 1).select(F.col("lead").alias("node"), "key", "block").distinct()
+    first = at_home.select("key", "block", "node").unionByName(leads.select("key", "block", "node")).distinct()
+    links = durable(_links(first.withColumn("root", F.col("node")), ["key", "block"], grams, threshold))
+    roots = components(links)
+
+    # Second wave: buckets with several classes left, all pairs of their blocks.
+    rooted = placed.join(roots, "node", "left").select("key", "blocks", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("key")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    second = rooted.join(open_, "key", "left_semi").withColumn("block", block).withColumn("other", other) \
+        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root")
+    more = durable(_links(second, ["key", "low", "high"], grams, threshold))
+    return components(more.unionByName(roots.withColumnRenamed("root", "center")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,7 +312,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one = texts.groupBy("node").agg(F.min("doc_id").alias("lead")).join(wanted, "node", "left_semi") \
         .select(F.col("node").alias("_n"), F.col("lead").alias("_d"))
     leads = rows.join(_small(durable(one)), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    grams = durable(leads.select("node", "text").mapInArrow(_shingle_rows, "node binary, grams array<long>, counts array<int>")
+    grams = durable(leads.select("node", "text").mapInArrow(_shingle_rows, "node binary, size int, grams array<long>, counts array<int>")
                     .dropDuplicates(["node"]))
 
     roots = _classes(buckets, grams, threshold)

@@ -125,14 +125,109 @@ def test_texts_exactly_at_the_threshold_are_linked(spark):
     assert got == {i: (i - i % 2, 2) for i in range(2 * len(tied))}
 
 
-def test_a_gap_equal_to_the_slack_settles_nothing(spark, monkeypatch):
-    sims = {("a", "b"): 0.9, ("a", "c"): 0.7, ("b", "c"): 0.8}
-    known = spark.createDataFrame([(x.encode(), y.encode(), s) for (p, q), s in sims.items() for x, y in ((p, q), (q, p))],
-                                  "node binary, center binary, sim double")
-    monkeypatch.setattr(neardup, "_verified", lambda pairs, grams: pairs.join(known, ["node", "center"]))
-    buckets = spark.createDataFrame([(1, x.encode()) for x in "abc"], "key long, node binary")
-    roots = {bytes(r.node): bytes(r.root) for r in neardup._classes(buckets, None, neardup.THRESHOLD).collect()}
-    assert roots == {b"b": b"a", b"c": b"a"}
+def test_a_text_linked_to_one_of_two_linked_texts_joins_them():
+    sims = {(0, 1): 0.9, (0, 2): 0.7, (1, 2): 0.8}
+
+    class Known(neardup._Block):
+        def __init__(self):
+            self.n = 3
+
+        def linked(self, i, others, threshold):
+            return np.array([j for j in others if sims[min(i, j), max(i, j)] >= threshold], dtype=int)
+
+    assert sorted(map(sorted, Known().links(np.arange(3), neardup.THRESHOLD))) == [[0, 1], [1, 2]]
+    assert Known().links(np.zeros(3, dtype=int), neardup.THRESHOLD) == []
+    assert sorted(map(sorted, Known().links(np.array([5, 5, 9]), neardup.THRESHOLD))) == [[1, 2]]
+
+
+def _random_bags(rng, n, weighted):
+    base = [rng.sample(range(400), 60) for _ in range(4)]
+    bags = []
+    for _ in range(n):
+        keep = [g for g in rng.choice(base) if rng.random() < rng.choice((0.85, 0.95))] + rng.sample(range(400), rng.randint(0, 6))
+        bags.append(collections.Counter({g + 1: rng.randint(1, 3) if weighted and rng.random() < 0.2 else 1 for g in keep}))
+    return bags
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_a_block_finds_the_classes_of_all_its_pairs(weighted):
+    rng = random.Random(11 + weighted)
+    for _ in range(30):
+        bags = _random_bags(rng, rng.randint(2, 40), weighted)
+        first = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+        grams = np.array([g for b in bags for g in sorted(b)])
+        counts = np.array([b[g] for b in bags for g in sorted(b)])
+        links = neardup._Block(grams, counts, first).links(np.arange(len(bags)), 0.8)
+        linked = [(i, j) for i in range(len(bags)) for j in range(i) if brute_similarity(bags[i], bags[j]) >= 0.8 - 1e-9]
+        find = {i: i for i in range(len(bags))}
+        for pairs, label in ((links, {}), (linked, {})):
+            root = dict(find)
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root = {k: a if v == b else v for k, v in root.items()}
+            label |= {i: min(k for k in root if root[k] == root[i]) for i in root}
+            if pairs is links:
+                mine = label
+        assert mine == label and {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in linked}
+
+
+def test_copies_cost_one_comparison_and_mixed_groups_few(monkeypatch):
+    rng = random.Random(3)
+    calls = []
+    plain = neardup._Block.linked
+    monkeypatch.setattr(neardup._Block, "linked", lambda self, i, *a: calls.append(i) or plain(self, i, *a))
+    for n in (60, 240):
+        for shared, most in ((190, 1), (133, n)):  # similarities of about 0.9 and 0.5
+            grams, first = [], [0]
+            for k in range(n):
+                grams += list(range(shared)) + [1000 + 200 * k + x for x in range(200 - shared)]
+                first.append(len(grams))
+            calls.clear()
+            neardup._Block(np.array(grams), np.ones(len(grams), dtype=int), np.array(first)).links(np.arange(n), 0.8)
+            assert len(calls) <= most
+
+
+def test_blocks_of_a_bucket_lose_no_class(spark, monkeypatch):
+    """One bucket in blocks of a few texts: two tight groups, a chain across blocks, and texts of their own."""
+    rng = random.Random(6)
+    bags = _random_bags(rng, 60, False) + [collections.Counter(range(500 + 8 * k, 600 + 8 * k)) for k in range(12)]
+    name = [hashlib.md5(str(i).encode()).digest() for i in range(len(bags))]
+    rows = [(name[i], len(b), sorted(b), [b[g] for g in sorted(b)]) for i, b in enumerate(bags)]
+    grams = spark.createDataFrame(rows, "node binary, size int, grams array<long>, counts array<int>")
+    buckets = spark.createDataFrame([(1, x) for x in name], "key long, node binary")
+    expected = {frozenset(name[i] for i in g) for g in _groups_of(bags) if len(g) > 1}
+    for texts, weight in ((5, 1 << 20), (1024, 300), (1024, 1 << 20)):
+        monkeypatch.setattr(neardup, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", weight)
+        got = collections.defaultdict(set)
+        for r in neardup._classes(buckets, grams, 0.8).collect():
+            got[bytes(r.root)] |= {bytes(r.node), bytes(r.root)}
+        assert set(map(frozenset, got.values())) == expected
+
+
+def _groups_of(bags):
+    group = list(range(len(bags)))
+    for i in range(len(bags)):
+        for j in range(i):
+            if brute_similarity(bags[i], bags[j]) >= 0.8 - 1e-9:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+    return [[i for i, g in enumerate(group) if g == x] for x in set(group)]
+
+
+@pytest.mark.parametrize("similarity,least", [(0.8, 0.97), (0.85, 0.99), (0.9, 0.99)])
+def test_recall_of_the_buckets(similarity, least):
+    """Share of pairs of a known similarity that meet in a bucket."""
+    rng = np.random.default_rng(8)
+    size, n = 300, 400
+    shared = round(2 * size * similarity / (1 + similarity))
+    base = rng.integers(1, 2**63, (n, shared), dtype=np.uint64)
+    own = rng.integers(1, 2**63, (2, n, size - shared), dtype=np.uint64)
+    keys = []
+    for side in own:
+        grams = np.concatenate([base, side], axis=1).reshape(-1)
+        keys.append(neardup.band_keys(neardup.registers(grams, np.ones(len(grams)), np.arange(n + 1) * size)))
+    assert (keys[0] == keys[1]).any(1).mean() >= least
 
 
 def test_components_of_long_chains(spark):
