@@ -32,15 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from tabulon.llm.buffers import Rolling, mix
 from tabulon.llm.common import text_or_empty
 
 SPACE_MARK = "▁"
+_BASE, _SLOT_BITS = 0x9E3779B97F4A7C15, 20
 # Words longer than this have an agenda of their own (a heap); shorter ones advance together.
 LONG_WORD = 64
 # Texts are taken together up to this many characters (one text at least).
 GROUP_CHARS = 1 << 21
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 class PieceModel:
     """A vocabulary of scored pieces; refuses models that are not of merge type.
 
@@ -73,12 +79,19 @@ class PieceModel:
         self.keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
         self.merged = np.array([i for _, i in pairs] or [0], dtype=np.int64)
         self.scores = scores[self.merged]
+        # Pairs by slot of their key: the first one, and from each the next of its slot.
+        slots = _slot(self.keys)
+        order = np.argsort(slots, kind="stable")
+        same = slots[order[1:]] == slots[order[:-1]]
+        self.slot, self.chain = np.full(1 << _SLOT_BITS, -1), np.full(len(self.keys), -1)
+        self.slot[slots[order[::-1]]] = order[::-1]
+        self.chain[order[:-1][same]] = order[1:][same]
         self.pair = dict(zip(self.keys.tolist(), zip(self.merged.tolist(), (-self.scores).tolist())))
 
-        whole = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids)
-        self.words = re.compile(r"[\s\S]+" if whole else f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
+        # No merge crosses a word start if no piece holds one after another character.
+        self.parted = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids)
         longest_first = sorted(self.fixed, key=len, reverse=True)
-        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.cuts = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
     @staticmethod
     def _pair(left, right):
@@ -117,9 +130,12 @@ class PieceModel:
     def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and piece of every pair (no piece: minus infinity)."""
         key = self._pair(left, right)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.scores[at], -np.inf), self.merged[at]
+        at = self.slot[_slot(key)]
+        wrong = np.flatnonzero((at >= 0) & (self.keys[at] != key))
+        while len(wrong):
+            at[wrong] = self.chain[at[wrong]]
+            wrong = wrong[(at[wrong] >= 0) & (self.keys[at[wrong]] != key[wrong])]
+        return np.where(at >= 0, self.scores[at], -np.inf), self.merged[at]
 
     def merge_words(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols that are left of many words (one after the other) and their numbers.
@@ -134,32 +150,28 @@ class PieceModel:
         done: list[tuple] = []
         while len(symbols):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best = np.maximum.reduceat(score, first)
-            sizes = np.diff(np.append(first, len(word)))
-            best = np.repeat(best, sizes)
+            best = np.repeat(np.maximum.reduceat(score, first), np.diff(np.append(first, len(word))))
             open_ = best > -np.inf
-            if not open_.all():  # words whose agenda is empty are done
-                done.append((symbols[~open_], word[~open_], place[~open_]))
-                symbols, word, place, score, piece, best = (x[open_] for x in (symbols, word, place, score, piece, best))
-                if not len(symbols):
-                    break
-            top = np.flatnonzero(score == best)
+            if not open_.any():
+                break
+            top = np.flatnonzero((score == best) & open_)
             top = top[np.concatenate(([True], word[top[1:]] != word[top[:-1]]))]
             symbols[top] = piece[top]
             keep = np.ones(len(symbols), dtype=bool)
             keep[top + 1] = False
-            shift = np.cumsum(keep) - 1
+            if open_.sum() < len(open_) * 3 // 4:  # words whose agenda is empty are laid aside
+                done.append((symbols[~open_], word[~open_], place[~open_]))
+                keep &= open_
+            at = (np.cumsum(keep) - 1)[top]
             symbols, word, place, score, piece = (x[keep] for x in (symbols, word, place, score, piece))
-            at = shift[top]
-            for left in (at - 1, at):
-                left = left[(left >= 0) & (left < len(symbols) - 1)]
-                s, p = self._offers(symbols[left], symbols[left + 1])
-                s[word[left] != word[left + 1]] = -np.inf
-                score[left], piece[left] = s, p
-            tail = at[at == len(symbols) - 1]
-            score[tail] = -np.inf
-        if not done:
-            return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+            left = np.concatenate((at - 1, at))
+            left = left[(left >= 0) & (left < len(symbols) - 1)]
+            s, p = self._offers(symbols[left], symbols[left + 1])
+            s[word[left] != word[left + 1]] = -np.inf
+            score[left], piece[left] = s, p
+            if len(at) and at[-1] == len(symbols) - 1:
+                score[-1] = -np.inf
+        done.append((symbols, word, place))
         symbols, word, place = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(place)
         return symbols[order], np.bincount(word, minlength=len(lengths))
@@ -182,42 +194,68 @@ class PieceModel:
         total = np.concatenate(([0], np.cumsum(width)))
         return out, total[ends] - total[ends - lengths]
 
+    def _word_starts(self, texts: list[str], points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and which of them are fixed symbols."""
+        start, fixed = np.zeros(len(points) + 1, dtype=bool), np.zeros(len(points) + 1, dtype=bool)
+        if self.parted:
+            mark = points == ord(SPACE_MARK)
+            start[:-1] = mark
+            start[1:-1] &= ~mark[:-1]
+        start[at] = True
+        if self.cuts is not None:
+            for text, begin in zip(texts, at.tolist()):
+                for m in self.cuts.finditer(text):
+                    start[begin + m.start():begin + m.end()] = False
+                    start[[begin + m.start(), begin + m.end()]] = fixed[begin + m.start()] = True
+        begin = np.flatnonzero(start[:-1])
+        return begin, fixed[begin]
+
     def encode(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of normalised texts (one after the other) and the offsets of the texts."""
-        found = [self._cut(t) for t in normal]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        coded = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if not words:
+        points = np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.concatenate(([0], np.cumsum([len(t) for t in normal]))).astype(np.int64)
+        if not len(points):
             return np.zeros(0, np.int32), np.zeros(len(normal) + 1, np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        symbols, lengths = self.symbol_of[points], np.array([len(w) for w in words], dtype=np.int64)
-        alone = lengths > LONG_WORD
-        if self.fixed:
-            alone |= np.array([w in self.fixed for w in words])
+        begin, fixed = self._word_starts(normal, points, at)
+        size = np.diff(np.append(begin, len(points)))
+        own, codes = self._distinct(points, begin, size)
+        lengths = size[own]
+        symbols = self.symbol_of[points[_runs(begin[own], lengths)]]
+        fixed = fixed[own]
+        alone = (lengths > LONG_WORD) | fixed
         parts = np.repeat(alone, lengths)
         joined, counts = self.merge_words(symbols[~parts], lengths[~alone])
         if alone.any():
             ends = np.cumsum(lengths)
-            own = [[self.ids[words[i]]] if words[i] in self.fixed else
-                   self.merge_word(symbols[ends[i] - lengths[i]:ends[i]].tolist()) for i in np.flatnonzero(alone)]
-            lengths[~alone], lengths[alone] = counts, [len(x) for x in own]
+            merged = [[self.ids["".join(map(chr, points[begin[own[i]]:begin[own[i]] + lengths[i]]))]] if fixed[i] else
+                      self.merge_word(symbols[ends[i] - lengths[i]:ends[i]].tolist()) for i in np.flatnonzero(alone)]
+            lengths[~alone], lengths[alone] = counts, [len(x) for x in merged]
             parts = np.repeat(alone, lengths)
             symbols = np.empty(len(parts), dtype=np.int64)
-            symbols[~parts], symbols[parts] = joined, list(chain.from_iterable(own))
+            symbols[~parts], symbols[parts] = joined, list(chain.from_iterable(merged))
         else:
             symbols, lengths = joined, counts
         ids, lengths = self._bytes(symbols, lengths)
         starts = np.cumsum(lengths) - lengths
         width = lengths[codes]
-        at = np.concatenate(([0], np.cumsum(width)))
-        take = np.repeat(starts[codes] - at[:-1], width) + np.arange(at[-1])
-        return ids[take].astype(np.int32), at[np.concatenate(([0], np.cumsum(sizes)))]
+        before = np.concatenate(([0], np.cumsum(width)))
+        return ids[_runs(starts[codes], width)].astype(np.int32), before[np.searchsorted(begin, at)]
+
+    @staticmethod
+    def _distinct(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each kind, and the kind of every word (by hash, then compared)."""
+        hashes = mix(Rolling(points.astype(np.uint64) + np.uint64(1), _BASE).ranges(begin, begin + size) ^ size.astype(np.uint64))
+        _, own, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        first = own[codes]
+        if (size[first] == size).all() and (points == points[_runs(begin[first], size)]).all():
+            return own, codes
+        return np.arange(len(begin)), np.arange(len(begin))  # two words of one hash: every word by itself
+
 
-    def _cut(self, text: str) -> list[str]:
-        if self.cuts is None:
-            return self.words.findall(text)
-        return [w for part in self.cuts.split(text) for w in ([part] if part in self.fixed else self.words.findall(part))]
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -257,9 +295,10 @@ def _decoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in batches:
-            lists = batch.column("ids")
-            for a, b in _groups(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()):
-                ids = [x or [] for x in lists.slice(a, b - a).to_pylist()]
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+            for a, b in _groups(sizes):
+                flat = batch.column("ids").slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                ids = np.split(flat, np.cumsum(sizes[a:b])[:-1])
                 decoded = pa.array(library.decode(ids, num_threads=1), pa.string())
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
