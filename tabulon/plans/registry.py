@@ -15,6 +15,7 @@ _MODULES = (
     "tabulon.plans.search_queries",
     "tabulon.plans.scoring_queries",
     "tabulon.plans.dialog_queries",
+    "tabulon.plans.context_queries",
     "tabulon.plans.admission_queries",
     "tabulon.plans.activity_queries",
     "tabulon.plans.housing_queries",
