@@ -10,15 +10,15 @@ from tabulon.operators.prefix import running_max as running_max_bucketed
 
 
 def session_best(events: DataFrame, player: str = "user_id", session: str = "day", score: str = "value",
-                 ts: str = "ts") -> DataFrame:
+                 ts: str = "ts", buckets: int | None = None) -> DataFrame:
     """A session's score is its best row so far (the max reached); the
     player's best is the running max over sessions in time order.  One
-    partial + final aggregate per session, then a running window per player
-    over sessions (rows, not events)."""
+    partial + final aggregate per session, then a bucketed prefix scan per
+    player over sessions (rows, not events)."""
     sessions = events.groupBy(player, session).agg(F.max(score).alias("session_score"),
                                                    F.min(ts).alias("started"))
-    w = Window.partitionBy(player).orderBy("started", session).rowsBetween(Window.unboundedPreceding, 0)
-    return sessions.withColumn("best_so_far", F.max("session_score").over(w))
+    t = sessions.withColumn("_t", F.unix_micros(F.col("started").cast("timestamp")))
+    return running_max_bucketed(t, player, ["_t", session], "_t", "session_score", "best_so_far", buckets).drop("_t")
 
 
 def running_max(events: DataFrame, player: str = "user_id", score: str = "value",

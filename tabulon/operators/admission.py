@@ -12,12 +12,20 @@ Batch plan (no group is ever materialised):
    the state is provably empty after such a gap, so segments are independent
    and a hot key's work spreads over many tasks.  The segment numbers come
    from a bucketed prefix scan (``operators.prefix``), so even this step
-   never runs a key's whole timeline in one task.  (A hot key without idle
-   gaps is inherently sequential; it is still streamed, never held in
-   memory.)
-2. hash-repartition on (key, seg), sort within partitions, then
+   never runs a key's whole timeline in one task.
+2. hash-repartition on (key, seg, bucket), sort within partitions, then
    ``mapInPandas`` walks the Arrow batches carrying at most ``limit`` stamps
    of state; memory is bounded by the batch size plus the limit.
+3. A segment of several buckets (a key that never pauses) is speculative: its
+   buckets run from the empty state first.  Then every bucket whose true
+   entering state differs from the one it ran from walks its rows with both
+   states, until they agree; from there on the first decisions hold.  That is
+   repeated while a bucket's final state changed, ``ROUNDS`` times at most;
+   segments that still change (traffic so regular that states never meet) are
+   walked once from their first changed bucket on, bucket after bucket in one
+   task, in batches.
+
+Events without a time are ``invalid``: not admitted and never in the state.
 
 Z2 is the feedback-free upper bound, the range count
 ``count(*) over (partition by key order by ts range window preceding)``,
@@ -34,7 +42,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.operators.prefix import gap_segments, range_count
+from tabulon.operators.prefix import ROWS_PER_BUCKET, gap_segments, range_count
+from tabulon.session import cut_lineage
 
 # Fixed values that must equal the reference's for identical results.
 LIMIT = 20
@@ -81,58 +90,194 @@ def admit_sequence(ts_us: np.ndarray, limit: int, window_us: int, stamps: deque
     return out, ring
 
 
-def _partition_fn(limit: int, window_us: int):
+# Rounds of corrections before segments that still change are walked in order.
+ROUNDS = 3
+EVENT, STATE = 1, 0
+
+
+def _inside(stamps, t: int, window_us: int) -> list:
+    """The stamps that still count at time ``t``."""
+    return [s for s in stamps if t - s <= window_us]
+
+
+class _Walk:
+    """One bucket's state machine: from the state it really enters with, next
+    to the one it ran from before, until both agree."""
+
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us = limit, window_us
+        self.ring: deque = deque(maxlen=limit)
+        self.before: deque | None = None   # the earlier run's state; None: no earlier run
+        self.end: list = []                # the earlier run's final state
+        self.agreed = False
+
+    def enter(self, state, used, end) -> None:
+        self.ring.extend([] if state is None else [int(s) for s in state])
+        if used is not None:
+            self.before = deque((int(s) for s in used), maxlen=self.limit)
+            self.end = [int(s) for s in end]
+
+    def step(self, times: np.ndarray, known: np.ndarray) -> np.ndarray:
+        if self.before is None:
+            out, self.ring = admit_sequence(times, self.limit, self.window_us, self.ring)
+            return out
+        out = known.copy()
+        for i, t in enumerate(times.tolist()):
+            if self.agreed:
+                break
+            for ring, mine in ((self.ring, True), (self.before, False)):
+                ok = len(ring) < self.limit or t - ring[0] > self.window_us
+                if ok:
+                    ring.append(t)
+                if mine:
+                    out[i] = ok
+            self.agreed = _inside(self.ring, t, self.window_us) == _inside(self.before, t, self.window_us)
+        return out
+
+    def final(self) -> list:
+        return self.end if self.agreed else list(self.ring)
+
+
+def _walk_fn(limit: int, window_us: int):
+    """Rows sorted by (_g, _kind, time): a group's state row, if any, before its
+    events.  Gives every event its ``admitted`` and every group one state row
+    with the final state and the one it entered with."""
     def fn(batches):
-        cur = None
-        stamps: deque = deque()
+        cur, walk, tail = None, _Walk(limit, window_us), None
+
+        def finish():
+            row = tail.copy()
+            row["_kind"], row["admitted"] = STATE, None
+            row["_end"], row["_used"] = [walk.final()], [entered]
+            return row
+
+        entered: list = []
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = list(zip(pdf["_k"].tolist(), pdf["_seg"].tolist()))
-            ts = pdf["_us"].to_numpy(dtype=np.int64)
-            flags = np.empty(len(pdf), dtype=bool)
-            start = 0
-            # contiguous runs of one (key, segment): sorted input guarantees it
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[start]:
-                    if keys[start] != cur:
-                        cur, stamps = keys[start], deque()
-                    flags[start:i], stamps = admit_sequence(ts[start:i], limit, window_us, stamps)
-                    start = i
-            yield pdf.assign(admitted=flags)
+            group = pdf["_g"].to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist() + [len(pdf)]
+            flags = pdf["admitted"].to_numpy(dtype=object).copy()
+            kind = pdf["_kind"].to_numpy()
+            keep = kind == EVENT
+            for a, b in zip(edges, edges[1:]):
+                if group[a] != cur:
+                    if cur is not None:
+                        yield finish()
+                    cur, walk, entered = group[a], _Walk(limit, window_us), []
+                if kind[a] == STATE:
+                    row = pdf.iloc[a]
+                    entered = [] if row["_state"] is None else [int(s) for s in row["_state"]]
+                    walk.enter(row["_state"], row["_used"], row["_end"])
+                    a += 1
+                if a < b:
+                    times = pdf["_us"].iloc[a:b].to_numpy(dtype=np.int64)
+                    known = np.array([bool(x) for x in flags[a:b]]) if walk.before is not None else np.zeros(b - a, dtype=bool)
+                    flags[a:b] = walk.step(times, known)
+                    tail = pdf.iloc[b - 1:b]
+            out = pdf.assign(admitted=flags)
+            yield out[keep]
+        if cur is not None:
+            yield finish()
     return fn
 
 
-def idle_segments(events: DataFrame, key: str, order: list[str], window_us: int) -> DataFrame:
-    """Adds ``_seg``: running count of gaps longer than the window in the
-    key's timeline.  Computed as a bucketed prefix scan (per-key time
-    buckets plus a carry from earlier buckets), so a hot key's timeline is
-    processed by many tasks, not one window partition."""
-    return gap_segments(events, key, order, "_us", window_us, "_seg")
+def idle_segments(events: DataFrame, key: str, order: list[str], window_us: int, buckets: int | None = None) -> DataFrame:
+    """Adds ``_seg``, the running count of gaps longer than the window in the
+    key's timeline, and ``_bucket``, the row's bucket.  Computed as a bucketed
+    prefix scan (per-key time buckets plus a carry from earlier buckets), so a
+    hot key's timeline is processed by many tasks, not one window partition."""
+    return gap_segments(events, key, order, "_us", window_us, "_seg", buckets, keep_bucket=True)
 
 
 def admission(events: DataFrame, key: str = "key", ts: str = "ts", tie: str = "event_id",
               limit: int = LIMIT, window_seconds: float = WINDOW_SECONDS,
-              num_partitions: int | None = None) -> DataFrame:
-    """Z1 over a whole table: every input row plus ``admitted``."""
+              num_partitions: int | None = None, buckets: int | None = None) -> DataFrame:
+    """Z1 over a whole table: every input row plus ``admitted`` and ``status``
+    (admitted, rejected, or invalid without a time).  ``buckets`` sets the
+    number of buckets of every key, which otherwise follows its rows; the
+    result is the same for any."""
     limit, window_us = _check(limit, window_seconds)
     base = events.withColumn("_k", F.col(key)).withColumn("_us", event_micros(ts))
-    seg = idle_segments(base, "_k", ["_us", tie], window_us)
-    parts = seg.repartition(num_partitions, "_k", "_seg") if num_partitions else seg.repartition("_k", "_seg")
-    ordered = parts.sortWithinPartitions("_k", "_seg", "_us", tie)
-    schema = T.StructType(list(ordered.schema.fields) + [T.StructField("admitted", T.BooleanType(), False)])
-    out = ordered.mapInPandas(_partition_fn(limit, window_us), schema)
-    return out.drop("_k", "_us", "_seg")
+    timed = base.where(F.col("_us").isNotNull())
+    seg = idle_segments(timed, "_k", ["_us", tie], window_us, buckets)
+    names = events.columns
+
+    # Working columns: the group a task walks, and the states of its state row.
+    chunk = F.to_json(F.struct("_k", "_seg", "_bucket"), {"ignoreNullFields": "false"})
+    stamps = "array<bigint>"
+    rows = seg.withColumns({"_g": chunk, "_kind": F.lit(EVENT), "admitted": F.lit(None).cast("boolean"),
+                            **{c: F.lit(None).cast(stamps) for c in ("_state", "_used", "_end")}})
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+
+    def walk(df: DataFrame, group: str = "_g") -> DataFrame:
+        parts = df.repartition(num_partitions, group) if num_partitions else df.repartition(group)
+        return parts.sortWithinPartitions(group, "_kind", "_us", tie).mapInPandas(_walk_fn(limit, window_us), schema)
+
+    first = walk(rows)
+    if _several_buckets(timed, buckets):
+        out = _settle(cut_lineage(first), walk, window_us, schema)
+    else:
+        out = first.where(F.col("_kind") == EVENT)
+    status = F.when(F.col("admitted"), F.lit("admitted")).otherwise(F.lit("rejected"))
+    bad = base.where(F.col("_us").isNull()).select(*names, F.lit(False).alias("admitted"), F.lit("invalid").alias("status"))
+    return out.select(*names, "admitted", status.alias("status")).unionByName(bad)
+
+
+def _several_buckets(timed: DataFrame, buckets: int | None) -> bool:
+    """Whether any key is cut into several buckets."""
+    if buckets is not None:
+        return buckets > 1
+    return not timed.groupBy("_k").count().where(F.col("count") > ROWS_PER_BUCKET).isEmpty()
+
+
+def _settle(out: DataFrame, walk, window_us: int, schema: T.StructType) -> DataFrame:
+    """Corrects the buckets that did not enter with their true state."""
+    order = Window.partitionBy("_k", "_seg").orderBy("_bucket")
+    empty = F.array().cast("array<bigint>")
+
+    def changed(df: DataFrame) -> DataFrame:
+        """State rows of the buckets whose true entering state differs, where it still counts, from the one used."""
+        starts = df.where(F.col("_kind") == EVENT).groupBy("_g").agg(F.min("_us").alias("_first"))
+        states = df.where(F.col("_kind") == STATE).join(starts, "_g")
+        true = F.coalesce(F.lag("_end").over(order), empty)
+        live = [F.filter(c, lambda s: F.col("_first") - s <= window_us) for c in ("_true", "_used")]
+        return states.withColumn("_true", true).where(live[0] != live[1]).withColumn("_state", F.col("_true")).drop("_true", "_first")
+
+    def events_of(df: DataFrame, groups: DataFrame, kind: str) -> DataFrame:
+        return df.join(groups.select("_g").distinct(), "_g", kind)
+
+    for _ in range(ROUNDS):
+        todo = cut_lineage(changed(out))
+        if todo.isEmpty():
+            return out.where(F.col("_kind") == EVENT)
+        again = events_of(out, todo, "left_semi").where(F.col("_kind") == EVENT).unionByName(todo.select(*schema.names))
+        out = events_of(out, todo, "left_anti").unionByName(cut_lineage(walk(again)))
+    todo = cut_lineage(changed(out))
+    if todo.isEmpty():
+        return out.where(F.col("_kind") == EVENT)
+    # Segments that still change: from the first changed bucket on, one walk in order.
+    first = todo.groupBy("_k", "_seg").agg(F.min_by(F.struct("_bucket", "_state"), "_bucket").alias("_from")) \
+        .select(F.col("_k").alias("_fk"), F.col("_seg").alias("_fs"), F.col("_from._bucket").alias("_fb"), F.col("_from._state").alias("_enter"))
+    same = F.col("_k").eqNullSafe(F.col("_fk")) & (F.col("_seg") == F.col("_fs"))
+    rest = out.where(F.col("_kind") == EVENT)
+    segment = F.to_json(F.struct("_k", "_seg"), {"ignoreNullFields": "false"})
+    late = rest.join(first, same & (F.col("_bucket") >= F.col("_fb"))).select(*schema.names).withColumn("_g", segment)
+    enter = todo.join(first, same & (F.col("_bucket") == F.col("_fb"))).withColumn("_state", F.col("_enter")) \
+        .select(*schema.names).withColumn("_g", segment).withColumn("_used", F.lit(None).cast("array<bigint>"))
+    early = rest.join(first, same & (F.col("_bucket") >= F.col("_fb")), "left_anti")
+    walked = walk(late.unionByName(enter)).where(F.col("_kind") == EVENT)
+    return early.unionByName(walked)
 
 
 def arrivals_in_window(events: DataFrame, key: str = "key", ts: str = "ts",
-                       window_seconds: float = WINDOW_SECONDS) -> DataFrame:
+                       window_seconds: float = WINDOW_SECONDS, buckets: int | None = None) -> DataFrame:
     """Arrivals of the key within [ts - window, ts] (closed on both ends,
     ties on ts all counted).  Adds ``arrivals``.  Rows with a NULL time are
     counted among themselves, like the range window."""
     _, window_us = _check(1, window_seconds)
     t = events.withColumn("_us", event_micros(ts))
-    return range_count(t, key, "_us", window_us, "arrivals").drop("_us")
+    return range_count(t, key, "_us", window_us, "arrivals", buckets).drop("_us")
 
 
 def admission_summary(decided: DataFrame, key: str = "key") -> DataFrame:

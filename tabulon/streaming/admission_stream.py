@@ -6,8 +6,9 @@ last processed event.  Inside a micro-batch a key's rows are ordered by
 (ts, id) before the state machine runs, so the decisions equal the batch
 operator's whenever events arrive in time order across micro-batches.  An
 event older than the key's last processed event would need history that is
-gone: it comes out with status ``late`` and is not admitted.  Every input
-event comes out once.  There is no watermark and no timeout, because Spark
+gone: it comes out with status ``late`` and is not admitted; one without a
+time is ``invalid``, as in the batch operator.  Every input event comes out
+once.  There is no watermark and no timeout, because Spark
 removes rows behind a watermark before a state function with an event-time
 timeout sees them; the state is one small record for each key.
 """
@@ -54,15 +55,16 @@ def _state_fn(limit: int, window_us: int):
             stamps = deque(stamps_list or [], maxlen=limit)
         else:
             stamps, last_us = deque(), None
-        ts = pdf["_us"].to_numpy(dtype=np.int64)
-        late = np.zeros(len(pdf), dtype=bool) if last_us is None else ts < last_us
+        invalid = pdf["_us"].isna().to_numpy()
+        ts = pdf["_us"].fillna(0).to_numpy(dtype=np.int64)
+        late = ~invalid & (False if last_us is None else ts < last_us)
         flags = np.zeros(len(pdf), dtype=bool)
-        ok = ~late
+        ok = ~late & ~invalid
         if ok.any():
             flags[ok], stamps = admit_sequence(ts[ok], limit, window_us, stamps)
             last_us = int(ts[ok].max())
         state.update((list(stamps), last_us))
-        status = np.where(late, "late", np.where(flags, "admitted", "rejected"))
+        status = np.where(invalid, "invalid", np.where(late, "late", np.where(flags, "admitted", "rejected")))
         yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(),
                             "ts": pdf["ts"].to_numpy(), "admitted": flags, "status": status})
     return fn

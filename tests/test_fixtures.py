@@ -317,7 +317,7 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_dir):
           .write.mode("append").parquet(src)
     batch = {r["event_id"]: r["admitted"] for r in Z.admission(df, limit=3, window_seconds=60).collect()}
     out = run_to_table(spark, src, df.schema, lambda s: admission_stream(s, limit=3, window_seconds=60),
-                       max_files_per_trigger=1, out_root=os.path.join(tmp_dir, "out"))
+                       max_files_per_trigger=1, out_root=os.path.join(tmp_dir, "out"), files_in_time_order=True)
     stream = {r["event_id"]: r["admitted"] for r in out.collect()}
     assert stream == batch
 
