@@ -15,10 +15,9 @@ deleted or replaced letter makes one the other.
 * Lists: two near words share all grams but the affected ones, so they share
   one of the first ``affected + 1`` grams of either word in any fixed order;
   the rarest come first.  Only these enter the lists, which hold words by
-  gram, place and length, so that words of the same or the next length meet.
-  The words of a list are then compared by the number of grams they share
-  against the larger of their bounds, and verified by their edit distance,
-  inside the join: it hands on near words only.
+  gram, place and length, and a word is merged with the lists of its own and
+  the next shorter length.  The words that meet are verified by their edit
+  distance inside the join: it hands on near words only.
 
 A word's form is its near word of the most occurrences (the smallest in
 code-point order of equal ones), if they are twice its own; its root is the
@@ -137,42 +136,32 @@ def _lists(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shipped.value
         for batch in batches:
-            columns: tuple = tuple([] for _ in range(7))
+            columns: tuple = tuple([] for _ in range(4))
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
                 grams = decompose(word, frequent)
-                bound = affected(grams, len(word))
-                different = list(dict.fromkeys(grams))
-                for i in list_places(grams, bound, frequent):
-                    for c, v in zip(columns, (grams[i], i, len(word), word, n, different, len(different) - bound)):
+                for i in list_places(grams, affected(grams, len(word)), frequent):
+                    for c, v in zip(columns, (grams[i], i, word, n)):
                         c.append(v)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             ["gram", "place", "length", "word", "n", "grams", "shared"])
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["gram", "place", "word", "n"])
     return run
 
 
-_LIST_SCHEMA = "gram string, place int, length int, word string, n long, grams array<string>, shared int"
-
-
 def near_words(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: every pair of near words of ``words`` (word, n), both ways round."""
     shipped = words.sparkSession.sparkContext.broadcast(gram_dictionary(words))
-    lists = words.mapInArrow(_lists(shipped), _LIST_SCHEMA)
-
-    def place(length: Column, at: Column) -> Column:
-        return F.struct(length.alias("length"), at.alias("place"))
+    lists = words.mapInArrow(_lists(shipped), "gram string, place int, word string, n long")
 
     # A list's words, and the lists a word looks into: its own, and those of the words one letter shorter,
-    # where a gram stands at the same place or one before.
-    held = lists.select("gram", "length", "place", *[F.col(c).alias(f"{c}_") for c in ("word", "n", "grams", "shared")])
-    own, shorter = F.col("length"), F.col("length") - 1
-    looks = lists.withColumn("to", F.explode(F.array(place(own, F.col("place")), place(shorter, F.col("place")),
-                                                     place(shorter, F.col("place") - 1)))) \
-        .select("gram", "to.length", "to.place", "word", "n", "grams", "shared")
-    shares = F.size(F.array_intersect("grams", "grams_")) >= F.greatest("shared", "shared_")
-    longer = F.length("word") > F.col("length")
-    met = looks.join(held, ["gram", "length", "place"]).where(
-        (longer | (F.col("word") < F.col("word_"))) & shares & (F.levenshtein("word", "word_", 1) == 1))
+    # where a gram stands at the same place or one before.  A hash names the list; what it mixes up fails the checks.
+    def name(length: Column, place: Column) -> Column:
+        return F.xxhash64("gram", length, place)
+
+    size, place = F.length("word"), F.col("place")
+    held = lists.select(name(size, place).alias("list"), F.col("word").alias("word_"), F.col("n").alias("n_"))
+    looks = lists.select(F.explode(F.array(name(size, place), name(size - 1, place), name(size - 1, place - 1))).alias("list"), "word", "n")
+    ahead = (F.length("word") > F.length("word_")) | (F.col("word") < F.col("word_"))
+    met = looks.join(held, "list").where(ahead & (F.levenshtein("word", "word_", 1) == 1))
     pairs = met.groupBy("word", "word_").agg(F.first("n").alias("n"), F.first("n_").alias("n_"))
     both = F.explode(F.array(*[F.struct(F.col(a).alias("word"), F.col(b).alias("n"), F.col(c).alias("near"), F.col(d).alias("near_n"))
                                for a, b, c, d in (("word", "n", "word_", "n_"), ("word_", "n_", "word", "n"))]))
