@@ -38,6 +38,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,32 +139,35 @@ class _Walk:
         return self.end if self.agreed else list(self.ring)
 
 
-def _walk_fn(limit: int, window_us: int):
+def _walk_fn(limit: int, window_us: int, states: bool):
     """Rows sorted by (_g, _kind, time): a group's state row, if any, before its
-    events.  Gives every event its ``admitted`` and every group one state row
-    with the final state and the one it entered with."""
+    events.  Gives every event its ``admitted`` and, with ``states``, every group
+    one state row with the final state and the one it entered with."""
     def fn(batches):
-        cur, walk, tail = None, _Walk(limit, window_us), None
+        cur, walk, entered, tail = None, _Walk(limit, window_us), [], None
 
-        def finish():
-            row = tail.copy()
-            row["_kind"], row["admitted"] = STATE, None
-            row["_end"], row["_used"] = [walk.final()], [entered]
-            return row
+        def closed(rows: pd.DataFrame, ends: list, used: list) -> pd.DataFrame:
+            return rows.assign(_kind=STATE, admitted=None, _end=pd.Series(ends, index=rows.index, dtype=object),
+                               _used=pd.Series(used, index=rows.index, dtype=object))
 
-        entered: list = []
         for pdf in batches:
             if pdf.empty:
                 continue
             group = pdf["_g"].to_numpy()
+            kind = pdf["_kind"].to_numpy() if "_kind" in pdf else np.full(len(pdf), EVENT)
             edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist() + [len(pdf)]
-            flags = pdf["admitted"].to_numpy(dtype=object).copy()
-            kind = pdf["_kind"].to_numpy()
-            keep = kind == EVENT
+            flags = pdf["admitted"].to_numpy(dtype=object).copy() if "admitted" in pdf else np.empty(len(pdf), dtype=object)
+            times = pdf["_us"].to_numpy(dtype=np.int64)
+            last, ends, used = [], [], []
             for a, b in zip(edges, edges[1:]):
                 if group[a] != cur:
-                    if cur is not None:
-                        yield finish()
+                    if cur is not None and states:
+                        if a:
+                            last.append(a - 1)
+                            ends.append(walk.final())
+                            used.append(entered)
+                        else:
+                            yield closed(tail, [walk.final()], [entered])
                     cur, walk, entered = group[a], _Walk(limit, window_us), []
                 if kind[a] == STATE:
                     row = pdf.iloc[a]
@@ -171,14 +175,14 @@ def _walk_fn(limit: int, window_us: int):
                     walk.enter(row["_state"], row["_used"], row["_end"])
                     a += 1
                 if a < b:
-                    times = pdf["_us"].iloc[a:b].to_numpy(dtype=np.int64)
                     known = np.array([bool(x) for x in flags[a:b]]) if walk.before is not None else np.zeros(b - a, dtype=bool)
-                    flags[a:b] = walk.step(times, known)
-                    tail = pdf.iloc[b - 1:b]
-            out = pdf.assign(admitted=flags)
-            yield out[keep]
-        if cur is not None:
-            yield finish()
+                    flags[a:b] = walk.step(times[a:b], known)
+            tail = pdf.iloc[-1:]
+            if last:
+                yield closed(pdf.iloc[last], ends, used)
+            yield pdf.assign(admitted=flags)[kind == EVENT]
+        if cur is not None and states:
+            yield closed(tail, [walk.final()], [entered])
     return fn
 
 
@@ -203,22 +207,22 @@ def admission(events: DataFrame, key: str = "key", ts: str = "ts", tie: str = "e
     seg = idle_segments(timed, "_k", ["_us", tie], window_us, buckets)
     names = events.columns
 
-    # Working columns: the group a task walks, and the states of its state row.
-    chunk = F.to_json(F.struct("_k", "_seg", "_bucket"), {"ignoreNullFields": "false"})
-    stamps = "array<bigint>"
-    rows = seg.withColumns({"_g": chunk, "_kind": F.lit(EVENT), "admitted": F.lit(None).cast("boolean"),
-                            **{c: F.lit(None).cast(stamps) for c in ("_state", "_used", "_end")}})
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+    # Working columns: the group a task walks and, where groups depend on each other, the states of its state row.
+    rows = seg.withColumn("_g", F.to_json(F.struct("_k", "_seg", "_bucket"), {"ignoreNullFields": "false"}))
+    decided = T.StructField("admitted", T.BooleanType())
 
-    def walk(df: DataFrame, group: str = "_g") -> DataFrame:
-        parts = df.repartition(num_partitions, group) if num_partitions else df.repartition(group)
-        return parts.sortWithinPartitions(group, "_kind", "_us", tie).mapInPandas(_walk_fn(limit, window_us), schema)
+    def walk(df: DataFrame, states: bool = True) -> DataFrame:
+        parts = df.repartition(num_partitions, "_g") if num_partitions else df.repartition("_g")
+        kind = ["_kind"] if "_kind" in df.columns else []
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != "admitted"] + [decided])
+        return parts.sortWithinPartitions("_g", *kind, "_us", tie).mapInPandas(_walk_fn(limit, window_us, states), schema)
 
-    first = walk(rows)
     if _several_buckets(timed, buckets):
-        out = _settle(cut_lineage(first), walk, window_us, schema)
+        stamps = F.lit(None).cast("array<bigint>")
+        rows = rows.withColumns({"_kind": F.lit(EVENT), "_state": stamps, "_used": stamps, "_end": stamps})
+        out = _settle(cut_lineage(walk(rows)), walk, window_us)
     else:
-        out = first.where(F.col("_kind") == EVENT)
+        out = walk(rows, states=False)
     status = F.when(F.col("admitted"), F.lit("admitted")).otherwise(F.lit("rejected"))
     bad = base.where(F.col("_us").isNull()).select(*names, F.lit(False).alias("admitted"), F.lit("invalid").alias("status"))
     return out.select(*names, "admitted", status.alias("status")).unionByName(bad)
@@ -231,7 +235,7 @@ def _several_buckets(timed: DataFrame, buckets: int | None) -> bool:
     return not timed.groupBy("_k").count().where(F.col("count") > ROWS_PER_BUCKET).isEmpty()
 
 
-def _settle(out: DataFrame, walk, window_us: int, schema: T.StructType) -> DataFrame:
+def _settle(out: DataFrame, walk, window_us: int) -> DataFrame:
     """Corrects the buckets that did not enter with their true state."""
     order = Window.partitionBy("_k", "_seg").orderBy("_bucket")
     empty = F.array().cast("array<bigint>")
@@ -251,7 +255,7 @@ def _settle(out: DataFrame, walk, window_us: int, schema: T.StructType) -> DataF
         todo = cut_lineage(changed(out))
         if todo.isEmpty():
             return out.where(F.col("_kind") == EVENT)
-        again = events_of(out, todo, "left_semi").where(F.col("_kind") == EVENT).unionByName(todo.select(*schema.names))
+        again = events_of(out, todo, "left_semi").where(F.col("_kind") == EVENT).unionByName(todo.select(*out.columns))
         out = events_of(out, todo, "left_anti").unionByName(cut_lineage(walk(again)))
     todo = cut_lineage(changed(out))
     if todo.isEmpty():
@@ -262,12 +266,11 @@ def _settle(out: DataFrame, walk, window_us: int, schema: T.StructType) -> DataF
     same = F.col("_k").eqNullSafe(F.col("_fk")) & (F.col("_seg") == F.col("_fs"))
     rest = out.where(F.col("_kind") == EVENT)
     segment = F.to_json(F.struct("_k", "_seg"), {"ignoreNullFields": "false"})
-    late = rest.join(first, same & (F.col("_bucket") >= F.col("_fb"))).select(*schema.names).withColumn("_g", segment)
+    late = rest.join(first, same & (F.col("_bucket") >= F.col("_fb"))).select(*out.columns).withColumn("_g", segment)
     enter = todo.join(first, same & (F.col("_bucket") == F.col("_fb"))).withColumn("_state", F.col("_enter")) \
-        .select(*schema.names).withColumn("_g", segment).withColumn("_used", F.lit(None).cast("array<bigint>"))
+        .select(*out.columns).withColumn("_g", segment).withColumn("_used", F.lit(None).cast("array<bigint>"))
     early = rest.join(first, same & (F.col("_bucket") >= F.col("_fb")), "left_anti")
-    walked = walk(late.unionByName(enter)).where(F.col("_kind") == EVENT)
-    return early.unionByName(walked)
+    return early.unionByName(walk(late.unionByName(enter), states=False))
 
 
 def arrivals_in_window(events: DataFrame, key: str = "key", ts: str = "ts",
