@@ -50,7 +50,9 @@ TIE = 1e-9
 BANDS, ROWS = 20, 6
 REGISTERS = BANDS * ROWS
 # Texts, and distinct shingles, of a block of a bucket (on average; one text at least).
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 18
+# Entries of a block's index that are looked at together.
+STEP = 1 << 18
 # Keys that may be broadcast to pick the texts that go on (about 50 bytes each).
 BROADCAST_DOCS = 500_000
 
@@ -164,34 +166,37 @@ class _Block:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, first: np.ndarray):
         self.grams, self.counts, self.first = grams, counts, first
-        self.n = len(first) - 1
-        text = np.repeat(np.arange(self.n), np.diff(first))
-        total = np.zeros(self.n)
-        np.add.at(total, text, counts)
-        self.share = counts / total[text]
+        self.n, self.sizes = len(first) - 1, np.diff(first)
+        text = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)
+        self.share = counts / np.add.reduceat(counts, first[:-1])[text] if len(counts) else np.zeros(0)
         self.flat = np.ones(self.n, dtype=bool)  # every shingle once
         self.flat[text[counts > 1]] = False
         order = np.argsort(grams, kind="stable")
-        self.holders, self.holder_share = text[order], self.share[order]
         held = grams[order]
-        self.start = np.searchsorted(held, grams, side="left")
-        self.width = np.searchsorted(held, grams, side="right") - self.start
+        new = np.concatenate(([True], held[1:] != held[:-1]))
+        number = np.cumsum(new) - 1
+        self.number = np.empty(len(grams), dtype=np.int32)
+        self.number[order] = number
+        self.begin = np.append(np.flatnonzero(new), len(held)).astype(np.int64)
+        self.holders, self.holder_share = text[order], self.share[order]
 
     def linked(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
         """The texts of ``others`` whose similarity to text ``i`` reaches the threshold."""
         a, b = self.first[i], self.first[i + 1]
-        width = self.width[a:b]
-        at = np.repeat(self.start[a:b] - np.cumsum(width) + width, width) + np.arange(width.sum())
-        met = self.holders[at]
-        sizes = np.diff(self.first)
+        number, share = self.number[a:b], self.share[a:b]
+        width = self.begin[number + 1] - self.begin[number]
+        mine, theirs, common = np.zeros(self.n), np.zeros(self.n), np.zeros(self.n, dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(width), np.arange(STEP, width.sum() + STEP, STEP))
+        for part in np.split(np.arange(b - a), np.unique(cuts[cuts < b - a])):
+            w = width[part]
+            at = np.repeat(self.begin[number[part]] - np.cumsum(w) + w, w) + np.arange(w.sum())
+            met = self.holders[at]
+            mine += np.bincount(met, np.repeat(share[part], w), self.n)
+            theirs += np.bincount(met, self.holder_share[at], self.n)
+            common += np.bincount(met, minlength=self.n)
         # Similarity is at most the share of either text's weight that the common shingles have.
-        mine = np.bincount(met, np.repeat(self.share[a:b], width), self.n)
-        theirs = np.bincount(met, self.holder_share[at], self.n)
         others = others[(mine[others] >= threshold - TIE) & (theirs[others] >= threshold - TIE)]
-        if not len(others):
-            return others
-        common = np.bincount(met, minlength=self.n)[others]
-        sim = common / (sizes[i] + sizes[others] - common)
+        sim = common[others] / (self.sizes[i] + self.sizes[others] - common[others])
         for k in np.flatnonzero(~(self.flat[others] & self.flat[i])):
             c, d = self.first[others[k]], self.first[others[k] + 1]
             sim[k] = probability_jaccard(self.grams[a:b], self.counts[a:b], self.grams[c:d], self.counts[c:d])
