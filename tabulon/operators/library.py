@@ -13,6 +13,8 @@ than its distinct genres.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +47,13 @@ def _raw(df: DataFrame, name: str):
 
 def clean_rows(raw: DataFrame, seq: str = "_seq") -> DataFrame:
     """N11 + N13: trimmed text fields ('' for missing), display name,
-    missing-field list, derived id, raw and parsed features."""
+    missing-field list, derived id, raw and parsed features.  Rows of several
+    files carry ``_record``, their position in their file, for the reports."""
     title, artist, vibe = (blank_to_empty(_raw(raw, c)) for c in (COL_TITLE, COL_ARTIST, COL_VIBE))
     uri = blank_to_empty(_raw(raw, COL_URI))
     cols = [
         F.col(seq).cast("bigint").alias("seq"),
+        F.col("_record" if "_record" in raw.columns else seq).cast("bigint").alias("record"),
         title.alias("title"), artist.alias("artist"), vibe.alias("vibe"), uri.alias("uri"),
         blank_to_empty(_raw(raw, COL_GENRES)).alias("genres"),
         blank_to_empty(_raw(raw, COL_TAGS)).alias("tags"),
@@ -73,7 +77,7 @@ def skipped_rows(clean: DataFrame) -> DataFrame:
     """N12 report: ``line N: <name>`` (line 1 is the header) and the reason."""
     return (clean.where(F.col("missing") != "")
                  .select("seq",
-                         F.concat(F.lit("line "), (F.col("seq") + 2).cast("string"), F.lit(": "),
+                         F.concat(F.lit("line "), (F.col("record") + 2).cast("string"), F.lit(": "),
                                   F.col("name")).alias("label"),
                          F.concat(F.lit("missing "), F.col("missing")).alias("reason")))
 
@@ -227,19 +231,34 @@ def delete_matched(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFra
         "deleted", F.col("matched") > 0)
 
 
-def save_playlists(existing: DataFrame, batch: DataFrame, now: str) -> DataFrame:
-    """Playlists upsert.  Rows without an id get one derived from their
-    name and query (sha2 prefix, deterministic) and ``created_at = now``;
-    every saved row gets ``updated_at = now``; empty track lists are
-    rejected by a filter (reported by :func:`rejected_playlists`)."""
+# Length of a playlist's id; a longer one where that is taken.
+ID_CHARS = 8
+
+
+def save_playlists(existing: DataFrame, batch: DataFrame, now: str, save: str | None = None) -> DataFrame:
+    """Playlists upsert.  Rows without an id get one and ``created_at =
+    now``; every saved row gets ``updated_at = now``; empty track lists are
+    rejected by a filter (reported by :func:`rejected_playlists`).
+
+    A new id is the beginning of a digest over the row's fields as JSON, its
+    number among equal rows and ``save``, which names this save (its version,
+    or a random name), and the whole digest where the beginning is taken by
+    another row, so no playlist replaces another."""
     ok = batch.where(F.size("tracks") > 0)
+    save = uuid.uuid4().hex if save is None else save
     # Equal new playlists are told apart by their number among equals.
     twin = Window.partitionBy("name", "query", F.col("id").isNull()).orderBy(F.to_json(F.struct("tracks")))
-    ok = ok.withColumn("_nth", F.row_number().over(twin))
-    parts = [F.col("name"), F.col("query"), F.lit(now), F.when(F.col("_nth") > 1, F.col("_nth").cast("string"))]
-    new_id = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8)
-    saved = (ok.withColumn("created_at", F.when(F.col("id").isNull(), F.lit(now)).otherwise(F.col("created_at")))
-               .withColumn("id", F.coalesce(F.col("id"), new_id))
+    fields = F.struct("name", "query", F.lit(now).alias("now"), F.row_number().over(twin).alias("nth"), F.lit(save).alias("save"))
+    ok = ok.withColumn("_digest", F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256))
+    short = F.substring("_digest", 1, ID_CHARS)
+    taken = existing.select("id").unionByName(batch.select("id")).where(F.col("id").isNotNull()).distinct().select(
+        F.col("id").alias("_short"), F.lit(True).alias("_taken"))
+    ok = ok.withColumn("_short", F.when(F.col("id").isNull(), short)).join(taken, "_short", "left")
+    alone = F.count("*").over(Window.partitionBy("_short")) == 1
+    new_id = F.when(alone & F.col("_taken").isNull(), F.col("_short")).otherwise(F.col("_digest"))
+    saved = (ok.withColumn("_new", new_id)
+               .withColumn("created_at", F.when(F.col("id").isNull(), F.lit(now)).otherwise(F.col("created_at")))
+               .withColumn("id", F.coalesce("id", "_new"))
                .withColumn("updated_at", F.lit(now)))
     return upsert(existing, saved.select(*existing.columns), "id")
 

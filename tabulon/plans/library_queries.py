@@ -4,11 +4,17 @@ blank fields, bad numbers and URI-less rows are injected by expression."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabulon.operators import library as L
 from tabulon.plans.registry import register
+from tabulon.session import checkpoint_dir
+from tabulon.sources.csv_records import csv_files
 from tabulon.sources.testdata import table
+from tabulon.sources.versioned import VersionedTable
+from tabulon.streaming.upsert_stream import upsert_stream
 
 
 def part_song_rows(spark, sf):
@@ -229,6 +235,81 @@ def library_upsert(spark, sf):
     return out.withColumn("acctbal", F.round("acctbal", 2))
 
 
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("library_import_files", "WITH " + SONGS_SQL.replace(
+    "' parts, size ' || CAST(p_size AS VARCHAR) END AS vibe",
+    "' parts,' || chr(10) || '\"size\" ' || CAST(p_size AS VARCHAR) END AS vibe") + """
+SELECT id, title, artist, vibe, genres, tags, round(energy, 6) AS energy, round(valence, 6) AS valence FROM songs""")
+def library_import_files(spark, sf):
+    """S1 + N15: the same songs from several CSV files with line breaks and
+    quotes inside fields, written to the shared folder in ranges of the song
+    order; the first file wins."""
+    path = _scratch(spark, "songs-csv")
+    rows = part_song_rows(spark, sf).withColumn(
+        L.COL_VIBE, F.regexp_replace(L.COL_VIBE, "parts, size ", 'parts,\n"size" '))
+    (rows.repartitionByRange(5, "_seq").sortWithinPartitions("_seq").drop("_seq")
+         .write.option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    s = L.import_catalog(csv_files(spark, path))["songs"]
+    return s.select("id", "title", "artist", "vibe", "genres", "tags", F.round("energy", 6).alias("energy"),
+                    F.round("valence", 6).alias("valence"))
+
+
+@register("library_upsert_stream", """
+SELECT o_custkey AS id, arg_max(o_orderkey, o_orderkey) AS last_order, arg_max(o_totalprice, o_orderkey) AS last_price
+FROM orders GROUP BY o_custkey""")
+def library_upsert_stream(spark, sf):
+    """S8 as a stream: orders in files of key ranges, one micro-batch each,
+    upsert every customer's last order into a versioned table."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("last_order"),
+                                             F.col("o_totalprice").alias("last_price"))
+    root = _scratch(spark, "orders-upsert")
+    for k, (low, high) in enumerate(((0.0, 0.4), (0.4, 0.7), (0.7, 1.1))):
+        top = rows.agg(F.max("last_order")).scalar()
+        part = rows.where((F.col("last_order") >= top * low) & (F.col("last_order") < top * high))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    target = VersionedTable(spark, f"{root}/table", rows.schema)
+    query = upsert_stream(stream, target, f"{root}/checkpoint", "id", "last_order")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return target.read()
+
+
+@register("library_playlist_store", """
+WITH b AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS tracks, min(o_orderdate) AS d
+           FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey),
+f AS (SELECT substring(sha256('{"name":"orders of ' || o_custkey || '","query":"' || o_custkey
+        || '","now":"2024-01-01","nth":1,"save":"v1"}'), 1, 8) AS i8, * FROM b),
+n AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY i8) = 1 THEN i8 ELSE
+        sha256('{"name":"orders of ' || o_custkey || '","query":"' || o_custkey || '","now":"2024-01-01","nth":1,"save":"v1"}') END AS id FROM f)
+SELECT id, 'orders of ' || o_custkey AS name, CAST(o_custkey AS VARCHAR) AS query,
+  CASE WHEN o_custkey % 3 = 0 THEN 'none' ELSE tracks END AS track_ids, '2024-01-01' AS created_at,
+  CASE WHEN o_custkey % 3 = 0 THEN '2024-02-01' ELSE '2024-01-01' END AS updated_at FROM n WHERE o_custkey % 5 <> 0""")
+def library_playlist_store(spark, sf):
+    """Playlists (urgent orders of a customer) saved, some saved again
+    under their ids, some deleted; each step swaps in a version; loaded
+    newest first."""
+    schema = "id string, name string, query string, tracks array<string>, created_at string, updated_at string"
+    store = VersionedTable(spark, _scratch(spark, "playlists"), schema)
+    orders = table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    none = F.lit(None).cast("string")
+    new = orders.groupBy("o_custkey").agg(
+        F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")).alias("tracks")).select(
+        none.alias("id"), F.concat(F.lit("orders of "), F.col("o_custkey").cast("string")).alias("name"),
+        F.col("o_custkey").cast("string").alias("query"), "tracks", none.alias("created_at"), none.alias("updated_at"))
+    store.commit(L.save_playlists(store.read(), new, "2024-01-01", save="v1"))
+    number = F.col("query").cast("bigint")
+    again = store.read().where(number % 3 == 0).withColumn("tracks", F.array(F.lit("none")))
+    store.commit(L.save_playlists(store.read(), again, "2024-02-01", save="v2"))
+    store.commit(L.delete_ids(store.read(), store.read().where(number % 5 == 0).select("id"), "id"))
+    return L.newest_first(store.read()).select("id", "name", "query", F.array_join("tracks", ",").alias("track_ids"),
+                                               "created_at", "updated_at")
+
+
 @register("library_delete", """
 SELECT p_partkey AS id, p_name FROM part
 WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)""")

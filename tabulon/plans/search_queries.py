@@ -306,7 +306,8 @@ pages AS (
          '{SAVED_AT}', '{NOW}', 1
   FROM r WHERE rank BETWEEN 11 AND 20 GROUP BY query_id
   UNION ALL
-  SELECT substring(sha256('more ' || query_id || '|' || query_id || '|{NOW}'), 1, 8), 'more ' || query_id,
+  SELECT substring(sha256('{{"name":"more ' || query_id || '","query":"' || query_id
+    || '","now":"{NOW}","nth":1,"save":"first"}}'), 1, 8), 'more ' || query_id,
          string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank), '{NOW}', '{NOW}', 2
   FROM r WHERE rank BETWEEN 21 AND 30 GROUP BY query_id),
 latest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src DESC) AS rn FROM pages)
@@ -323,7 +324,7 @@ def library_save_playlists(spark, sf):
     existing = existing.withColumn("name", F.col("query"))
     updates = _playlists_page(spark, sf, ranked, 11, 20, "page 2 of ", True)
     fresh = _playlists_page(spark, sf, ranked, 21, 30, "more ", False)
-    saved = L.save_playlists(existing, updates.unionByName(fresh), NOW)
+    saved = L.save_playlists(existing, updates.unionByName(fresh), NOW, save="first")
     return L.newest_first(saved).select(
         "id", "name", "created_at", "updated_at",
         F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("track_ids"))
