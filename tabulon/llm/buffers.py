@@ -14,10 +14,13 @@ import pyarrow.compute as pc
 
 # Documents are taken together up to this many bytes of text; a longer document is taken alone.
 CHUNK_BYTES = 1 << 21
+# Bytes of words that are hashed together (one word at least).
+HASH_BYTES = 1 << 18
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -87,10 +90,27 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.shift[start]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """64-bit hash of every word (by its bytes and length)."""
-    h = Rolling(raw.astype(np.uint64) + np.uint64(1), base).ranges(starts, ends)
-    return mix(h + (ends - starts).astype(np.uint64) * _M1)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word: the sum of the mixed (byte, place) pairs, mixed with the length.
+
+    A polynomial of the bytes would give words of certain patterns the same
+    value modulo 2^64; mixing every byte with its place does not."""
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):  # words of a bounded number of bytes together
+        done = total[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(total, done + HASH_BYTES, side="right")))
+        size = sizes[first:last]
+        begin = total[first:last] - size - done
+        place = np.arange(total[last - 1] - done)
+        letters = raw[place + np.repeat(starts[first:last] - begin, size)].astype(np.uint64)
+        place -= np.repeat(begin, size)
+        value = mix((place.astype(np.uint64) + np.uint64(1)) * _PLACE + letters)
+        out[first:last] = np.add.reduceat(value, begin) + size.astype(np.uint64) * _M1
+        first = last
+    return mix(out)
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, length: int, base: int = 0xD6E8FEB86659FD93

@@ -505,6 +505,35 @@ def test_substrings_of_shared_passages_and_runs(spark):
     assert max(levels.values()) == 200 and all(levels[i] >= 50 for i, v in got.items() if v[1])
 
 
+# --- words and hashes
+
+def _alternating(flip, letters=1024):
+    """The letters a and b in the order of the parity of ones in their place's binary number (flipped or not)."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(letters))
+
+
+def test_words_of_opposite_letters_are_told_apart(spark):
+    """Two long words that differ in every letter, and have equal polynomial values modulo 2^64."""
+    around = [f"w{i}" for i in range(60)]
+    rows = [(k + 1, " ".join(around[:30] + [_alternating(k, 4096)] + around[30:])) for k in (0, 1)]
+    frame = spark.createDataFrame(rows + [(3, rows[1][1])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(frame).collect()}
+    assert got == {1: 0, 2: 0, 3: 61}
+
+
+def test_word_hashes_are_equal_for_equal_words_only(monkeypatch):
+    from tabulon.llm import buffers
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(4000)] + [_alternating(0), _alternating(1), "ab" * 500]
+    raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    starts, ends, _ = buffers.word_spans(raw, np.array([0, len(raw)]))
+    hashes = buffers.word_hashes(raw, starts, ends)
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    monkeypatch.setattr(buffers, "HASH_BYTES", 10)
+    assert (buffers.word_hashes(raw, starts, ends) == hashes).all()
+    assert len(buffers.word_hashes(raw, starts[:0], ends[:0])) == 0
+
+
 # --- toxicity
 
 def test_toxicity_learns_and_stands_misspellings(spark):
