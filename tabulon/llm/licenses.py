@@ -1,15 +1,15 @@
 """License scan: exact phrases, and notices found by a set-similarity join.
 
 Phrases are found in every whole text.  Notices are found by an exact
-containment join between text blocks (lines) and license templates: tokens
-are put in one global order, rarest first, by their frequency over the blocks
-of the corpus; a block meets a template only where their prefixes share a
-token and the length and positional filters allow enough common tokens; the
-survivors are verified.  A notice may also be wrapped: further blocks hold
-the words on both sides of a line break, one fewer on each side than the
-template has words, so that every stretch of a template's length lies in a
-line or in such a block.  They are built only for the templates of which the
-whole text holds enough tokens.  Only built-in column functions run.
+containment join between text blocks and license templates.  A template is
+held where a run of consecutive words, at most a quarter longer than the
+template (``run_words``), contains enough of its different words; line breaks
+and line lengths do not matter.  Blocks of twice the longest run, one every
+longest run, hold every run whole.  Tokens are put in one global order, rarest
+first, by their frequency over the blocks of the corpus; a block meets a
+template only where their prefixes share a token and the length and positional
+filters allow enough common tokens; the survivors are verified run by run.
+Only built-in column functions run.
 
 Blocks are first reduced to the tokens that occur in any template: other
 tokens cannot count towards a containment, so the join stays exact.
@@ -28,11 +28,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import let, text_or_empty
+from tabulon.llm.common import text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATORS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 PHRASES = {
     "gnu general public license": "gpl",
@@ -103,78 +102,60 @@ def phrase_columns(flat: Column, n_words: Column, phrases: dict[str, str]) -> di
             "last_word": some(F.greatest, lasts), "_tl_base": F.array_compact(F.array(*labels))}
 
 
-def _tokens_of(line: Column) -> Column:
-    return F.split(F.btrim(F.regexp_replace(line, SEPARATORS, " ")), " ")
+def run_words(text: str, containment: float) -> int:
+    """Words of the runs in which a template is looked for."""
+    return math.ceil(len(template_words(text)) / containment - 1e-9)
+
+
+def _words_of(text: Column) -> Column:
+    return F.split(F.btrim(F.regexp_replace(text, SEPARATORS, " ")), " ")
 
 
 def notice_hits(texts: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """``texts``: columns _tl_doc, _tl_hash and _tl_lower (lower-cased text).
-    One row per (document, block, template) whose containment reaches the threshold."""
+    One row per (document, block, template) with a run whose containment reaches the threshold."""
     spark = texts.sparkSession
-    sets = [(label, template_tokens(text)) for label, text in templates]
-    vocabulary = sorted({t for _, ts in sets for t in ts})
-    least = min(needed(len(ts), containment) for _, ts in sets)
+    sets = [(label, template_tokens(text), run_words(text, containment)) for label, text in templates]
+    vocabulary = sorted({t for _, ts, _ in sets for t in ts})
+    least = min(needed(len(ts), containment) for _, ts, _ in sets)
+    step = max(run for _, _, run in sets)
     words = F.array(*[F.lit(t) for t in vocabulary])
 
-    lines = texts.select("_tl_doc", "_tl_hash", F.posexplode(F.split("_tl_lower", "\n", -1)).alias("_tl_block", "_tl_line"))
-    known = lines.select(F.explode(F.array_intersect(_tokens_of(F.col("_tl_line")), words)).alias("token"))
+    # Texts without enough known tokens for any template hold none.
+    cut = texts.select("_tl_doc", "_tl_hash", _words_of(F.col("_tl_lower")).alias("_tl_words")) \
+        .where(F.size(F.array_intersect(words, "_tl_words")) >= least)
+    starts = F.sequence(F.lit(0), F.size("_tl_words") - 1, F.lit(step))
+    blocks = cut.select("_tl_doc", "_tl_hash", F.posexplode(F.transform(
+        starts, lambda i: F.slice("_tl_words", i + 1, F.lit(2 * step)))).alias("_tl_block", "w"))
+    known = blocks.select(F.explode(F.array_intersect(words, "w")).alias("token"))
     counted = known.groupBy("token").count()
     # Rarest first; tokens that never occur come before all others.
     order = counted.agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]).alias("seen")) \
         .select(F.concat(F.array_except(words, F.col("seen")), F.col("seen")).alias("tokens")).scalar()
 
-    blocks = lines.select("_tl_doc", "_tl_hash", "_tl_block", F.array_intersect(order, _tokens_of(F.col("_tl_line"))).alias("b")) \
-        .where(F.size("b") >= least)
-    probes = blocks.select("_tl_doc", "_tl_hash", "_tl_block", "b", F.posexplode(
+    blocks = blocks.withColumn("b", F.array_intersect(order, F.col("w"))).where(F.size("b") >= least)
+    probes = blocks.select("_tl_doc", "_tl_hash", "_tl_block", "w", "b", F.posexplode(
         F.slice("b", F.lit(1), F.size("b") - least + 1)).alias("j", "token"))
 
-    side = spark.createDataFrame([(i, label, ts, needed(len(ts), containment)) for i, (label, ts) in enumerate(sets)],
-                                 "template int, label string, raw array<string>, alpha int")
-    index = side.select("template", "label", "alpha", F.array_intersect(order, F.col("raw")).alias("t")).select(
-        "template", "label", "alpha", "t", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("alpha") + 1)).alias("i", "token"))
-    if sum(len(ts) for _, ts in sets) <= BROADCAST_TOKENS:
+    side = spark.createDataFrame([(i, label, ts, needed(len(ts), containment), run) for i, (label, ts, run) in enumerate(sets)],
+                                 "template int, label string, raw array<string>, alpha int, run int")
+    index = side.select("template", "label", "alpha", "run", F.array_intersect(order, F.col("raw")).alias("t")).select(
+        "template", "label", "alpha", "run", "t", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("alpha") + 1)).alias("i", "token"))
+    if sum(len(ts) for _, ts, _ in sets) <= BROADCAST_TOKENS:
         index = F.broadcast(index)
 
     size_b, size_t = F.size("b"), F.size("t")
-    common = F.size(F.array_intersect("b", "t"))
     met = probes.join(index, "token").where(
         (size_b >= F.col("alpha")) & (F.col("j") <= size_b - F.col("alpha"))                      # length, block's own prefix
         & (F.least(size_t - F.col("i"), size_b - F.col("j")) >= F.col("alpha"))                   # position
         # The first common token only: one candidate for each block and template.
-        & (F.size(F.array_intersect(F.slice("b", F.lit(1), F.col("j")), F.slice("t", F.lit(1), F.col("i")))) == 0))
-    return met.select("_tl_doc", "_tl_hash", "_tl_block", "template", "label",
-                      (common / size_t).alias("containment"), common.alias("common"), "alpha") \
-        .where(F.col("common") >= F.col("alpha")).drop("common", "alpha")
-
-
-def _most_at_a_break(lower: Column, tokens: Column, n_words: Column) -> Column:
-    """The most template tokens among the ``n_words - 1`` words before and after a line break (null without a break)."""
-    marked = F.regexp_replace(F.regexp_replace(lower, SEPARATORS_IN_LINE, " "), " ?\n[ \n]*", " \n ")
-
-    def most(marks: Column, words: Column) -> Column:
-        def common(place: Column, breaks_before: Column) -> Column:
-            before = place - breaks_before
-            start = F.greatest(before - n_words + 1, F.lit(0))
-            return F.size(F.array_intersect(F.slice(words, start + 1, before + n_words - 1 - start), tokens))
-        breaks = F.array_compact(F.transform(marks, lambda x, i: F.when(x == "\n", i)))
-        return F.array_max(F.transform(breaks, common))
-
-    return let(F.split(F.btrim(marked, F.lit(" \n")), " "), lambda m: let(F.filter(m, lambda x: x != "\n"), lambda w: most(m, w)))
-
-
-def wrapped_hits(texts: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """``texts`` as for :func:`notice_hits`.  One row per (document, template) that
-    reaches the threshold around a line break."""
-    split = [(i, label, template_tokens(text), len(template_words(text))) for i, (label, text) in enumerate(templates)]
-    known = F.array(*[F.lit(t) for t in sorted({t for _, _, ts, _ in split for t in ts})])
-    side = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, ts)).alias("t"),
-                              F.lit(needed(len(ts), containment)).alias("alpha"), F.lit(n).alias("n")) for i, label, ts, n in split])
-    held = let(F.array_intersect(known, _tokens_of(F.col("_tl_lower"))),
-               lambda b: F.filter(side, lambda s: F.size(F.array_intersect(b, s["t"])) >= s["alpha"]))
-    met = texts.where(F.contains("_tl_lower", F.lit("\n"))).select("_tl_doc", "_tl_hash", "_tl_lower", F.explode(held).alias("s"))
-    return met.select("_tl_doc", "_tl_hash", "s", _most_at_a_break(F.col("_tl_lower"), F.col("s.t"), F.col("s.n")).alias("common")) \
-        .where(F.col("common") >= F.col("s.alpha")) \
-        .select("_tl_doc", "_tl_hash", "s.template", "s.label", (F.col("common") / F.size("s.t")).alias("containment"))
+        & (F.size(F.array_intersect(F.slice("b", F.lit(1), F.col("j")), F.slice("t", F.lit(1), F.col("i")))) == 0)
+        & (F.size(F.array_intersect("b", "t")) >= F.col("alpha")))
+    # Verification: the most template tokens in a run of the block's words; runs begin with a token of the template.
+    begins = F.filter(F.sequence(F.lit(1), F.size("w")), lambda k: F.array_contains("t", F.get("w", k - 1)))
+    common = F.array_max(F.transform(begins, lambda k: F.size(F.array_intersect(F.slice("w", k, F.col("run")), F.col("t")))))
+    return met.select("_tl_doc", "_tl_hash", "_tl_block", "template", "label", size_t.alias("n"), "alpha", common.alias("common")) \
+        .where(F.col("common") >= F.col("alpha")).withColumn("containment", F.col("common") / F.col("n")).drop("common", "alpha", "n")
 
 
 def license_report(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES,
@@ -183,8 +164,7 @@ def license_report(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates
     text = text_or_empty()
     keyed = docs.select(F.col("doc_id").alias("_tl_doc"), F.xxhash64(text).alias("_tl_hash"),
                         lower_ascii(text).alias("_tl_lower"))
-    hits = notice_hits(keyed, templates, containment).drop("_tl_block").unionByName(
-        wrapped_hits(keyed, templates, containment)).groupBy("_tl_doc", "_tl_hash").agg(
+    hits = notice_hits(keyed, templates, containment).groupBy("_tl_doc", "_tl_hash").agg(
         F.collect_set("label").alias("_tl_found"), F.max("containment").alias("_tl_best"))
 
     flat = keyed.withColumn("_tl_core", F.btrim(F.regexp_replace("_tl_lower", SEPARATORS, " "))) \

@@ -100,7 +100,7 @@ def _license_sql() -> str:
     base = " UNION ALL ".join(
         f"SELECT rid, i, '{label}' AS label FROM (SELECT rid, ws, unnest(generate_series(1, len(ws))) AS i FROM w) "
         f"WHERE ws[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in licenses.PHRASES.items())
-    side = ", ".join(f"('{label}', {ts!r}, {licenses.needed(len(ts), licenses.CONTAINMENT)})"
+    side = ", ".join(f"('{label}', {ts!r}, {licenses.needed(len(ts), licenses.CONTAINMENT)}, {licenses.run_words(text, licenses.CONTAINMENT)})"
                      for label, text in licenses.TEMPLATES for ts in [licenses.template_tokens(text)])
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
@@ -108,10 +108,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 w AS (SELECT rid, regexp_extract_all(text, '{word}') AS ws FROM d),
 b AS ({base}),
 bg AS (SELECT rid, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, list_distinct(list(label)) AS ls FROM b GROUP BY rid),
-ln AS (SELECT rid, list_distinct(regexp_extract_all(line, '{word}')) AS ts FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
-t(label, ts, need) AS (VALUES {side}),
-h AS (SELECT ln.rid, t.label, len(list_intersect(ln.ts, t.ts)) / len(t.ts) AS c FROM ln JOIN t ON len(list_intersect(ln.ts, t.ts)) >= t.need),
-hg AS (SELECT rid, list_distinct(list(label)) AS ls, max(c) AS best FROM h GROUP BY rid)
+t(label, ts, need, run) AS (VALUES {side}),
+h AS (SELECT rid, label, list_max(list_transform(range(1, len(ws) + 1),
+        lambda i: len(list_intersect(list_distinct(ws[i:i + run - 1]), ts)))) / len(ts) AS c, need / len(ts) AS least
+      FROM w JOIN t ON len(list_intersect(list_distinct(ws), ts)) >= t.need),
+hg AS (SELECT rid, list_distinct(list(label)) AS ls, max(c) AS best FROM h WHERE c >= least GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(bg.n, 0) AS BIGINT) AS n_base,
   CAST(bg.f AS BIGINT) AS first_word, CAST(bg.l AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(bg.ls, [])), ',') AS base_labels,

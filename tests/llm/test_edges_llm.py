@@ -260,3 +260,25 @@ def test_license_notices_over_several_lines(spark):
     assert got[2].labels == "bsd" and got[2].base_labels == "" and got[2].score == 1.0 and got[None].labels == "bsd"
     assert got[3].labels == "" and got[3].score == 0.0 and got[4].labels == ""
     assert all(label in got[10 + i].labels.split(",") and got[10 + i].score == 1.0 for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_words_of_a_notice_spread_over_a_long_line_are_no_notice(spark):
+    """Lines that hold a template's words anywhere, in a paragraph and far from each other, and runs that hold them together."""
+    rng = __import__("random").Random(3)
+    paragraph = ("This report is about the release of new data. It was put into public hands by the council, and it is free to read. "
+                 "Some of the domain names were unencumbered, others not; the software that was used has been described before.")
+    spread = " ".join(x for w in "licensed under cc by nc 4 0".split() for x in [w] + [f"f{rng.randrange(99)}" for _ in range(6)])
+    held = "words " * 500 + "this software is Licensed, under CC BY-NC 4.0 as said " + "words " * 500
+    inserted = "some text This is now free and fully unencumbered software released into the public domain by us " + "more text " * 300
+    rows = [(1, paragraph), (2, spread), (3, held), (4, inserted), (5, "This program is free"), (6, held.replace(" ", "\n"))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("", 0.0) and got[2] == ("", 0.0) and got[5] == ("", 0.0)
+    assert got[3][0] == got[6][0] == "cc-by,cc-by-nc" and got[4] == ("unlicense", 1.0)
+
+
+def test_runs_on_either_side_of_every_block_border(spark):
+    step = max(licenses.run_words(t, licenses.CONTAINMENT) for _, t in licenses.TEMPLATES)
+    long = licenses.TEMPLATES[6][1]
+    rows = [(n, "x " * n + long + " y" * 50) for n in range(0, 2 * step + 2, 3)]
+    got = licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all("gpl" in r.labels.split(",") and r.score == 1.0 for r in got)
