@@ -6,12 +6,15 @@ level-range filters on the imported catalog; cost comparison (A9)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabulon.operators import search as S
+from tabulon.operators import vector_cells as V
 from tabulon.plans.library_queries import SONGS_SQL, _songs
 from tabulon.plans.registry import register
-from tabulon.session import cut_lineage
+from tabulon.session import checkpoint_dir, cut_lineage
 from tabulon.sources.dims import DRINK_MENU, FILTER_LEVELS
 from tabulon.sources.testdata import table
 
@@ -88,6 +91,15 @@ def search_new_playlists(spark, sf):
                      F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("track_ids"))
 
 
+@register("search_vector_cells", VEC_SQL.format(where="") + """
+SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS BIGINT) AS rank FROM r WHERE rank BETWEEN 4 AND 23""")
+def search_vector_cells(spark, sf):
+    """T4 + T7 over stored cells: ranks 4 to 23 of the embeddings nearest to each label centroid."""
+    path = f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    index = V.build_cells(table(spark, sf, "embeddings"), path, 32)
+    return _vec_out(V.cell_topk(index, label_queries(spark, sf), 20, rank_from=4))
+
+
 @register("search_level_filter", "WITH " + SONGS_SQL + """
 SELECT id, title, round(energy, 6) AS energy, round(valence, 6) AS valence FROM songs
 WHERE energy >= 0.4 AND energy <= 0.7 AND valence >= 0.0 AND valence <= 0.3""")
