@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,21 +90,86 @@ def sweep(cases: DataFrame, grid: list[tuple]) -> DataFrame:
     return x.withColumn("score", weighted_score(F.col("ratings_now"), F.col("weights")))
 
 
+# Ranges of the case order that the cards of one score are counted in.
+ORDER_RANGES = 64
+NO_SCORE = -1
+
+
 def ranked_cards(scored: DataFrame, k: int | None = None, label_filter: str = "all",
                  by: str = "scenario_id", order_col: str = "case_id") -> DataFrame:
     """T8 + F5: optional case-insensitive label filter, then rank by score
     desc with NULL as -1 (last) and ties in case order, per scenario.  With
-    ``k`` only the first k cards are kept (WindowGroupLimit pre-filters)."""
+    ``k`` only the first k cards are kept (WindowGroupLimit pre-filters);
+    without, see :func:`counting_ranks`."""
     df = scored
     if label_filter and label_filter != "all":
         df = df.where(F.contains(F.lower("label"), F.lit(label_filter.lower())))
-    w = Window.partitionBy(by).orderBy(F.coalesce(F.col("score"), F.lit(-1)).desc(), F.col(order_col).asc())
-    df = df.withColumn("card_rank", F.row_number().over(w))
-    if k is not None:
-        df = df.where(F.col("card_rank") <= int(k))
+    if k is None:
+        return counting_ranks(df, by, order_col)
+    w = Window.partitionBy(by).orderBy(F.coalesce(F.col("score"), F.lit(NO_SCORE)).desc(), F.col(order_col).asc())
+    df = df.withColumn("card_rank", F.row_number().over(w)).where(F.col("card_rank") <= int(k))
     return df.withColumn("card_rank", F.col("card_rank").cast("bigint"))
 
 
+def counting_ranks(scored: DataFrame, by: str = "scenario_id", order_col: str = "case_id") -> DataFrame:
+    """T8 for all cards: ``card_rank`` by counting.
+
+    A scenario has few different scores, so the cards before a score are a
+    running sum over its histogram.  Cards of one score are counted in ranges
+    of the case order (quantiles of ``order_col``, a bounded sketch), so the
+    window that numbers cards holds those of one (scenario, score, range) and
+    never a whole scenario, even if all its cards tie."""
+    points = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
+    cuts = scored.agg(F.array_distinct(F.percentile_approx(order_col, points, 10_000))).first()[0] or []  # 63 numbers at most
+    ranges = sum(((F.col(order_col) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    placed = scored.withColumns({"_s": F.coalesce(F.col("score"), F.lit(NO_SCORE)), "_range": ranges})
+    cells = placed.groupBy(F.col(by).alias("_by"), F.col("_s").alias("_cs"), F.col("_range").alias("_cr")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_by").orderBy(F.col("_cs").desc(), "_cr").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select("_by", "_cs", "_cr", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(by, "_s", "_range").orderBy(order_col))
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_s") == F.col("_cs")) & (F.col("_range") == F.col("_cr"))
+    return placed.withColumn("_local", local).join(before, same).withColumn(
+        "card_rank", (F.col("_before") + F.col("_local")).cast("bigint")).drop(
+        "_s", "_range", "_by", "_cs", "_cr", "_before", "_local")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def rank_stability(scored: DataFrame, base: int = 0, by: str = "scenario_id", order_col: str = "case_id") -> DataFrame:
+    """K4: how much each scenario keeps the order of a base scenario.
+
+    Per scenario: ``n_cases`` in both (a missing score counts as -1, the
+    last), ``concordant`` and ``discordant`` pairs of cases, ``tied`` pairs
+    (equal in either) and ``kendall`` = discordant pairs / all pairs.  No pair
+    of cases is formed: cases are counted by (base score, score), and pairs by
+    sums over that table, at most one row for each two scores."""
+    s = F.coalesce(F.col("score"), F.lit(NO_SCORE)).cast("bigint")
+    mine = scored.select(F.col(by).alias("_by"), F.col(order_col).alias("_case"), s.alias("y"))
+    other = scored.where(F.col(by) == base).select(F.col(order_col).alias("_case"), s.alias("x"))
+    table = mine.join(other, "_case").groupBy("_by", "x", "y").agg(F.count("*").alias("n"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        xs, i = np.unique(pdf["x"], return_inverse=True)
+        ys, j = np.unique(pdf["y"], return_inverse=True)
+        h = np.zeros((len(xs) + 1, len(ys) + 2), dtype=object)
+        h[i, j + 1] = [int(v) for v in pdf["n"]]
+        above = h[::-1].cumsum(axis=0)[::-1][1:]           # cases of a larger x, by y
+        sums = above.cumsum(axis=1)
+        cells = h[:-1]
+        lower, upto = sums[:, :-2], sums[:, 1:-1]
+        discordant = int((cells[:, 1:-1] * lower).sum())
+        concordant = int((cells[:, 1:-1] * (sums[:, -1:] - upto)).sum())
+        n = int(pdf["n"].sum())
+        pairs = n * (n - 1) // 2
+        return pd.DataFrame({"scenario_id": [pdf["_by"].iloc[0]], "n_cases": [n], "concordant": [concordant], "discordant": [discordant],
+                             "tied": [pairs - concordant - discordant], "kendall": [discordant / pairs if pairs else None]})
+
+    schema = f"scenario_id {_type(scored, by)}, n_cases bigint, concordant bigint, discordant bigint, tied bigint, kendall double"
+    return table.groupBy("_by").applyInPandas(count, schema)
+
+
 def best_per_scenario(scored: DataFrame) -> DataFrame:
     """Best case per scenario (ties to the earlier case) as an aggregate."""
     key = F.struct(F.coalesce(F.col("score"), F.lit(-1)).alias("s"), (-F.col("case_id")).alias("c"))

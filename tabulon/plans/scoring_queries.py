@@ -109,6 +109,30 @@ def scoring_ranked_cards(spark, sf):
     return cards.select("scenario_id", "case_id", "label", "score", "card_rank")
 
 
+@register("scoring_all_cards", SWEEP_SQL + """
+SELECT scenario_id, case_id, score, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY coalesce(score, -1) DESC, case_id)
+       AS BIGINT) AS card_rank FROM scored""")
+def scoring_all_cards(spark, sf):
+    """The rank of every card of every scenario, by counting."""
+    return K.ranked_cards(_sweep(spark, sf)).select("scenario_id", "case_id", "score", "card_rank")
+
+
+@register("scoring_rank_stability", SWEEP_SQL + """,
+b AS (SELECT case_id, coalesce(score, -1) AS x FROM scored WHERE scenario_id = 13),
+h AS (SELECT scenario_id, x, coalesce(score, -1) AS y, count(*) AS n FROM scored JOIN b USING (case_id) GROUP BY ALL),
+t AS (SELECT scenario_id, CAST(sum(n) AS BIGINT) AS n_cases FROM h GROUP BY scenario_id),
+p AS (SELECT u.scenario_id, CAST(sum(CASE WHEN v.y > u.y THEN u.n * v.n ELSE 0 END) AS BIGINT) AS concordant,
+             CAST(sum(CASE WHEN v.y < u.y THEN u.n * v.n ELSE 0 END) AS BIGINT) AS discordant
+      FROM h u JOIN h v ON u.scenario_id = v.scenario_id AND v.x > u.x GROUP BY u.scenario_id)
+SELECT scenario_id, n_cases, coalesce(concordant, 0) AS concordant, coalesce(discordant, 0) AS discordant,
+  n_cases * (n_cases - 1) // 2 - coalesce(concordant, 0) - coalesce(discordant, 0) AS tied,
+  CASE WHEN n_cases > 1 THEN coalesce(discordant, 0) / (n_cases * (n_cases - 1) // 2) END AS kendall
+FROM t LEFT JOIN p USING (scenario_id)""")
+def scoring_rank_stability(spark, sf):
+    """K4: Kendall distance of every scenario's order to that of scenario 13."""
+    return K.rank_stability(_sweep(spark, sf), base=13)
+
+
 @register("scoring_factor_breakdown", SWEEP_SQL + """
 SELECT scenario_id, case_id, factor_no, factor, rating, weight, rating * 20 AS width FROM (
   SELECT scenario_id, case_id, CAST(1 AS BIGINT) AS factor_no, 'Intervention potential' AS factor, r0 AS rating, CAST(w0 AS DOUBLE) AS weight FROM scored
