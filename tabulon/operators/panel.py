@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,63 +172,108 @@ def correlate(panel: DataFrame, id_a: str, id_b: str, year: int | None = None):
     return summary, points
 
 
-PAIR_BLOCK = 100
-
-
-def _pair_stats(means: DataFrame, ids_a: list[str], ids_b: list[str] | None) -> DataFrame | None:
-    """Pearson for the pairs (a < b within one block when ``ids_b`` is None,
-    else every a x b across two blocks): pivot the block's indicators to
-    columns per country, then one masked aggregate expression per pair."""
-    cols = sorted(set(ids_a) | set(ids_b or []))
-    pairs = ([(a, b) for i, a in enumerate(ids_a) for b in ids_a[i + 1:]] if ids_b is None
-             else [(min(a, b), max(a, b)) for a in ids_a for b in ids_b])
-    if not pairs:
-        return None
-    wide = (means.where(F.col("indicator_id").isin(*cols))
-                 .groupBy("country_code").pivot("indicator_id", cols).agg(F.first("value")))
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-        x, y = F.when(both, F.col(f"`{a}`")), F.when(both, F.col(f"`{b}`"))
-        aggs += [F.count(x).cast("bigint").alias(f"_n{k}"), F.round(safe_pearson(x, y), 4).alias(f"_r{k}")]
-    rows = F.array(*[F.struct(F.lit(a).alias("indicator_a"), F.lit(b).alias("indicator_b"),
-                              F.col(f"_n{k}").alias("n"), F.col(f"_r{k}").alias("correlation"))
-                     for k, (a, b) in enumerate(pairs)])
-    return wide.agg(*aggs).select(F.explode(rows).alias("p")).select("p.*")
+# Indicators of one block (tile) of the pair table, and parts the countries of a tile are dealt over.
+PAIR_BLOCK = 512
+TILE_PARTS = 16
+# Values of countries that a task multiplies together.
+TILE_ROWS = 200_000
+
+
+def _tile_sums(tile: int):
+    """Rows sorted by (low, high, country_code): sums of products over the countries of a task for every pair of
+    a tile.  A country's values are one row of a matrix, so a pair costs two multiplications a country."""
+    def run(batches):
+        def add(total, pdf: pd.DataFrame, low: int, high: int):
+            countries, at = np.unique(pdf["country_code"].to_numpy(), return_inverse=True)
+            sides = []
+            for t in (low, high):
+                own = (pdf["number"] // tile == t).to_numpy()
+                x, m = np.zeros((len(countries), tile)), np.zeros((len(countries), tile))
+                cell = at[own], (pdf["number"][own] % tile).to_numpy()
+                x[cell], m[cell] = pdf["value"][own], 1.0
+                sides.append((x, m))
+            (x, mx), (y, my) = sides
+            parts = (mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y)
+            return parts if total is None else tuple(p + q for p, q in zip(total, parts))
+
+        def rows(total, low: int, high: int) -> pd.DataFrame:
+            a, b = np.nonzero(total[0])
+            pair = low * tile + a < high * tile + b
+            a, b = a[pair], b[pair]
+            return pd.DataFrame({"a": low * tile + a, "b": high * tile + b,
+                                 **{n: p[a, b] for n, p in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), total)}})
+
+        total, key, held = None, None, []
+        for pdf in batches:
+            for now, part in pdf.groupby(["low", "high"], sort=False):
+                if now != key:
+                    if held:
+                        total = add(total, pd.concat(held), *key)
+                    if total is not None:
+                        yield rows(total, *key)
+                    total, key, held = None, now, []
+                held.append(part)
+                if sum(map(len, held)) > TILE_ROWS:
+                    # whole countries only: the last one may go on in the next batch
+                    every = pd.concat(held)
+                    last = (every["country_code"] == every["country_code"].iloc[-1]).to_numpy()
+                    if not last.all():
+                        total = add(total, every[~last], *key)
+                        held = [every[last]]
+        if held:
+            total = add(total, pd.concat(held), *key)
+        if total is not None:
+            yield rows(total, *key)
+    return run
 
 
 def correlate_all_pairs(panel: DataFrame, year: int | None = None,
-                        indicator_ids: list[str] | None = None) -> DataFrame:
+                        indicator_ids: list[str] | None = None, tile: int | None = None) -> DataFrame:
     """A2 re-aimed: Pearson r for every unordered indicator pair at once.
 
-    No pair rows are formed: the panel is reduced to one mean per (country,
-    indicator), pivoted to one column per indicator, and a single aggregate
-    evaluates one masked Pearson expression per pair, so each country row is
-    read once per pass and pairs exist only as expressions.  Up to
-    ``PAIR_BLOCK`` indicators take one pass; beyond that the indicators are
-    split into blocks and every pair of blocks takes one pass (exact, no
-    cap).  Indicator ids come from the registry, or from the distinct ids
-    present (a dimension, collected)."""
+    No pair rows of values are formed: the panel is reduced to one mean per
+    (country, indicator), less the indicator's own mean, and the pair sums
+    are products of matrices (countries x indicators, with a mask for
+    missing values) that tasks add up over their countries.  The pair table
+    is cut into tiles of ``tile`` (``PAIR_BLOCK``) x ``tile`` indicators, so a task holds a few
+    matrices of that size for any number of indicators; a value is sent once
+    for each tile it belongs to (one up to ``tile`` indicators).  Indicator
+    ids come from the registry, or from the distinct ids present (a dimension,
+    collected).  ``n`` counts the countries with both; r is NULL below two or
+    without variance."""
+    tile = tile or PAIR_BLOCK
     base = year_slice(panel, year) if year is not None else panel
     if indicator_ids is None:
         indicator_ids = [r[0] for r in base.select("indicator_id").distinct().collect() if r[0] is not None]
     ids = sorted(set(indicator_ids))
-    means = (base.where(F.col("indicator_id").isin(*ids))
-                 .groupBy("country_code", "indicator_id").agg(F.avg("value").alias("value")))
-    blocks = [ids[i:i + PAIR_BLOCK] for i in range(0, len(ids), PAIR_BLOCK)]
-    parts = []
-    for i, a in enumerate(blocks):
-        parts.append(_pair_stats(means, a, None))
-        for b in blocks[i + 1:]:
-            parts.append(_pair_stats(means, a, b))
-    parts = [p for p in parts if p is not None]
-    if not parts:
-        return panel.sparkSession.createDataFrame(
-            [], "indicator_a string, indicator_b string, n bigint, correlation double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = panel.sparkSession
+    if len(ids) < 2:
+        return spark.createDataFrame([], "indicator_a string, indicator_b string, n bigint, correlation double")
+    numbers = spark.createDataFrame(list(enumerate(ids)), "number int, indicator_id string")
+    means = (base.join(numbers, "indicator_id").groupBy("country_code", "number")
+                 .agg(F.avg("value").alias("value")).where(F.col("value").isNotNull()))
+    center = means.groupBy("number").agg(F.avg("value").alias("center"))
+    tiles = (len(ids) + tile - 1) // tile
+    own = F.floor(F.col("number") / tile).cast("int")
+    dealt = means.join(center, "number").select(
+        F.coalesce("country_code", F.lit("")).alias("country_code"), "number", (F.col("value") - F.col("center")).alias("value"),
+        own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")).select(
+        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "country_code", "number", "value")
+    part = F.pmod(F.xxhash64("country_code"), F.lit(TILE_PARTS))
+    sums = dealt.repartition("low", "high", part).sortWithinPartitions("low", "high", "country_code").mapInPandas(
+        _tile_sums(tile), "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    # what rounding leaves of sums without variance counts as none
+    varies = (n >= 2) & (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
+    r = F.when(varies, F.round((F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy), 4))
+    pairs = spark.range(len(ids) - 1).select(F.col("id").cast("int").alias("a"), F.explode(
+        F.sequence(F.col("id").cast("int") + 1, F.lit(len(ids) - 1))).alias("b"))
+    found = pairs.join(total.select("a", "b", "n", r.alias("correlation")), ["a", "b"], "left")
+    for side in ("a", "b"):
+        found = found.join(numbers.select(F.col("number").alias(side), F.col("indicator_id").alias(f"indicator_{side}")), side)
+    return found.select("indicator_a", "indicator_b", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"), "correlation")
 
 
 def indicator_summary(panel: DataFrame) -> DataFrame:
@@ -257,13 +304,18 @@ def provenance(panel: DataFrame, registry: DataFrame) -> DataFrame:
                                               F.col("registry_source"), first)).alias("source_note")))
 
 
-def scope_counts(panel: DataFrame, countries=None) -> DataFrame:
+def scope_counts(panel: DataFrame, countries=None, indicator_ids=None) -> DataFrame:
     """Rows per indicator after the country filter, plus the number of
-    selected countries."""
+    selected countries.  ``indicator_ids`` (a list or a DataFrame with
+    ``indicator_id``) names the indicators asked for: those without rows
+    count 0."""
     codes = clean_codes(countries)
-    return (filter_panel(panel, codes).groupBy("indicator_id")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
-            .withColumn("selected_country_count", F.lit(len(codes)).cast("bigint")))
+    counts = filter_panel(panel, codes).groupBy("indicator_id").agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+    if indicator_ids is not None:
+        asked = indicator_ids if isinstance(indicator_ids, DataFrame) else panel.sparkSession.createDataFrame(
+            [(i,) for i in indicator_ids], "indicator_id string")
+        counts = asked.select("indicator_id").distinct().join(counts, "indicator_id", "left").fillna(0, ["row_count"])
+    return counts.withColumn("selected_country_count", F.lit(len(codes)).cast("bigint"))
 
 
 # -------------------------------------------------------------------- lookups
