@@ -16,6 +16,7 @@ _MODULES = (
     "tabulon.plans.scoring_queries",
     "tabulon.plans.dialog_queries",
     "tabulon.plans.context_queries",
+    "tabulon.plans.payload_queries",
     "tabulon.plans.admission_queries",
     "tabulon.plans.activity_queries",
     "tabulon.plans.housing_queries",
