@@ -213,3 +213,21 @@ def panel_records(spark, sf):
     """F9 projection of one indicator's recent rows."""
     panel = customer_year_panel(spark, sf).where(F.col("indicator_id") == "revenue")
     return P.record_projection(P.filter_panel(panel, None, 2000, None))
+
+
+@register("panel_all_records", CP + """
+SELECT country_code, country_name, CAST(year AS INTEGER) AS year, CAST(value AS DOUBLE) AS value FROM panel""")
+def panel_all_records(spark, sf):
+    """F9 projection of the whole panel."""
+    return P.record_projection(customer_year_panel(spark, sf))
+
+
+@register("panel_scope_asked", NP + f""",
+asked AS (SELECT DISTINCT event_type AS indicator_id FROM events UNION SELECT 'revenue' UNION SELECT 'n_orders')
+SELECT a.indicator_id, CAST(count(p.country_code) AS BIGINT) AS row_count, CAST(9 AS BIGINT) AS selected_country_count
+FROM asked a LEFT JOIN (SELECT * FROM panel WHERE country_code IN {FILTER_SQL_CODES}) p USING (indicator_id) GROUP BY a.indicator_id""")
+def panel_scope_asked(spark, sf):
+    """A6 for the indicators asked for: those without rows (event types) count 0."""
+    asked = table(spark, sf, "events").select(F.col("event_type").alias("indicator_id")).unionByName(
+        order_registry(spark).where(F.col("id") != "avg_price").select(F.col("id").alias("indicator_id")))
+    return P.scope_counts(nation_year_panel(spark, sf), FILTER_CODES, asked)

@@ -91,6 +91,25 @@ def search_new_playlists(spark, sf):
                      F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("track_ids"))
 
 
+@register("search_playlist_records", VEC_SQL.format(where="WHERE embedding[1] >= 0.5 AND embedding[2] >= 0.5") + """,
+found AS (SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS track_ids, count(*) AS n FROM r WHERE rank <= 10 GROUP BY query_id)
+SELECT q.query_id, CAST(NULL AS VARCHAR) AS id, q.query_id AS name, q.query_id AS query, 'high,high' AS filters, CAST(10 AS BIGINT) AS size,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_tracks, coalesce(track_ids, '') AS track_ids, CAST(NULL AS VARCHAR) AS created_at,
+       CAST(NULL AS VARCHAR) AS updated_at
+FROM (SELECT DISTINCT query_id FROM c) q LEFT JOIN found USING (query_id)""")
+def search_playlist_records(spark, sf):
+    """Whole unsaved records; the filters leave few vectors, so fewer tracks are found than asked for."""
+    high = (F.col("embedding")[0] >= 0.5) & (F.col("embedding")[1] >= 0.5)
+    q = label_queries(spark, sf)
+    res = S.vector_topk(table(spark, sf, "embeddings"), q, K, where=high)
+    filters = F.create_map(F.lit("first"), F.lit("high"), F.lit("second"), F.lit("high"))
+    asked = q.select("query_id", F.concat(F.lit("  "), F.col("query_id"), F.lit(" ")).alias("query"), filters.alias("filters"))
+    out = S.new_playlist_records(res, asked, K)
+    return out.select("query_id", "id", "name", "query", F.array_join(F.map_values("filters"), ",").alias("filters"), "size",
+                      F.size("tracks").cast("bigint").alias("n_tracks"),
+                      F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("track_ids"), "created_at", "updated_at")
+
+
 @register("search_vector_cells", VEC_SQL.format(where="") + """
 SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS BIGINT) AS rank FROM r WHERE rank BETWEEN 4 AND 23""")
 def search_vector_cells(spark, sf):
