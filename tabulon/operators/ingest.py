@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import lenient_double, mean
+from tabulon.functions.numeric import lenient_double
 
 # The breakdown codes that denote "all categories".
 TOTAL_DIM1 = "SEX_BTSX"
@@ -26,6 +26,9 @@ TOTAL_DIM3 = "WEALTHQUINTILE_TOTL"
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
             "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# Parts that the rows of one key are dealt to where they meet a row per key.
+SPREAD = 32
+
 PANEL_KEYS = ("country_code", "country_name", "year", "indicator_id", "source")
 
 DIM_FEED_SCHEMA = (
@@ -56,7 +59,8 @@ def collapse_totals(feed: DataFrame, dims: list[tuple[str, str]], key: str = "in
     decisions (2^(j-1) masked max() pairs, 3 for the usual two columns), and
     the decisions are resolved per key on the small flag table, so the feed
     is read twice in total (flags, then the filter), never once per column,
-    and no window over a hot key is needed."""
+    and no window over a hot key is needed.  A feed has few keys, so each
+    key's rows meet its decisions in ``SPREAD`` parts."""
     dims = [(d, t) for d, t in dims if d in feed.columns]
     if not dims:
         return feed
@@ -82,14 +86,18 @@ def collapse_totals(feed: DataFrame, dims: list[tuple[str, str]], key: str = "in
         any_v = F.element_at(F.array(*[F.col(f"_a{j}_{c}") for c in range(1 << j)]), idx + 1)
         has_t = F.element_at(F.array(*[F.col(f"_t{j}_{c}") for c in range(1 << j)]), idx + 1)
         flags = flags.withColumn(f"_c{j}", (any_v == 1) & (has_t == 1))
-    # One row per key, joined back null-safe (rows without a key are a key of
-    # their own); AQE broadcasts the decisions while they are small.
-    flags = flags.select(F.col(key).alias("_flag_key"), *[f"_c{j}" for j in range(len(dims))])
+    # One row per key and part, joined back null-safe (rows without a key are a
+    # key of their own).  By the key alone, AQE keeps the shuffle join (most
+    # partitions are empty) and one task reads a whole indicator.
+    flags = flags.select(F.col(key).alias("_flag_key"), *[f"_c{j}" for j in range(len(dims))],
+                         F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_flag_part"))
+    parted = feed.withColumn("_part", (F.monotonically_increasing_id() % SPREAD).cast("int"))
     keep = F.lit(True)
     for j, (d, t) in enumerate(dims):
         keep = keep & (~F.coalesce(F.col(f"_c{j}"), F.lit(False)) | row_ok(d, t))
-    return (feed.join(flags, F.col(key).eqNullSafe(F.col("_flag_key")), "left").where(keep)
-                .drop("_flag_key", *[f"_c{j}" for j in range(len(dims))]))
+    same = F.col(key).eqNullSafe(F.col("_flag_key")) & (F.col("_part") == F.col("_flag_part"))
+    return (parted.join(flags, same, "left").where(keep)
+                  .drop("_part", "_flag_part", "_flag_key", *[f"_c{j}" for j in range(len(dims))]))
 
 
 def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "WHO",
@@ -100,9 +108,16 @@ def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "
     code as their name (N4, J3: a broadcast-sized left join).  Rows missing a
     year, value or code are dropped and the year truncated to int (N6).  Dim1 is collapsed first, then Dim3 on what
     remains (sequential, as the flags depend on the earlier filter).
-    ``mean_scale`` selects the exact-decimal mean (see ``functions.mean``)."""
-    rows = keep_country_rows(feed)
-    rows = collapse_totals(rows, [("Dim1", TOTAL_DIM1), ("Dim3", TOTAL_DIM3)])
+    ``mean_scale`` selects the exact-decimal mean (see ``functions.mean``).
+
+    Every later step depends only on a row's keys and breakdowns, so the rows
+    are summed by these before they are shuffled; the sums are collapsed,
+    named and averaged."""
+    dims = [(d, t) for d, t in (("Dim1", TOTAL_DIM1), ("Dim3", TOTAL_DIM3)) if d in feed.columns]
+    value = lenient_double(F.col("NumericValue").cast("string"))
+    rows = keep_country_rows(feed).select(
+        "indicator_id", "SpatialDim", "TimeDim", *[d for d, _ in dims], value.alias("value"))
+    rows = collapse_totals(_sums(rows, mean_scale), dims).where(F.col("_n") > 0)
     if names is not None:
         rows = rows.join(names.select(F.col("Code").alias("SpatialDim"), F.col("Title")),
                          "SpatialDim", "left")
@@ -110,18 +125,29 @@ def normalise_dim_feed(feed: DataFrame, names: DataFrame | None, source: str = "
     else:
         name = F.col("SpatialDim")
     year = lenient_double(F.col("TimeDim").cast("string"))
-    value = lenient_double(F.col("NumericValue").cast("string"))
     projected = rows.select(
         F.col("SpatialDim").alias("country_code"), name.alias("country_name"),
-        year.alias("_year"), F.col("indicator_id"), value.alias("value"), F.lit(source).alias("source"),
+        year.alias("_year"), F.col("indicator_id"), "_total", "_exact", "_n", F.lit(source).alias("source"),
     )
-    complete = (projected.where(F.col("_year").isNotNull() & F.col("value").isNotNull()
-                                & F.col("country_code").isNotNull())
+    complete = (projected.where(F.col("_year").isNotNull() & F.col("country_code").isNotNull())
                 .withColumn("year", F.col("_year").cast("int")).drop("_year"))
-    return (complete.groupBy(*PANEL_KEYS).agg(mean("value", mean_scale).alias("value"))
+    # Sums that were dropped above may overflow, those of the panel may not.
+    total = F.when(F.col("_total").isNotNull() & (F.col("_exact") == F.col("_n")), F.col("_total")) \
+        .otherwise(F.raise_error(F.lit("a value or a sum of values is too large for the exact mean")))
+    return (complete.groupBy(*PANEL_KEYS)
+                    .agg((F.sum(total).cast("double") / F.sum("_n").cast("double")).alias("value"))
                     .select("country_code", "country_name", "year", "indicator_id", "value", "source"))
 
 
+def _sums(rows: DataFrame, scale: int | None) -> DataFrame:
+    """``_total`` of ``value`` and the number ``_n`` of values by all other
+    columns (``_exact``: of those that fit DECIMAL(38, scale)); too large a
+    total is null."""
+    number = F.col("value") if scale is None else F.col("value").try_cast(f"decimal(38,{scale})")
+    return rows.groupBy(*[c for c in rows.columns if c != "value"]).agg(
+        F.try_sum(number).alias("_total"), F.count(number).alias("_exact"), F.count("value").alias("_n"))
+
+
 def probe_entity_columns(columns) -> tuple[str, str]:
     """Time column is ``Year`` else ``Day``; the value column is the first
     column not in {Entity, Code, Year, Day}.  Metadata only, no job runs."""
