@@ -2,18 +2,22 @@
 per request, decided before anything is collected.
 
 A request names a mode, one or two indicators, at most 50 countries (none:
-all), and optionally a year and a rank range.  Row and character counts come
-from aggregates of the panel by (indicator, country), read once; they decide
-between raw records, summaries and the two rejections.  Only then are rows
-joined to the requests that go on, so a request collects at most ``max_rows``
-rows an indicator and ``max_chars`` characters, and a rejected one none.  The
-counts and the fixed parts are checkpointed (one row per request and
-indicator, one per request), because the steps after the gate reuse them.
+all), and optionally a year and a rank range.  Row counts come from
+counts of the panel by (indicator, country); they decide which requests select
+too many rows.  Only then are the rows that the others select taken out of the
+panel; aggregates of these give the character counts that decide between raw
+records, summaries and the second rejection.  So a request collects at most
+``max_rows`` rows an indicator and ``max_chars`` characters, and one rejected
+for its rows none.  What several steps read is checkpointed: the counts and
+these rows (at most the panel, once for requests with and once for those
+without countries), a row per rejected request, per request and indicator, and
+per request.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,18 +60,33 @@ def _ordered(by: list[str], text: Column) -> Column:
     return _json_list(F.transform(F.array_sort(F.collect_list(F.struct(*by, text.alias("_t")))), lambda x: x["_t"]))
 
 
-def selected_rows(requests: DataFrame, panel: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Rows of ``panel`` in the scope of each (request, indicator) row: its countries, or all without any;
+class Scope(NamedTuple):
+    """Rows (or cells) of the panel that requests select by a list of countries, and those selected without one."""
+    listed: DataFrame
+    whole: DataFrame
+
+
+def panel_scope(requests: DataFrame, panel: DataFrame) -> Scope:
+    """Rows of ``panel`` that some (request, indicator) row selects.  The panel is not dealt by indicator:
+    there are few, and without a list only those of few rows are left."""
+    named = requests.where(F.size("countries") > 0).select("indicator_id", F.explode("countries").alias("country_code")).distinct()
+    every = requests.where(F.size("countries") == 0).select("indicator_id").distinct()
+    return Scope(panel.join(named, ["indicator_id", "country_code"], "left_semi"),
+                 panel.join(F.broadcast(every), "indicator_id", "left_semi"))
+
+
+def selected_rows(requests: DataFrame, scope: Scope, on: list[str] | None = None) -> DataFrame:
+    """Rows of ``scope`` that each (request, indicator) row selects: of its countries, or all without any;
     ``on`` are further columns that must be equal."""
     on = ["indicator_id", *(on or [])]
-    every = requests.where(F.size("countries") == 0).drop("countries").join(panel, on)
+    every = requests.where(F.size("countries") == 0).drop("countries").join(scope.whole, on)
     some = requests.where(F.size("countries") > 0) \
-        .withColumn("country_code", F.explode("countries")).drop("countries").join(panel, [*on, "country_code"])
+        .withColumn("country_code", F.explode("countries")).drop("countries").join(scope.listed, [*on, "country_code"])
     return some.unionByName(every)
 
 
 def _cells(panel: DataFrame) -> DataFrame:
-    """What the decision needs of every (indicator, country): the panel is read once."""
+    """What the contexts need of every (indicator, country)."""
     return panel.groupBy("indicator_id", "country_code").agg(
         F.count("*").alias("n_rows"), F.sum(F.char_length(record_json())).alias("chars"),
         F.min("year").alias("year_min"), F.max("year").alias("year_max"),
@@ -75,6 +94,14 @@ def _cells(panel: DataFrame) -> DataFrame:
         F.min("country_name").alias("country_name"), F.avg("value").alias("value"))
 
 
+def _totals(asked: DataFrame, cells: Scope, sums: list[Column], keys: list[str]) -> DataFrame:
+    """``sums`` of the cells that each (request, indicator) row selects; without a list, of all cells of the indicator."""
+    some = asked.where(F.size("countries") > 0).withColumn("country_code", F.explode("countries")) \
+        .join(cells.listed, ["indicator_id", "country_code"]).groupBy(*keys, "at").agg(*sums)
+    every = asked.where(F.size("countries") == 0).join(F.broadcast(cells.whole.groupBy("indicator_id").agg(*sums)), "indicator_id")
+    return some.unionByName(every.select(*some.columns))
+
+
 def _head(registry: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """The list of a request's indicators as JSON, and each indicator's own object."""
     about = registry.select(F.col("id").alias("indicator_id"), F.to_json(F.struct("id", "label", "unit", "source")).alias("about"))
@@ -83,11 +110,11 @@ def _head(registry: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return named
 
 
-def _rankings(asked: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
+def _rankings(asked: DataFrame, scope: Scope, keys: list[str]) -> DataFrame:
     """ranking: the ranks rank_start to rank_end of the selected year as JSON, for requests of that mode."""
     first = asked.where((F.col("mode") == "rankings") & (F.col("at") == 0) & F.col("year").isNotNull()) \
         .select(*keys, "indicator_id", "countries", "year", "rank_start", "rank_end", "order_dir")
-    rows = selected_rows(first, panel, ["year"])
+    rows = selected_rows(first, scope, ["year"])
     up, down = F.when(F.col("order_dir") == "asc", F.col("value")), F.when(F.col("order_dir") != "asc", F.col("value"))
     order = [F.col("value").isNull(), up.asc(), down.desc(), "country_code"]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -96,12 +123,12 @@ def _rankings(asked: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(_ordered(["rank"], text).alias("ranking"))
 
 
-def _correlations(asked: DataFrame, cells: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
+def _correlations(asked: DataFrame, cells: Scope, scope: Scope, keys: list[str]) -> DataFrame:
     """correlation: Pearson r over the selected countries with its points as JSON, for requests of that mode."""
     pairs = asked.where(F.col("mode") == "correlation").select(*keys, "at", "indicator_id", "countries", "year")
     columns = [*keys, "at", "country_code", "country_name", "value"]
     rows = selected_rows(pairs.where(F.col("year").isNull()).drop("year"), cells).select(*columns).unionByName(
-        selected_rows(pairs.where(F.col("year").isNotNull()), panel, ["year"]).select(*columns))
+        selected_rows(pairs.where(F.col("year").isNotNull()), scope, ["year"]).select(*columns))
 
     def of(at: int, column: str) -> Column:
         return F.when(F.col("at") == at, F.col(column))
@@ -119,9 +146,9 @@ def _correlations(asked: DataFrame, cells: DataFrame, panel: DataFrame, keys: li
     return found.select(*keys, text.alias("correlation"))
 
 
-def _top_records(asked: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
+def _top_records(asked: DataFrame, scope: Scope, keys: list[str]) -> DataFrame:
     """top: the best records of the selected year as JSON (A4), for every indicator of the requests."""
-    rows = selected_rows(asked.where(F.col("year").isNotNull()).select(*keys, "at", "indicator_id", "countries", "year"), panel, ["year"])
+    rows = selected_rows(asked.where(F.col("year").isNotNull()).select(*keys, "at", "indicator_id", "countries", "year"), scope, ["year"])
     order = Window.partitionBy(*keys, "at").orderBy(F.col("value").desc_nulls_last(), "country_code")
     best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_RECORDS)
     return best.groupBy(*keys, "at").agg(_ordered(["rank"], record_json()).alias("top"))
@@ -151,24 +178,21 @@ def chat_context(requests: DataFrame, panel: DataFrame, registry: DataFrame, req
     panel = panel.select("indicator_id", "country_code", "country_name", "year", "value")
     asked = clean.select("*", F.posexplode("indicators").alias("at", "indicator_id")).drop("indicators")
 
-    # Counts of every (request, indicator), from the cells of its countries or of all.
-    cells = _cells(panel)
-    sums = [F.sum("n_rows").alias("n_rows"), F.sum("chars").alias("chars"), F.count("*").alias("country_count"),
-            F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"),
-            F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max")]
-    scope = asked.select(*keys, "at", "indicator_id", "countries")
-    some = scope.where(F.size("countries") > 0).withColumn("country_code", F.explode("countries")) \
-        .join(cells, ["indicator_id", "country_code"]).groupBy(*keys, "at").agg(*sums)
-    every = scope.where(F.size("countries") == 0).join(cells.groupBy("indicator_id").agg(*sums), "indicator_id") \
-        .select(*keys, "at", *[c for c in some.columns if c not in (*keys, "at")])
-    counts = _head(registry, asked, keys).join(some.unionByName(every), [*keys, "at"], "left").fillna(0, ["n_rows", "chars", "country_count"])
-    counts = cut_lineage(counts)  # a row for each (request, indicator), looked at several times below
-    widest = counts.groupBy(*keys).agg(F.max("n_rows").alias("widest"))
-    refused = widest.where(F.col("widest") > max_rows).select(*keys)
+    # Row counts of every (request, indicator), from those of its countries or of all.
+    scopes = asked.select(*keys, "at", "indicator_id", "countries")
+    sizes = cut_lineage(panel.groupBy("indicator_id", "country_code").agg(F.count("*").alias("n_rows")))
+    rows_of = _totals(scopes, Scope(sizes, sizes), [F.sum("n_rows").alias("n_rows")], keys)
+    refused = cut_lineage(rows_of.groupBy(*keys).agg(F.max("n_rows").alias("widest")).where(F.col("widest") > max_rows).select(*keys))
     going = asked.join(refused, keys, "left_anti")
+    scope = Scope(*map(cut_lineage, panel_scope(going, panel)))
+    cells = Scope(*map(_cells, scope))
 
     # The fixed parts of the requests that go on.
-    parts = counts.join(refused, keys, "left_anti")
+    sums = [F.sum("n_rows").alias("n_rows"), F.sum("chars").alias("chars"), F.count("*").alias("country_count"),
+            F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"),
+            F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max")]
+    counts = _totals(going.select(*scopes.columns), cells, sums, keys)
+    parts = cut_lineage(_head(registry, going, keys).join(counts, [*keys, "at"], "left").fillna(0, ["n_rows", "chars", "country_count"]))
     raw_part = F.concat(F.lit('{"indicator":'), F.col("about"), F.lit(',"indicator_id":'), _text(F.col("indicator_id")),
                         F.lit(',"records":'))
     parts = parts.withColumn("raw_head", raw_part).withColumn(
@@ -176,7 +200,7 @@ def chat_context(requests: DataFrame, panel: DataFrame, registry: DataFrame, req
     heads = parts.groupBy(*keys).agg(_ordered(["at"], F.col("about")).alias("about"),
                                      (F.sum("raw_chars") + F.count("*") - 1).alias("raw_chars"))
     fixed = clean.join(refused, keys, "left_anti").join(heads, keys, "left") \
-        .join(_rankings(going, panel, keys), keys, "left").join(_correlations(going, cells, panel, keys), keys, "left")
+        .join(_rankings(going, scope, keys), keys, "left").join(_correlations(going, cells, scope, keys), keys, "left")
     head = F.concat(F.lit('{"mode":'), _text(F.col("mode")), F.lit(',"filters":'), F.col("filters"), F.lit(',"indicators":'),
                     F.coalesce("about", F.lit(NO_LIST)), F.lit(',"selected_ranking":'), F.coalesce("ranking", F.lit(NO_LIST)),
                     F.lit(',"selected_correlation":'), F.coalesce("correlation", F.lit("null")), F.lit(',"api_data":['))
@@ -185,7 +209,7 @@ def chat_context(requests: DataFrame, panel: DataFrame, registry: DataFrame, req
     raw, other = fixed.where(fits), fixed.where(~fits)
 
     # Raw: the records of requests that fit.
-    rows = selected_rows(going.join(raw.select(*keys), keys, "left_semi").select(*keys, "at", "indicator_id", "countries"), panel)
+    rows = selected_rows(going.join(raw.select(*keys), keys, "left_semi").select(*keys, "at", "indicator_id", "countries"), scope)
     records = rows.groupBy(*keys, "at").agg(_ordered(["country_code", "year", "value"], record_json()).alias("records"))
     raw_data = parts.join(raw.select(*keys), keys, "left_semi").join(records, [*keys, "at"], "left").groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat(
@@ -196,7 +220,7 @@ def chat_context(requests: DataFrame, panel: DataFrame, registry: DataFrame, req
     # Summaries of the others.
     left = going.join(other.select(*keys), keys, "left_semi")
     years = left.select(*keys, "at", "year")
-    summed = parts.join(other.select(*keys), keys, "left_semi").join(years, [*keys, "at"]).join(_top_records(left, panel, keys), [*keys, "at"], "left")
+    summed = parts.join(other.select(*keys), keys, "left_semi").join(years, [*keys, "at"]).join(_top_records(left, scope, keys), [*keys, "at"], "left")
     has = F.col("n_rows") > 0
     summary = F.concat(
         F.lit('{"indicator":'), F.col("about"), F.lit(',"indicator_id":'), _text(F.col("indicator_id")),
