@@ -43,7 +43,7 @@ def test_feed_is_summed_before_it_is_collapsed(spark):
     assert [(r["country_code"], r["year"], r["value"]) for r in out.collect()] == [("AAA", 2000, 1.0)]
 
 
-@pytest.mark.parametrize("name", ["ingest_dim_feed", "ingest_json_records"])
+@pytest.mark.parametrize("name", ["ingest_dim_feed", "ingest_json_records", "ingest_source_fallback"])
 def test_queries_collapse_one_row_per_key(spark, monkeypatch, name):
     seen, collapse = [], I.collapse_totals
     monkeypatch.setattr(I, "collapse_totals", lambda feed, *a: seen.append(feed) or collapse(feed, *a))
