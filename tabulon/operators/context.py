@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.numeric import safe_pearson
 from tabulon.operators.dialog import MAX_CONTEXT_CHARS, MAX_ROWS_PER_INDICATOR, record_json
-from tabulon.session import cut_lineage
+from tabulon.session import cut_lineage, default_parallelism
 
 # Fixed values that must equal the reference's for identical results.
 TOP_RECORDS = 25
@@ -183,7 +183,8 @@ def chat_context(requests: DataFrame, panel: DataFrame, registry: DataFrame, req
     sizes = cut_lineage(panel.groupBy("indicator_id", "country_code").agg(F.count("*").alias("n_rows")))
     rows_of = _totals(scopes, Scope(sizes, sizes), [F.sum("n_rows").alias("n_rows")], keys)
     refused = cut_lineage(rows_of.groupBy(*keys).agg(F.max("n_rows").alias("widest")).where(F.col("widest") > max_rows).select(*keys))
-    going = asked.join(refused, keys, "left_anti")
+    # Requests are small next to the rows they select: dealt to every core, not merged by their own size.
+    going = asked.join(refused, keys, "left_anti").repartition(default_parallelism(panel.sparkSession), *keys)
     scope = Scope(*map(cut_lineage, panel_scope(going, panel)))
     cells = Scope(*map(_cells, scope))
 
