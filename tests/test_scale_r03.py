@@ -74,3 +74,35 @@ def test_too_large_a_kept_value_still_fails_the_exact_mean(spark):
     rows = [("a", "COUNTRY", "AAA", "2000", None, None, "1e37")]
     with pytest.raises(Exception, match="too large|NUMERIC_VALUE_OUT_OF_RANGE"):
         I.normalise_dim_feed(spark.createDataFrame(rows, FEED), None, mean_scale=4).collect()
+
+
+def _tables(spark, path, copies):
+    """Every row of lineitem, orders and customer comes ``copies`` times, with its own order and customer keys."""
+    row, day = F.col("id") % 200, F.expr("timestamp'1995-01-01' + make_dt_interval(CAST(id % 200 AS INT) * 9)")
+    tables = {
+        "nation": spark.range(3).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("n"), "id").alias("n_name")),
+        "supplier": spark.range(10).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).cast("int").alias("s_nationkey")),
+        "customer": spark.range(20 * copies).select(F.col("id").alias("c_custkey"), (F.col("id") % 20 % 3).cast("int").alias("c_nationkey")),
+        "orders": spark.range(200 * copies).select(F.col("id").alias("o_orderkey"), (F.col("id") % (20 * copies)).alias("o_custkey"),
+                                                   (row * 2.5).alias("o_totalprice"), day.alias("o_orderdate")),
+        "lineitem": spark.range(200 * copies).select(
+            F.col("id").alias("l_orderkey"), (row % 10).alias("l_suppkey"), (row % 7 + 1).cast("int").alias("l_linenumber"),
+            (row % 50).cast("double").alias("l_quantity"), (row * 1.25).alias("l_extendedprice"), (row % 4 * 0.25).alias("l_discount"),
+            F.expr("element_at(array('N', 'A', 'R'), CAST(id % 200 % 3 AS INT) + 1)").alias("l_returnflag"),
+            F.expr("if(id % 200 % 2 = 0, 'O', 'F')").alias("l_linestatus"), day.alias("l_shipdate")),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["ingest_json_records"])
+def test_no_more_rows_are_dealt_for_more_copies_of_the_feed(spark, monkeypatch, shuffle_joins, tmp_path, name):
+    seen, collapse = [], I.collapse_totals
+    monkeypatch.setattr(I, "collapse_totals", lambda feed, *a: seen.append(feed) or collapse(feed, *a))
+    once, often = (queries()[name](spark, _tables(spark, tmp_path / str(n), n)) for n in (1, 10))
+    few, more = (feed.count() for feed in seen)
+    assert 0 < few == more < 600
+    own = (F.get_json_object("json", "$.source") if once.columns == ["json"] else F.col("source")) == "WHO"
+    assert len(rows := sorted(map(str, once.where(own).collect()))) > 0
+    assert rows == sorted(map(str, often.where(own).collect()))
