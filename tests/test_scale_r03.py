@@ -96,7 +96,7 @@ def _tables(spark, path, copies):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["ingest_json_records"])
+@pytest.mark.parametrize("name", ["ingest_json_records", "ingest_source_fallback"])
 def test_no_more_rows_are_dealt_for_more_copies_of_the_feed(spark, monkeypatch, shuffle_joins, tmp_path, name):
     seen, collapse = [], I.collapse_totals
     monkeypatch.setattr(I, "collapse_totals", lambda feed, *a: seen.append(feed) or collapse(feed, *a))
